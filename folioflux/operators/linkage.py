@@ -18,3 +18,19 @@ def preferred_spelling(names: DataFrame, key: Column, name: str = "author") -> D
         F.col(name),
     )
     return spelled.groupBy(key).agg(F.min_by(name, rank).alias(name))
+
+
+def preferred(rows: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
+    """Keep wanted rows, but all rows of a key that has none."""
+    has = rows.groupBy(*keys).agg(F.bool_or(wanted).alias("_has"))
+    return rows.join(has, keys).filter(~F.col("_has") | wanted).drop("_has")
+
+
+def entry_of_book(books: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """Watchlist entry of a book by trimmed, case-folded title and author."""
+    def key(name: str) -> Column:
+        return F.lower(F.trim(F.coalesce(F.col(name), F.lit(""))))
+
+    left = books.select("book_id", key("title").alias("_t"), key("author").alias("_a"))
+    right = watchlist.select("entry_id", key("title").alias("_t"), key("author").alias("_a"))
+    return left.join(right, ["_t", "_a"]).drop("_t", "_a")

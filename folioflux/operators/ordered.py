@@ -115,3 +115,25 @@ def position(
         .drop("_inside", "_chunk")
     )
 
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, into: str,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Greatest ``value`` of all earlier rows of the key; NULL values do not count."""
+    chunked = df.withColumn("_chunk", _chunk(order, chunk_rows))
+    inside = (
+        Window.partitionBy(*keys, "_chunk").orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    tails = chunked.groupBy(*keys, "_chunk").agg(F.max(value).alias("_tail"))
+    across = (
+        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = tails.select(*keys, "_chunk", F.max("_tail").over(across).alias("_before"))
+    return (
+        chunked.withColumn("_inside", F.max(value).over(inside))
+        .join(before, [*keys, "_chunk"])
+        .withColumn(into, F.greatest("_inside", "_before"))
+        .drop("_inside", "_before", "_chunk")
+    )

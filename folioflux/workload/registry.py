@@ -23,7 +23,7 @@ def with_views(body: str) -> str:
 
     def visit(sql: str) -> None:
         for name, definition in VIEWS.items():
-            if name not in needed and re.search(rf"\b{name}\b", sql):
+            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
                 visit(definition)
                 needed.append(name)
 

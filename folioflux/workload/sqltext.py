@@ -156,4 +156,49 @@ FROM (
   GROUP BY m.id, m.price_cents, p.source, z.volumes, m.route)
 WHERE priced = volumes AND singles > price_cents AND saved_pct >= 25
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY shop) = 1""",
+    "relation": """SELECT profile_slug, book_id, kind, arg_max(active, seq) AS active,
+  arg_max(details, seq) FILTER (details IS NOT NULL) AS details FROM relation_log GROUP BY 1, 2, 3""",
+    "link": """SELECT * FROM link_log
+QUALIFY row_number() OVER (PARTITION BY book_id, source ORDER BY seq DESC) = 1""",
+    "rating": """SELECT * FROM (SELECT * FROM rating_log
+  QUALIFY row_number() OVER (PARTITION BY subject, origin ORDER BY seq DESC) = 1) WHERE NOT withdrawn""",
+    "decided_item": """SELECT DISTINCT r.profile_slug, l.source, l.source_item_id
+FROM link l JOIN relation r USING (book_id) WHERE r.active AND l.source_item_id IS NOT NULL""",
+    "decided_isbn": """SELECT DISTINCT r.profile_slug, b.isbn, b.book_id
+FROM book b JOIN relation r USING (book_id) WHERE r.active AND b.isbn IS NOT NULL""",
+    "pile": f"""SELECT o.*, subject, r.stars, r.pitch, CASE WHEN {junk('o.price_cents', 'o.match_reason', 'o.title')} IS NOT NULL THEN 'hidden_junk'
+  WHEN NOT {announce('a.id IS NOT NULL', 'o.')} THEN 'hidden_priced'
+  WHEN r.stars < 3 THEN 'hidden_weak' ELSE 'shown' END AS status, a.saved_pct
+FROM (SELECT *, {SUBJECT} AS subject FROM finds) o
+LEFT JOIN advantages a ON a.id = o.id
+LEFT JOIN (SELECT subject, stars, pitch FROM rating WHERE origin = 'model') r USING (subject)
+WHERE NOT EXISTS (SELECT 1 FROM decided_item d WHERE d.profile_slug = o.profile_slug
+    AND d.source = o.source AND d.source_item_id = o.source_item_id)
+  AND NOT EXISTS (SELECT 1 FROM decided_isbn d WHERE d.profile_slug = o.profile_slug AND d.isbn = o.isbn)""",
+    "entry": """SELECT r.profile_slug, r.book_id, b.title, b.author, r.active,
+  json_extract_string(r.details, '$.restrict') AS restriction,
+  coalesce(k.unsure, FALSE) AS needs_attention,
+  r.active AND coalesce(k.choice, FALSE) AS needs_choice,
+  r.active AND coalesce(k.missing, FALSE) AS missing,
+  k.book_id IS NULL AS unresolved, f.availability, f.price_cents, f.seen_at,
+  coalesce(f.price_cents > 0 AND f.price_cents < 500, FALSE) AS deal,
+  coalesce(f.availability = 'available', FALSE) AS borrowable
+FROM relation r JOIN book b USING (book_id)
+LEFT JOIN (SELECT book_id, bool_or(outcome = 'unsure') AS unsure,
+    bool_or(outcome = 'unsure' AND matched_title IS NOT NULL) AS choice,
+    bool_and(outcome = 'not_found') AS missing FROM link GROUP BY 1) k ON k.book_id = r.book_id
+LEFT JOIN (SELECT profile_slug, book_id,
+    CASE min(CASE availability WHEN 'available' THEN 1 WHEN 'unavailable' THEN 2 WHEN 'unknown' THEN 3 END)
+      WHEN 1 THEN 'available' WHEN 2 THEN 'unavailable' WHEN 3 THEN 'unknown' END AS availability,
+    arg_max(price_cents, id) FILTER (price_cents IS NOT NULL) AS price_cents,
+    arg_max(observed_at, id) AS seen_at
+  FROM (SELECT * FROM obs WHERE book_id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY profile_slug, book_id, source ORDER BY id DESC) = 1)
+  GROUP BY 1, 2) f ON f.profile_slug = r.profile_slug AND f.book_id = r.book_id
+WHERE r.kind = 'watching' AND NOT EXISTS (SELECT 1 FROM relation x WHERE x.active
+  AND x.kind IN ('owned', 'dismissed') AND x.book_id = r.book_id AND x.profile_slug = r.profile_slug)""",
+    "delta": f"""SELECT * FROM (
+  SELECT *, 'first_seen' AS kind FROM obs_prev o WHERE prev_id IS NULL AND {announce()}
+  UNION ALL SELECT *, 'became_available' FROM obs_prev WHERE availability <> prev_av AND availability = 'available'
+  UNION ALL SELECT *, 'price_drop' FROM obs_prev o WHERE price_cents < prev_price AND {announce()})""",
 }
