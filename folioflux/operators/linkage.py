@@ -1,11 +1,22 @@
-"""Record linkage between catalogue entries."""
+"""Record linkage: scoring, ranking and confidence, and linking to known books."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.functions import catalogue
+from folioflux.functions import catalogue, similarity, text
+from folioflux.operators import ordered
+
+# ---------------------------------------------------------------- fixed values
+NO_MATCH_BELOW = 85
+STRONG_TITLE = 95
+STRONG_AUTHOR = 90
+TIE_MARGIN = 3
+MAX_CANDIDATES = 5
+UNKNOWN_YEAR_DELTA = 9999
+AUTO_ACCEPT, PROVISIONAL, NO_MATCH = "auto_accept", "provisional", "no_match"
+# ------------------------------------------------------------------------------
 
 
 def preferred_spelling(names: DataFrame, key: Column, name: str = "author") -> DataFrame:
@@ -34,3 +45,614 @@ def entry_of_book(books: DataFrame, watchlist: DataFrame) -> DataFrame:
     left = books.select("book_id", key("title").alias("_t"), key("author").alias("_a"))
     right = watchlist.select("entry_id", key("title").alias("_t"), key("author").alias("_a"))
     return left.join(right, ["_t", "_a"]).drop("_t", "_a")
+
+
+# --------------------------------------------------------------------- scoring
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Comparable forms of ``title`` and ``author`` as columns, computed once per row."""
+    return (
+        rows.withColumn("norm", text.normalize_title(F.col("title")))
+        .withColumn("volume", text.volume_of(F.col("title")))
+        .withColumn("bundle", text.looks_like_bundle(F.col("title")))
+        .withColumn("people", text.normalize_authors(F.col("author")))
+        .withColumn("author", F.nullif("author", F.lit("")))
+    )
+
+
+KEYS = ["norm", "volume", "bundle", "people", "author"]
+
+
+def score(pairs: DataFrame) -> DataFrame:
+    """Scores of pairs; wanted columns carry the prefix ``q_``, found ones ``c_``."""
+    q, c = (lambda n: F.col(f"q_{n}")), (lambda n: F.col(f"c_{n}"))
+    q_tokens, c_tokens = text.title_tokens(q("norm")), text.title_tokens(c("norm"))
+    tokens_apart = ~F.arrays_overlap(
+        text.substantial_tokens(q("people")), text.substantial_tokens(c("people"))
+    )
+    named = (F.size(q("people")) > 0) & (F.size(c("people")) > 0)
+    with_scores = pairs.withColumn(
+        "title_fuzzy", similarity.title_similarity(q("norm"), c("norm"))
+    ).withColumn("_author", similarity.author_scores(q("people"), c("people")))
+    given_id = (F.length(q("identifier")) > 0) & (F.length(c("identifier")) > 0)
+    return with_scores.select(
+        "*",
+        F.coalesce(given_id & (q("identifier") == c("identifier")), F.lit(False)).alias("id_match"),
+        F.coalesce(given_id & (q("identifier") != c("identifier")), F.lit(False)).alias("id_conflict"),
+        ((q("norm") != "") & (q("norm") == c("norm"))).alias("title_exact"),
+        text.title_contained(q_tokens, c_tokens).alias("title_contained"),
+        text.volumes_conflict(q("volume"), c("volume")).alias("volume_conflict"),
+        (c("bundle") & ~q("bundle")).alias("is_bundle"),
+        (named & F.arrays_overlap(text.full_names(q("people")), text.full_names(c("people")))).alias(
+            "author_exact"
+        ),
+        F.col("_author.fuzzy").alias("author_fuzzy"),
+        (
+            q("author").isNotNull() & c("author").isNotNull() & named
+            & (F.col("_author.strict") < STRONG_AUTHOR) & tokens_apart
+        ).alias("author_conflict"),
+        (q("author").isNotNull() & c("author").isNull()).alias("author_missing"),
+        F.coalesce(F.abs(q("year") - c("year")), F.lit(UNKNOWN_YEAR_DELTA)).alias("year_delta"),
+    ).drop("_author")
+
+
+def rank_key() -> Column:
+    """Lexicographic key, ascending is better. Scores count in buckets of five."""
+    def down(name: str) -> Column:
+        return -F.floor(F.col(name) / 5)
+
+    return F.struct(
+        ~F.col("id_match"),
+        F.col("id_conflict"),
+        F.col("author_conflict"),
+        ~F.col("title_exact"),
+        F.col("volume_conflict"),
+        F.col("is_bundle"),
+        ~F.col("title_contained"),
+        F.col("author_missing"),
+        down("title_fuzzy").alias("title_bucket"),
+        ~F.col("author_exact"),
+        down("author_fuzzy").alias("author_bucket"),
+        F.col("year_delta"),
+        F.col("c_rank"),
+    )
+
+
+SCORED = [
+    "c_rank", "id_match", "id_conflict", "title_exact", "title_fuzzy", "title_contained",
+    "volume_conflict", "is_bundle", "author_exact", "author_fuzzy", "author_conflict",
+    "author_missing", "year_delta",
+]
+SAME_IN_A_TIE = ["title_exact", "is_bundle", "volume_conflict", "author_conflict"]
+
+
+def tied(best: Column, other: Column) -> Column:
+    """Two hits that cannot honestly be told apart."""
+    same = (F.abs(best["title_fuzzy"] - other["title_fuzzy"]) <= TIE_MARGIN) & (
+        F.floor(best["author_fuzzy"] / 5) == F.floor(other["author_fuzzy"] / 5)
+    )
+    for name in SAME_IN_A_TIE:
+        same = same & (best[name] == other[name])
+    return F.coalesce(same, F.lit(False))
+
+
+def confidence(best: Column, has_author: Column, is_tied: Column) -> Column:
+    """struct(confidence, reason) of a winner."""
+    def answer(level: str, why: Column | str) -> Column:
+        why = F.lit(why) if isinstance(why, str) else why
+        return F.struct(F.lit(level).alias("confidence"), why.alias("reason"))
+
+    confirmable = ~(best["author_conflict"] | best["author_missing"])
+    sure = (best["title_exact"] & (best["author_fuzzy"] >= STRONG_AUTHOR)) | (
+        (best["title_fuzzy"] >= STRONG_TITLE) & best["author_exact"]
+    )
+    weak = best["title_fuzzy"] < NO_MATCH_BELOW
+    held = best["title_contained"]
+    return (
+        F.when(best.isNull(), answer(NO_MATCH, "keine Kandidaten"))
+        .when(best["id_match"], answer(AUTO_ACCEPT, "Kennung stimmt überein"))
+        .when(
+            weak & held & confirmable,
+            answer(PROVISIONAL, "der gesuchte Titel steckt im gefundenen — bitte bestätigen"),
+        )
+        .when(
+            weak & held & best["author_conflict"],
+            answer(NO_MATCH, "der Titel steckt im gefundenen, aber dort steht eine andere Autor:in"),
+        )
+        .when(
+            weak & held,
+            answer(NO_MATCH, "der Titel steckt im gefundenen, aber dort steht keine Autor:in"),
+        )
+        .when(
+            weak,
+            answer(
+                NO_MATCH,
+                F.format_string(f"bester Titelwert %d liegt unter {NO_MATCH_BELOW}", best["title_fuzzy"]),
+            ),
+        )
+        .when(
+            best["volume_conflict"],
+            answer(PROVISIONAL, "der Treffer nennt einen anderen Band der Reihe"),
+        )
+        .when(best["id_conflict"], answer(PROVISIONAL, "die Kennungen widersprechen sich"))
+        .when(has_author & sure & is_tied, answer(PROVISIONAL, "zwei Kandidaten sind gleich gut"))
+        .when(has_author & sure, answer(AUTO_ACCEPT, "Titel und Autor stimmen beide"))
+        .when(
+            has_author,
+            answer(
+                PROVISIONAL,
+                F.format_string(
+                    "Titel %d, Autor %d — nicht eindeutig", best["title_fuzzy"], best["author_fuzzy"]
+                ),
+            ),
+        )
+        .when(
+            best["title_exact"] & ~is_tied,
+            answer(AUTO_ACCEPT, "exakter Titel, kein konkurrierender Treffer, kein Autor angegeben"),
+        )
+        .otherwise(
+            answer(
+                PROVISIONAL, "kein Autor am Eintrag, mit dem sich der Titel bestätigen ließe"
+            )
+        )
+    )
+
+
+def _prefixed(rows: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(n if n == "query_id" else prefix + n) for n in keep])
+
+
+def scored_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every candidate of a query with its scores.
+
+    ``queries(query_id, title, author, year, identifier)``; candidates add ``rank``,
+    their place in the result list of the source.
+    """
+    left = _prefixed(with_keys(queries), "q_", ["query_id", *KEYS, "year", "identifier"])
+    right = _prefixed(with_keys(candidates), "c_", ["query_id", "rank", *KEYS, "year", "identifier"])
+    return score(left.join(right, "query_id"))
+
+
+def best_two(scored: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:
+    """Winner and runner-up per query as structs ``best`` and ``second``."""
+    facts = F.struct(*SCORED, *(extra or []))
+    top = ordered.top_per_key(scored.withColumn("_key", rank_key()), keys, [F.col("_key")], 2, "_place")
+    return top.groupBy(*keys).agg(
+        F.min_by(facts, "_place").alias("best"),
+        F.max_by(F.when(F.col("_place") == 2, facts), "_place").alias("second"),
+    )
+
+
+def match(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row per query: confidence, reason and the winner's place and scores."""
+    two = best_two(scored_pairs(queries, candidates), ["query_id"])
+    has_author = F.coalesce(F.length("author") > 0, F.lit(False))
+    return (
+        queries.select("query_id", "author")
+        .join(two, "query_id", "left")
+        .withColumn("_a", confidence(F.col("best"), has_author, tied(F.col("best"), F.col("second"))))
+        .select("query_id", "_a.confidence", "_a.reason", "best", "second")
+    )
+
+
+def indistinguishable(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Winner and the candidates tied with it, at most five, winner first."""
+    facts = F.struct("c_rank", "title_fuzzy", "author_fuzzy", *SAME_IN_A_TIE)
+    best = scored.groupBy(*keys).agg(F.min_by(facts, rank_key()).alias("_best"))
+    # The winner ties with itself and leads by its rank key.
+    same = scored.join(best, keys).filter(tied(F.col("_best"), facts)).withColumn("_key", rank_key())
+    return ordered.top_per_key(same, keys, [F.col("_key")], MAX_CANDIDATES, "place").drop("_best", "_key")
+
+
+# --------------------------------------------------- linking to the known books
+
+# Both sides are first reduced to signatures: rows that no score can tell apart.
+SIGNATURE = ["norm", "volume", "bundle", "author", "has_isbn"]
+
+
+def _edits(length: Column, slack: float) -> Column:
+    """Most edits between a string of this length and one that is still close enough."""
+    reach = (1 + slack) / (1 - slack)
+    return F.floor(length * (slack * (1 + reach)) + 1e-9).cast("int")
+
+
+def _piece_start(length: Column, edits: Column, i: Column) -> Column:
+    return F.floor(length * i / (edits + 1)).cast("int")
+
+
+def _pieces(value: Column, slack: float) -> Column:
+    """Even pieces of a string, one more than edits are allowed: one must survive."""
+    length = F.length(value)
+    edits = _edits(length, slack)
+
+    def piece(i: Column) -> Column:
+        start = _piece_start(length, edits, i)
+        size = _piece_start(length, edits, i + 1) - start
+        return F.concat_ws(":", length, i, value.substr(start + 1, size))
+
+    return F.transform(F.sequence(F.lit(0), edits), piece)
+
+
+def _probes(value: Column, slack: float) -> Column:
+    """Every cut of a string that may equal a piece of a close enough string.
+
+    Piece ``i`` of a string with ``t + 1`` pieces survives at a shift of at most
+    ``i`` seen from the left and ``t - i`` seen from the right (the multi-match-aware
+    selection of partition-based similarity joins), which keeps the cuts few and
+    loses no pair.
+    """
+    reach = (1 + slack) / (1 - slack)
+    size_of = F.length(value)
+
+    def of_length(length: Column) -> Column:
+        edits, delta = _edits(length, slack), size_of - length
+
+        def of_piece(i: Column) -> Column:
+            start = _piece_start(length, edits, i)
+            size = _piece_start(length, edits, i + 1) - start
+            low = F.greatest(F.lit(0), start - i, start + delta - (edits - i))
+            high = F.least(size_of - size, start + i, start + delta + (edits - i))
+            cuts = F.transform(
+                F.sequence(low, F.greatest(low, high)),
+                lambda at: F.concat_ws(":", length, i, value.substr(at + 1, size)),
+            )
+            return F.when(low <= high, cuts).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), edits), of_piece))
+
+    shortest = F.ceil(size_of / reach - 1e-9).cast("int")
+    longest = F.floor(size_of * reach + 1e-9).cast("int")
+    return F.array_distinct(F.flatten(F.transform(F.sequence(shortest, longest), of_length)))
+
+
+def _close_keys(value: Column, slack: float, own: bool) -> Column:
+    return _pieces(value, slack) if own else _probes(value, slack)
+
+
+def _sorted_words(value: Column) -> Column:
+    return F.array_join(F.array_sort(text.words(value)), " ")
+
+
+NAME_SLACK = 0.105  # names that score 89.5 or more
+TITLE_SLACK = 0.085  # titles that score 91.5 or more, so that ties are seen too
+
+
+def _name_keys(people: Column, own: bool) -> Column:
+    """Blocking keys of a credit: name tokens, and pieces for misspelled names."""
+    names = F.array_distinct(F.concat(text.full_names(people), text.substantial_names(people)))
+    tokens = F.array_distinct(F.flatten(F.transform(names, lambda n: F.split(n, " "))))
+    pieces = F.flatten(
+        F.transform(names, lambda n: text.let(_sorted_words(n), lambda v: _close_keys(v, NAME_SLACK, own)))
+    )
+    nobody = F.array(F.lit("-"))
+    keys = F.concat(tokens, F.transform(pieces, lambda p: F.concat(F.lit("~"), p)))
+    # A wanted name also has to see books that name nobody.
+    return F.when(F.size(people) == 0, nobody).otherwise(
+        keys if own else F.concat(keys, nobody)
+    )
+
+
+def _blocked(queries: DataFrame, books: DataFrame) -> DataFrame:
+    """Pairs of signatures that can decide a query with an author."""
+    wanted = queries.filter("author is not null")
+
+    same_title = wanted.select(
+        "q_id", F.col("norm").alias("_n"), F.explode(_name_keys(F.col("people"), False)).alias("_k")
+    ).filter("_n <> ''").join(
+        books.select(
+            "b_id", F.col("norm").alias("_n"), F.explode(_name_keys(F.col("people"), True)).alias("_k")
+        ),
+        ["_n", "_k"],
+    )
+
+    def by_person(rows: DataFrame, id_: str, own: bool) -> DataFrame:
+        tokens = F.array_distinct(
+            F.flatten(F.transform(text.full_names(F.col("people")), lambda n: F.split(n, " ")))
+        )
+        return (
+            rows.filter("norm <> ''")
+            .select(id_, F.explode(tokens).alias("_t"), _sorted_words(F.col("norm")).alias("_s"))
+            .select(id_, "_t", F.explode(_close_keys(F.col("_s"), TITLE_SLACK, own)).alias("_k"))
+        )
+
+    near_title = by_person(wanted, "q_id", False).join(by_person(books, "b_id", True), ["_t", "_k"])
+    return same_title.select("q_id", "b_id").unionByName(near_title.select("q_id", "b_id")).distinct()
+
+
+def _pairs(ids: DataFrame, queries: DataFrame, books: DataFrame) -> DataFrame:
+    left = queries.select(
+        "q_id", *[F.col(n).alias(f"q_{n}") for n in (*KEYS, "has_isbn")],
+        F.lit(None).cast("int").alias("q_year"), F.lit("").alias("q_identifier"),
+    )
+    right = books.select(
+        "b_id", *[F.col(n).alias(f"c_{n}") for n in (*KEYS, "has_isbn")],
+        F.col("book_id").alias("c_rank"), F.col("copies").alias("c_copies"),
+        F.lit(None).cast("int").alias("c_year"), F.lit("").alias("c_identifier"),
+    )
+    joined = ids.join(left, "q_id").join(right, "b_id")
+    # A find with an ISBN never becomes a book that has another one.
+    return joined.filter(~(F.col("q_has_isbn") & F.col("c_has_isbn")))
+
+
+def _signatures(rows: DataFrame, id_: str) -> DataFrame:
+    keyed = with_keys(rows).withColumn(
+        "has_isbn", F.coalesce(F.length("isbn") > 0, F.lit(False))
+    )
+    parts = [F.coalesce(F.col(n).cast("string"), F.lit("\u0000")) for n in SIGNATURE]
+    return keyed.withColumn(id_, F.md5(F.concat_ws("\u0001", *parts)))
+
+
+def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
+    """Existing book of each item, by ISBN or by an unattended match.
+
+    ``items(item_id, isbn, title, author)``, ``books(book_id, isbn, title, author)``
+    -> ``(item_id, book_id, how)`` for the items that have one.
+
+    Only signatures meet, and only inside blocks that lose no decisive pair: equal
+    titles with a related or missing author, or near titles of a shared name.
+    """
+    by_isbn = (
+        items.filter(F.length("isbn") > 0)
+        .join(books.groupBy("isbn").agg(F.min("book_id").alias("book_id")), "isbn")
+        .select("item_id", "book_id", F.lit("isbn").alias("how"))
+    )
+    open_ = items.join(by_isbn.select("item_id"), "item_id", "left_anti")
+    keyed = _signatures(open_, "q_id")
+    queries = keyed.groupBy("q_id").agg(
+        *[F.first(n).alias(n) for n in (*KEYS, "has_isbn")]
+    )
+    known = _signatures(books, "b_id").groupBy("b_id").agg(
+        *[F.first(n).alias(n) for n in (*KEYS, "has_isbn")],
+        F.min("book_id").alias("book_id"),
+        F.count("*").alias("copies"),
+    )
+    scored = score(_pairs(_blocked(queries, known), queries, known))
+    two = best_two(scored, ["q_id"], ["c_copies"])
+    best = F.col("best")
+    # Two copies with one signature are a tie of the winner with itself.
+    is_tied = tied(best, F.col("second")) | (best["c_copies"] > 1)
+    accepted = two.filter(
+        confidence(best, F.lit(True), is_tied)["confidence"] == AUTO_ACCEPT
+    ).select("q_id", best["c_rank"].alias("book_id"), best["title_exact"].alias("exact"))
+
+    near = accepted.filter("not exact").select("q_id")
+    overruled = _containing(queries.join(near, "q_id", "left_semi"), known)
+    with_author = accepted.select("q_id", "book_id").join(overruled, "q_id", "left_anti")
+    decided = with_author.unionByName(_without_author(queries, known))
+    by_match = keyed.select("item_id", "q_id").join(decided, "q_id").select(
+        "item_id", "book_id", F.lit("match").alias("how")
+    )
+    return by_isbn.unionByName(by_match)
+
+
+def _containing(queries: DataFrame, books: DataFrame) -> DataFrame:
+    """Queries for which a longer title holding all wanted words would rank first."""
+    def tokens(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_words", text.title_tokens(F.col("norm")))
+
+    # The longest word is the most selective one; every containing title has it.
+    wanted = tokens(queries).withColumn(
+        "_word",
+        F.element_at(
+            F.array_sort(F.transform("_words", lambda w: F.struct(-F.length(w), w.alias("w")))), 1
+        )["w"],
+    ).select("q_id", "_word", F.col("_words").alias("_wanted"))
+    found = tokens(books).select("b_id", F.explode(F.array_distinct("_words")).alias("_word"),
+                                 F.col("_words").alias("_found"))
+    ids = wanted.join(found, "_word").filter(
+        text.title_contained(F.col("_wanted"), F.col("_found"))
+    ).select("q_id", "b_id")
+    scored = score(_pairs(ids, queries, books))
+    first = ~F.col("author_conflict") & ~F.col("volume_conflict") & ~F.col("is_bundle")
+    accepted = (F.col("title_fuzzy") >= STRONG_TITLE) & F.col("author_exact")
+    return scored.filter(first & ~accepted).select("q_id").distinct()
+
+
+def _without_author(queries: DataFrame, books: DataFrame) -> DataFrame:
+    """Queries without an author take the one book with their exact title.
+
+    Books are counted per title, volume and form, so a title with many books
+    brings a few rows only.
+    """
+    forms = books.filter("norm <> ''").groupBy("norm", "volume", "bundle", "has_isbn").agg(
+        F.min("book_id").alias("book_id"), F.sum("copies").alias("copies")
+    )
+    left = queries.filter("author is null").select(
+        "q_id", "norm", F.col("volume").alias("q_volume"), F.col("bundle").alias("q_bundle"),
+        F.col("has_isbn").alias("q_isbn"),
+    )
+    ranked = (
+        left.join(forms, "norm")
+        .filter(~(F.col("q_isbn") & F.col("has_isbn")))
+        .withColumn("conflict", text.volumes_conflict(F.col("q_volume"), F.col("volume")))
+        .withColumn("worse", F.col("bundle") & ~F.col("q_bundle"))
+        .groupBy("q_id", "conflict", "worse")
+        .agg(F.sum("copies").alias("copies"), F.min("book_id").alias("book_id"))
+    )
+    best = ordered.first(ranked, ["q_id"], ["conflict", "worse"])
+    return best.filter("not conflict and copies = 1").select("q_id", "book_id")
+
+
+def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Book of every item, and the books after the batch.
+
+    Known books are linked first. The rest is grouped by ISBN, and without one by
+    normalised title and people; a group becomes one new book named after its first
+    item. Fuzzy matches among new items of one batch are not merged: the reference
+    order of single inserts does not exist in a batch.
+
+    ``items(item_id, isbn, title, author, series)``,
+    ``books(book_id, isbn, title, author, series)``.
+    """
+    found = find_books(items, books)
+    open_ = items.join(found.select("item_id"), "item_id", "left_anti")
+    keyed = with_keys(open_).withColumn(
+        "_work",
+        F.concat_ws("|", "norm", F.coalesce(F.col("volume").cast("string"), F.lit("")),
+                    F.array_join(F.array_sort(text.full_names(F.col("people"))), "&")),
+    )
+    by_isbn = F.when(F.length("isbn") > 0, F.concat(F.lit("isbn:"), "isbn"))
+    # A work that exactly one new ISBN carries also takes the items without one.
+    single = (
+        keyed.filter(by_isbn.isNotNull()).groupBy("_work")
+        .agg(F.min(by_isbn).alias("_low"), F.max(by_isbn).alias("_high"))
+        .filter("_low = _high").select("_work", F.col("_low").alias("_isbn"))
+    )
+    grouped = keyed.join(single, "_work", "left").withColumn(
+        "_group", F.coalesce(by_isbn, F.col("_isbn"), F.concat(F.lit("work:"), "_work"))
+    )
+    firsts = grouped.groupBy("_group").agg(F.min("item_id").alias("_first"))
+    created = grouped.join(firsts, "_group").select(
+        "item_id", F.concat(F.lit("new:"), "_first").alias("book_key")
+    )
+    assigned = found.select(
+        "item_id", F.concat(F.lit("book:"), "book_id").alias("book_key")
+    ).unionByName(created)
+
+    spelled = F.struct(
+        F.col("author").contains(","), -catalogue.diacritics(F.col("author")),
+        -F.length("author"), F.col("author"),
+    )
+    facts = items.join(assigned, "item_id").groupBy("book_key").agg(
+        F.min_by("title", "item_id").alias("new_title"),
+        F.min_by("isbn", F.when(F.length("isbn") > 0, F.col("item_id"))).alias("new_isbn"),
+        F.min_by("series", F.when(F.col("series").isNotNull(), F.col("item_id"))).alias("new_series"),
+        F.min_by("author", F.when(F.length("author") > 0, spelled)).alias("new_author"),
+    )
+    old = books.withColumn("book_key", F.concat(F.lit("book:"), "book_id"))
+    after = old.join(facts, "book_key", "full").select(
+        "book_key",
+        F.coalesce("title", "new_title").alias("title"),
+        F.coalesce("isbn", "new_isbn").alias("isbn"),
+        F.coalesce("series", "new_series").alias("series"),
+        better_spelling(F.col("author"), F.col("new_author")).alias("author"),
+    )
+    return assigned, after
+
+
+def better_spelling(kept: Column, seen: Column) -> Column:
+    """The better spelling of one person; a different person never replaces."""
+    def rank(name: Column) -> Column:
+        return F.struct(
+            name.contains(","), -catalogue.diacritics(name), -F.length(name), name
+        )
+
+    same = text.author_key(kept) == text.author_key(seen)
+    return (
+        F.when(kept.isNull(), seen)
+        .when(seen.isNotNull() & same & (rank(seen) < rank(kept)), seen)
+        .otherwise(kept)
+    )
+
+
+def learn_isbns(books: DataFrame, observations: DataFrame) -> DataFrame:
+    """ISBNs for books without one: the first observed that no other book carries.
+
+    ``observations(id, book_id, isbn)``. Where two books would learn one ISBN, the
+    earlier observation wins; the other book learns nothing in this batch.
+    """
+    lacking = books.filter("isbn is null").select("book_id")
+    seen = observations.filter(F.length("isbn") > 0).join(lacking, "book_id", "left_semi")
+    free = seen.join(books.filter("isbn is not null").select("isbn"), "isbn", "left_anti")
+    per_book = ordered.first(free.select("book_id", "isbn", "id"), ["book_id"], ["id"])
+    return ordered.first(per_book, ["isbn"], ["id"]).select("book_id", "isbn")
+
+
+# ------------------------------------------------------------ watchlist entries
+
+
+def resolve_entries(
+    entries: DataFrame, links: DataFrame, candidates: DataFrame, now: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Link rows of one catalogue for watchlist entries, and questions for a reader.
+
+    ``entries(query_id, book_id, title, author, year, identifier, pinned)``; a
+    pinned address wins over a remembered one, a failed search is trusted for seven
+    days, and only the rest is matched against ``candidates`` (with ``url``).
+    """
+    remembered = links.select("book_id", F.col("url").alias("_url"), "resolved_at")
+    known = entries.join(remembered, "book_id", "left").withColumn(
+        "how",
+        F.when(F.col("pinned").isNotNull(), "pinned")
+        .when(F.col("_url").isNotNull(), "remembered")
+        .when(now - F.col("resolved_at") < F.expr("INTERVAL 7 DAYS"), "waiting")
+        .otherwise("searched"),
+    )
+    searched = known.filter("how = 'searched'")
+    scored = scored_pairs(
+        searched.select("query_id", "title", "author", "year", "identifier"),
+        candidates.join(searched.select("query_id"), "query_id", "left_semi"),
+    )
+    two = best_two(scored, ["query_id"])
+    has_author = F.coalesce(F.length("author") > 0, F.lit(False))
+    judged = (
+        searched.select("query_id", "book_id", "title", "author")
+        .join(two, "query_id", "left")
+        .withColumn("_a", confidence(F.col("best"), has_author, tied(F.col("best"), F.col("second"))))
+        .select("query_id", "book_id", "title", "author", "_a.confidence", "_a.reason",
+                F.col("best.c_rank").alias("rank"))
+    )
+    places = candidates.select(
+        "query_id", "rank", F.col("title").alias("matched_title"),
+        F.col("author").alias("matched_author"), F.col("url").alias("found_url"),
+    )
+    matched = judged.join(places, ["query_id", "rank"], "left")
+    outcome = (
+        F.when(F.col("confidence") == AUTO_ACCEPT, "linked")
+        .when(F.col("confidence") == PROVISIONAL, "unsure").otherwise("not_found")
+    )
+    new = matched.select(
+        "book_id", outcome.alias("outcome"),
+        F.when(F.col("confidence") == AUTO_ACCEPT, F.col("found_url")).alias("url"),
+        F.when(F.col("confidence") != NO_MATCH, F.col("matched_title")).alias("matched_title"),
+        "reason", F.lit("searched").alias("how"),
+    )
+    kept = known.filter("how <> 'searched'").select(
+        "book_id",
+        F.when(F.col("how") == "waiting", "not_found").otherwise("linked").alias("outcome"),
+        F.coalesce("pinned", "_url").alias("url"),
+        F.lit(None).cast("string").alias("matched_title"),
+        F.lit(None).cast("string").alias("reason"), "how",
+    )
+    attention = matched.filter(F.col("confidence") == PROVISIONAL).select(
+        F.col("title").alias("entry_title"), F.col("author").alias("entry_author"), "reason",
+        F.col("matched_title").alias("best_guess"), F.col("found_url").alias("best_guess_url"),
+    )
+    return kept.unionByName(new), attention
+
+
+def resolve_numbers(
+    numbers: DataFrame, links: DataFrame, sources: DataFrame, items: DataFrame
+) -> DataFrame:
+    """Old product-number dismissals with a status: known, paused, no source, no item or new.
+
+    ``sources(source, enabled)``; ``items(source, source_item_id, …)`` is what the
+    sources know. Numbers already linked need no question, even at a paused source.
+    """
+    known = links.filter("source_item_id is not null").groupBy("source", "source_item_id").agg(
+        F.min("book_id").alias("book_id")
+    )
+    there = items.select("source", "source_item_id", F.lit(True).alias("_item")).distinct()
+    return (
+        numbers.join(known, ["source", "source_item_id"], "left")
+        .join(sources, "source", "left")
+        .join(there, ["source", "source_item_id"], "left")
+        .withColumn(
+            "status",
+            F.when(F.col("book_id").isNotNull(), "known")
+            .when(~F.col("enabled"), "paused")
+            .when(F.col("enabled").isNull(), "no source")
+            .when(F.col("_item").isNull(), "no item")
+            .otherwise("new"),
+        )
+        .drop("_item", "enabled")
+    )
+
+
+def missing_relations(books: DataFrame, relations: DataFrame, kinds: list[str]) -> DataFrame:
+    """Relation rows to add; an existing row, even an inactive one, stays untouched."""
+    wanted = books.select("profile_slug", "book_id").distinct().withColumn(
+        "kind", F.explode(F.array(*[F.lit(k) for k in kinds]))
+    )
+    return wanted.join(relations, ["profile_slug", "book_id", "kind"], "left_anti")
