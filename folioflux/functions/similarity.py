@@ -73,7 +73,7 @@ def title_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(SCORES)
-def _author_scores(
+def name_scores(
     wanted_full: pd.Series, wanted_short: pd.Series, found_full: pd.Series, found_short: pd.Series
 ) -> pd.DataFrame:
     fuzzy, strict = [], []
@@ -97,6 +97,6 @@ def author_scores(wanted: Column, found: Column) -> Column:
     """
     from folioflux.functions.text import full_names, substantial_names
 
-    return _author_scores(
+    return name_scores(
         full_names(wanted), substantial_names(wanted), full_names(found), substantial_names(found)
     )

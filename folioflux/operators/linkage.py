@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import catalogue, similarity, text
 from folioflux.operators import ordered
+from folioflux.session import materialize
 
 # ---------------------------------------------------------------- fixed values
 NO_MATCH_BELOW = 85
@@ -56,37 +57,42 @@ def with_keys(rows: DataFrame) -> DataFrame:
         rows.withColumn("norm", text.normalize_title(F.col("title")))
         .withColumn("volume", text.volume_of(F.col("title")))
         .withColumn("bundle", text.looks_like_bundle(F.col("title")))
-        .withColumn("people", text.normalize_authors(F.col("author")))
+        .withColumn("tokens", text.title_tokens(F.col("norm")))
+        .withColumn("_people", text.normalize_authors(F.col("author")))
+        .withColumn("names", text.full_names(F.col("_people")))
+        .withColumn("short_names", text.substantial_names(F.col("_people")))
+        .withColumn("name_tokens", text.substantial_tokens(F.col("_people")))
         .withColumn("author", F.nullif("author", F.lit("")))
+        .drop("_people")
     )
 
 
-KEYS = ["norm", "volume", "bundle", "people", "author"]
+KEYS = [
+    "norm", "volume", "bundle", "tokens", "names", "short_names", "name_tokens", "author",
+]
 
 
 def score(pairs: DataFrame) -> DataFrame:
     """Scores of pairs; wanted columns carry the prefix ``q_``, found ones ``c_``."""
     q, c = (lambda n: F.col(f"q_{n}")), (lambda n: F.col(f"c_{n}"))
-    q_tokens, c_tokens = text.title_tokens(q("norm")), text.title_tokens(c("norm"))
-    tokens_apart = ~F.arrays_overlap(
-        text.substantial_tokens(q("people")), text.substantial_tokens(c("people"))
-    )
-    named = (F.size(q("people")) > 0) & (F.size(c("people")) > 0)
+    tokens_apart = ~F.arrays_overlap(q("name_tokens"), c("name_tokens"))
+    named = (F.size(q("names")) > 0) & (F.size(c("names")) > 0)
     with_scores = pairs.withColumn(
         "title_fuzzy", similarity.title_similarity(q("norm"), c("norm"))
-    ).withColumn("_author", similarity.author_scores(q("people"), c("people")))
+    ).withColumn(
+        "_author",
+        similarity.name_scores(q("names"), q("short_names"), c("names"), c("short_names")),
+    )
     given_id = (F.length(q("identifier")) > 0) & (F.length(c("identifier")) > 0)
     return with_scores.select(
         "*",
         F.coalesce(given_id & (q("identifier") == c("identifier")), F.lit(False)).alias("id_match"),
         F.coalesce(given_id & (q("identifier") != c("identifier")), F.lit(False)).alias("id_conflict"),
         ((q("norm") != "") & (q("norm") == c("norm"))).alias("title_exact"),
-        text.title_contained(q_tokens, c_tokens).alias("title_contained"),
+        text.title_contained(q("tokens"), c("tokens")).alias("title_contained"),
         text.volumes_conflict(q("volume"), c("volume")).alias("volume_conflict"),
         (c("bundle") & ~q("bundle")).alias("is_bundle"),
-        (named & F.arrays_overlap(text.full_names(q("people")), text.full_names(c("people")))).alias(
-            "author_exact"
-        ),
+        (named & F.arrays_overlap(q("names"), c("names"))).alias("author_exact"),
         F.col("_author.fuzzy").alias("author_fuzzy"),
         (
             q("author").isNotNull() & c("author").isNotNull() & named
@@ -318,9 +324,9 @@ NAME_SLACK = 0.105  # names that score 89.5 or more
 TITLE_SLACK = 0.085  # titles that score 91.5 or more, so that ties are seen too
 
 
-def _name_keys(people: Column, own: bool) -> Column:
+def _name_keys(own: bool) -> Column:
     """Blocking keys of a credit: name tokens, and pieces for misspelled names."""
-    names = F.array_distinct(F.concat(text.full_names(people), text.substantial_names(people)))
+    names = F.array_distinct(F.concat("names", "short_names"))
     tokens = F.array_distinct(F.flatten(F.transform(names, lambda n: F.split(n, " "))))
     pieces = F.flatten(
         F.transform(names, lambda n: text.let(_sorted_words(n), lambda v: _close_keys(v, NAME_SLACK, own)))
@@ -328,7 +334,7 @@ def _name_keys(people: Column, own: bool) -> Column:
     nobody = F.array(F.lit("-"))
     keys = F.concat(tokens, F.transform(pieces, lambda p: F.concat(F.lit("~"), p)))
     # A wanted name also has to see books that name nobody.
-    return F.when(F.size(people) == 0, nobody).otherwise(
+    return F.when(F.size("names") == 0, nobody).otherwise(
         keys if own else F.concat(keys, nobody)
     )
 
@@ -338,17 +344,17 @@ def _blocked(queries: DataFrame, books: DataFrame) -> DataFrame:
     wanted = queries.filter("author is not null")
 
     same_title = wanted.select(
-        "q_id", F.col("norm").alias("_n"), F.explode(_name_keys(F.col("people"), False)).alias("_k")
+        "q_id", F.col("norm").alias("_n"), F.explode(_name_keys(False)).alias("_k")
     ).filter("_n <> ''").join(
         books.select(
-            "b_id", F.col("norm").alias("_n"), F.explode(_name_keys(F.col("people"), True)).alias("_k")
+            "b_id", F.col("norm").alias("_n"), F.explode(_name_keys(True)).alias("_k")
         ),
         ["_n", "_k"],
     )
 
     def by_person(rows: DataFrame, id_: str, own: bool) -> DataFrame:
         tokens = F.array_distinct(
-            F.flatten(F.transform(text.full_names(F.col("people")), lambda n: F.split(n, " ")))
+            F.flatten(F.transform("names", lambda n: F.split(n, " ")))
         )
         return (
             rows.filter("norm <> ''")
@@ -407,8 +413,8 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
         F.min("book_id").alias("book_id"),
         F.count("*").alias("copies"),
     )
-    scored = score(_pairs(_blocked(queries, known), queries, known))
-    two = best_two(scored, ["q_id"], ["c_copies"])
+    pairs = _pairs(_blocked(queries, known), queries, known)
+    two = best_two(score(pairs), ["q_id"], ["c_copies"])
     best = F.col("best")
     # Two copies with one signature are a tie of the winner with itself.
     is_tied = tied(best, F.col("second")) | (best["c_copies"] > 1)
@@ -429,7 +435,7 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
 def _containing(queries: DataFrame, books: DataFrame) -> DataFrame:
     """Queries for which a longer title holding all wanted words would rank first."""
     def tokens(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_words", text.title_tokens(F.col("norm")))
+        return rows.withColumnRenamed("tokens", "_words")
 
     # The longest word is the most selective one; every containing title has it.
     wanted = tokens(queries).withColumn(
@@ -485,12 +491,13 @@ def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataF
     ``items(item_id, isbn, title, author, series)``,
     ``books(book_id, isbn, title, author, series)``.
     """
-    found = find_books(items, books)
+    # The scores are costly and used three times, so they are written once.
+    found = materialize(find_books(items, books), "found-books")
     open_ = items.join(found.select("item_id"), "item_id", "left_anti")
     keyed = with_keys(open_).withColumn(
         "_work",
         F.concat_ws("|", "norm", F.coalesce(F.col("volume").cast("string"), F.lit("")),
-                    F.array_join(F.array_sort(text.full_names(F.col("people"))), "&")),
+                    F.array_join(F.array_sort("names"), "&")),
     )
     by_isbn = F.when(F.length("isbn") > 0, F.concat(F.lit("isbn:"), "isbn"))
     # A work that exactly one new ISBN carries also takes the items without one.

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "folioflux") -> SparkSession:
@@ -40,3 +40,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if base is None:
         base = tempfile.mkdtemp(prefix="spark-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    It survives the loss of executors and cuts the lineage of later steps.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
