@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflux.config import Profile
 from folioflux.functions import catalogue
+from folioflux.operators import bundles, changes, linkage, ordered
+from folioflux.operators.changes import ITEM
+from folioflux.plans import gate
+from folioflux.sources import sinks
 
 
 def fill_blurbs(finds: DataFrame, details: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -19,3 +25,240 @@ def fill_blurbs(finds: DataFrame, details: DataFrame, keys: Sequence[str]) -> Da
         .withColumn("cover_url", F.coalesce("detail_cover", "cover_url"))
         .drop("detail_blurb", "detail_cover")
     )
+
+
+def newest_for_judgement(log: DataFrame, books: DataFrame) -> DataFrame:
+    """Newest observation per profile and book, with the book's blurb where its own is cut."""
+    newest = ordered.latest(log.filter("book_id is not null"), ["profile_slug", "book_id"])
+    lacking = F.coalesce(F.length("blurb"), F.lit(0)) == 0
+    lacking = lacking | catalogue.is_truncated(F.col("blurb"))
+    return (
+        newest.join(books.select("book_id", F.col("blurb").alias("_of_book")), "book_id", "left")
+        .withColumn(
+            "blurb",
+            F.when(lacking & (F.length("_of_book") > 0), F.col("_of_book")).otherwise(F.col("blurb")),
+        )
+        .drop("_of_book")
+    )
+
+
+# ------------------------------------------------------------------------- run
+
+
+@dataclass
+class Run:
+    """Frames one run produces; nothing is computed before they are written."""
+
+    learned: DataFrame
+    deltas: DataFrame
+    rows: DataFrame
+    foreign: DataFrame
+    decided: DataFrame
+    seeded: DataFrame
+    digest: DataFrame
+    report: DataFrame
+
+
+def run(
+    observations: DataFrame,
+    log: DataFrame,
+    books: DataFrame,
+    ratings: DataFrame,
+    edges: DataFrame,
+    origin: DataFrame,
+    seeded: DataFrame,
+    swept: DataFrame,
+    attention: DataFrame,
+    failures: DataFrame,
+    profile: Profile,
+    run_time: Column,
+    rate: Callable[[DataFrame], DataFrame] | None = None,
+    with_bundles: bool = True,
+) -> Run:
+    """One run: state before, changes, snapshot, side facts, gate and digest.
+
+    ``log`` holds earlier runs only, so the previous state is read before the
+    snapshot exists. The snapshot does not depend on the gate: a failing judgement
+    costs a judgement and never history. Interests of a failed source stay unseeded.
+    """
+    latest = ordered.latest(log.select(*ITEM, *changes.STATE), ITEM)
+    compared = changes.with_stored_previous(observations, latest)
+    if with_bundles:
+        # Single prices come from what is stored, not from this run.
+        compared = bundles.with_advantage(
+            compared, bundles.last_prices(log, "title"), bundles.last_prices(log, "isbn"), edges, profile
+        )
+        bundle = F.col("advantage").isNotNull()
+    else:
+        bundle = None
+    deltas = changes.notifiable(changes.changes(compared, profile, bundle))
+    deltas = changes.suppress_unseeded(deltas, origin, seeded)
+    decided = gate.apply(deltas, ratings, profile, ["profile_slug", "run_id"], rate)
+    shown = decided.filter("shown")
+    if not with_bundles:
+        shown = shown.withColumn(
+            "advantage",
+            F.lit(None).cast("struct<volumes:bigint,shop:string,singles:bigint,saved_cents:bigint,saved_pct:int>"),
+        )
+    healthy = swept.join(failures.select("source").distinct(), "source", "left_anti")
+    return Run(
+        learned=linkage.learn_isbns(books, observations.select("id", "book_id", "isbn")),
+        deltas=deltas,
+        rows=sinks.observation_rows(observations, run_time),
+        foreign=sinks.foreign_ratings(observations),
+        decided=decided,
+        seeded=healthy.select("interest_id", "source", run_time.alias("seeded_at")),
+        digest=sinks.digest(shown, attention, failures, profile),
+        report=decided.groupBy("profile_slug", "run_id").agg(
+            F.count_if("shown").alias("shown"), F.count("*").alias("deltas")
+        ),
+    )
+
+
+def healthy_sources(observations: DataFrame) -> DataFrame:
+    """Probe of the sources as a check of what they delivered.
+
+    A source fails when it brought nothing with a price or a row without a title.
+    """
+    return observations.groupBy("source").agg(
+        F.count("*").alias("rows"),
+        F.count("price_cents").alias("priced"),
+        F.count_if(F.coalesce(F.col("title"), F.lit("")) == "").alias("broken"),
+    ).withColumn("ok", (F.col("priced") > 0) & (F.col("broken") == 0))
+
+
+def one_entry(observations: DataFrame, entry: Column) -> DataFrame:
+    """Rows of a run for one entry: collected and stored, but not compared."""
+    return observations.filter(entry & (F.col("match_reason") == "watchlist"))
+
+
+# ------------------------------------------------------------------------ seed
+
+
+def seed_rows(
+    watchlist: DataFrame, liked: DataFrame, owned: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Titles to be linked to books with the relation they carry, and unreadable lines.
+
+    ``watchlist(profile_slug, item_id, title, author, check_library, check_shop,
+    active, note)``, ``liked(profile_slug, item_id, kind, line)`` as free text,
+    ``owned(profile_slug, item_id, title, author, stars, note)``.
+    """
+    restriction = F.when(
+        F.col("check_library") != F.col("check_shop"),
+        F.when(F.col("check_library"), "library").otherwise("shop"),
+    )
+    none = F.lit(None)
+    watched = watchlist.select(
+        "profile_slug", "item_id", "title", "author", F.lit("watching").alias("kind"), "active",
+        restriction.alias("restriction"), "note", none.cast("int").alias("stars"),
+    )
+    split = liked.withColumn("p", catalogue.free_text_parts(F.col("line")))
+    readable = (F.col("p.title") != "") & F.col("p.author").isNotNull()
+    opinions = split.filter(readable).select(
+        "profile_slug", "item_id", "p.title", "p.author", "kind", F.lit(True).alias("active"),
+        none.cast("string").alias("restriction"), "p.note", none.cast("int").alias("stars"),
+    )
+    mine = owned.select(
+        "profile_slug", "item_id", "title", "author", F.lit("owned").alias("kind"),
+        F.lit(True).alias("active"), none.cast("string").alias("restriction"), "note", "stars",
+    )
+    rows = watched.unionByName(opinions).unionByName(mine)
+    return rows, split.filter(~readable).select("profile_slug", "kind", "line")
+
+
+def seed_report(rows: DataFrame, unresolved: DataFrame, interests: DataFrame) -> DataFrame:
+    """Counts per profile of what a seed brings."""
+    counts = rows.groupBy("profile_slug").agg(
+        F.count("*").alias("relations"), F.count("stars").alias("ratings")
+    )
+    lost = unresolved.groupBy("profile_slug").agg(F.count("*").alias("unresolved"))
+    wanted = interests.groupBy("profile_slug").agg(F.count("*").alias("interests"))
+    return (
+        counts.join(lost, "profile_slug", "left").join(wanted, "profile_slug", "left")
+        .fillna(0, ["unresolved", "interests"])
+    )
+
+
+# ---------------------------------------------------------------------- repair
+
+
+def repaired_blurbs(rows: DataFrame) -> DataFrame:
+    """Blurbs once instead of twice, and without leftover controls."""
+    return rows.withColumn(
+        "blurb", catalogue.clean_blurb(catalogue.without_teaser(F.col("blurb")))
+    )
+
+
+def renamed_source(rows: DataFrame, old: str, new: str, keys: Sequence[str]) -> DataFrame:
+    """Rename a source in keyed rows; where the new key exists already, its row stays."""
+    moved = rows.withColumn("_moved", F.col("source") == old).withColumn(
+        "source", F.when(F.col("source") == old, new).otherwise(F.col("source"))
+    )
+    return ordered.first(moved, list(keys), ["_moved", "seq"]).drop("_moved")
+
+
+def renamed_keys(
+    ratings: DataFrame, source: tuple[str, str] | None = None, origin: tuple[str, str] | None = None
+) -> DataFrame:
+    """Ratings of a renamed source or origin; a rating already under the new key wins."""
+    subject, who = F.col("subject"), F.col("origin")
+    if source:
+        prefix = f"item:{source[0]}:"
+        rest = F.substring(subject, len(prefix) + 1, 1 << 20)
+        subject = F.when(
+            subject.startswith(prefix), F.concat(F.lit(f"item:{source[1]}:"), rest)
+        ).otherwise(subject)
+    if origin:
+        who = F.when(who == origin[0], origin[1]).otherwise(who)
+    moved = ratings.withColumns({"_subject": subject, "_origin": who}).withColumn(
+        "_moved", (F.col("_subject") != F.col("subject")) | (F.col("_origin") != F.col("origin"))
+    )
+    renamed = moved.drop("subject", "origin").withColumnsRenamed(
+        {"_subject": "subject", "_origin": "origin"}
+    )
+    return ordered.first(renamed, ["subject", "origin"], ["_moved", "seq"]).drop("_moved")
+
+
+# ---------------------------------------------------------------------- covers
+
+
+def covers_to_fetch(
+    questions: DataFrame, suggestions: DataFrame, of_books: DataFrame, stored: DataFrame
+) -> DataFrame:
+    """Cover addresses of open questions, suggestions and books not stored yet."""
+    urls = (
+        questions.select("cover_url").unionByName(suggestions.select("cover_url"))
+        .unionByName(of_books.select("cover_url"))
+        .filter("length(cover_url) > 0").distinct()
+    )
+    return urls.withColumn("file", catalogue.file_name(F.col("cover_url"))).join(
+        stored.select("file"), "file", "left_anti"
+    )
+
+
+def first_cover_per_book(log: DataFrame, books: DataFrame) -> DataFrame:
+    """First observed cover of every book without one."""
+    bare = books.filter("cover_file is null").select("book_id")
+    seen = log.filter("book_id is not null and cover_url is not null").join(bare, "book_id", "left_semi")
+    return ordered.first(seen.select("book_id", "cover_url", "id"), ["book_id"], ["id"])
+
+
+# --------------------------------------------------------------- source plug-ins
+
+SourceReader = Callable[[SparkSession, dict], DataFrame]
+_READERS: dict[str, SourceReader] = {}
+
+
+def register_source(name: str, reader: SourceReader) -> None:
+    """A source is a function from a session and its options to observations."""
+    _READERS[name] = reader
+
+
+def read_sources(spark: SparkSession, options: dict[str, dict]) -> DataFrame:
+    """Union of the configured sources."""
+    frames = [_READERS[name](spark, opts).withColumn("source", F.lit(name)) for name, opts in options.items()]
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.unionByName(frame, allowMissingColumns=True)
+    return result

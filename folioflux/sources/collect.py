@@ -80,8 +80,12 @@ def by_author(hub: DataFrame, search: DataFrame, wanted: str = "author") -> Data
     Both carry ``(author, source, source_item_id, credited, rank)``.
     """
     # The match is evaluated once per pair of spellings, not once per hit.
+    # The aggregate keeps the optimizer from copying the score to the other join side.
     pairs = search.select(wanted, "credited").distinct()
-    good = pairs.filter(author_matches(F.col(wanted), F.col("credited")))
+    good = (
+        pairs.withColumn("_same", author_matches(F.col(wanted), F.col("credited")))
+        .groupBy(wanted, "credited").agg(F.bool_or("_same").alias("_same")).filter("_same")
+    )
     hits = search.join(hub.select(wanted).distinct(), wanted, "left_anti").join(
         good, [wanted, "credited"], "left_semi"
     )

@@ -162,7 +162,10 @@ def _listing_pages(t) -> DataFrame:
             F.lit('<div class="product--box box--list" data-ordernumber="'), order, F.lit('">'),
             F.lit('<a class="product--title" href="/x/'), number, F.lit('/'), F.lit('t?c=1" title="'), title_attr,
             F.lit('">'), text, F.lit(' <span class="product--subtitle">Roman</span></a>'),
-            F.lit('<a class="product--author" href="/a">von '), F.coalesce("author", F.lit("")), F.lit("</a>"),
+            F.coalesce(
+                F.concat(F.lit('<a class="product--author" href="/a">von '), "author", F.lit("</a>")),
+                F.lit(""),
+            ),
             F.lit('<span class="price--default">'),
             F.coalesce(F.replace(F.format_string("%.2f", c("price_cents") / 100), F.lit("."), F.lit(",")), F.lit("k. A.")),
             F.lit(' €</span><span class="product--badge">NEU</span><br></div>'),
