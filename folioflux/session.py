@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,3 +52,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    The vectorised functions import it; on a cluster it need not be installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    archive = shutil.make_archive(
+        os.path.join(folder, "folioflux"), "zip", root_dir=root, base_dir="folioflux"
+    )
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)

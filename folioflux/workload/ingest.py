@@ -372,8 +372,11 @@ def _(t):
     obs = t.obs.filter("author is not null and author not like '%Meier%'").select(
         "source", "source_item_id", c("author").alias("credited"), c("id").alias("rank")
     )
-    wanted = F.explode(F.array(*[F.lit(x) for x in ("Frank Schätzing", "Jo Nesbo", "Chris Carter")]))
-    search = obs.withColumn("author", wanted)
+    names = ("Frank Schätzing", "Jo Nesbo", "Chris Carter")
+    # Every find answers the search for every name; the match decides.
+    search = obs.withColumn(
+        "author", F.explode(F.array(*[F.when(c("rank") >= 0, x) for x in names]))
+    )
     hub = obs.filter("source = 'click'").withColumn("author", F.lit("Chris Carter"))
     return collect.by_author(hub, search).select("author", "source", "source_item_id")
 
