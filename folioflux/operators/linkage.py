@@ -53,18 +53,23 @@ def entry_of_book(books: DataFrame, watchlist: DataFrame) -> DataFrame:
 
 def with_keys(rows: DataFrame) -> DataFrame:
     """Comparable forms of ``title`` and ``author`` as columns, computed once per row."""
-    return (
-        rows.withColumn("norm", text.normalize_title(F.col("title")))
-        .withColumn("volume", text.volume_of(F.col("title")))
-        .withColumn("bundle", text.looks_like_bundle(F.col("title")))
-        .withColumn("tokens", text.title_tokens(F.col("norm")))
-        .withColumn("_people", text.normalize_authors(F.col("author")))
-        .withColumn("names", text.full_names(F.col("_people")))
-        .withColumn("short_names", text.substantial_names(F.col("_people")))
-        .withColumn("name_tokens", text.substantial_tokens(F.col("_people")))
-        .withColumn("author", F.nullif("author", F.lit("")))
-        .drop("_people")
-    )
+    first = rows.withColumns(
+        {
+            "norm": text.normalize_title(F.col("title")),
+            "volume": text.volume_of(F.col("title")),
+            "bundle": text.looks_like_bundle(F.col("title")),
+            "_people": text.normalize_authors(F.col("author")),
+            "author": F.nullif("author", F.lit("")),
+        }
+    )
+    return first.withColumns(
+        {
+            "tokens": text.title_tokens(F.col("norm")),
+            "names": text.full_names(F.col("_people")),
+            "short_names": text.substantial_names(F.col("_people")),
+            "name_tokens": text.substantial_tokens(F.col("_people")),
+        }
+    ).drop("_people")
 
 
 KEYS = [
@@ -397,6 +402,7 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
 
     Only signatures meet, and only inside blocks that lose no decisive pair: equal
     titles with a related or missing author, or near titles of a shared name.
+    Unlike other operators this one writes intermediate tables when it is called.
     """
     by_isbn = (
         items.filter(F.length("isbn") > 0)
@@ -404,23 +410,30 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
         .select("item_id", "book_id", F.lit("isbn").alias("how"))
     )
     open_ = items.join(by_isbn.select("item_id"), "item_id", "left_anti")
-    keyed = _signatures(open_, "q_id")
+    # Keys are costly and used by several joins: written once, and read as columns.
+    keyed = materialize(_signatures(open_, "q_id"), "item-keys")
     queries = keyed.groupBy("q_id").agg(
         *[F.first(n).alias(n) for n in (*KEYS, "has_isbn")]
     )
-    known = _signatures(books, "b_id").groupBy("b_id").agg(
-        *[F.first(n).alias(n) for n in (*KEYS, "has_isbn")],
-        F.min("book_id").alias("book_id"),
-        F.count("*").alias("copies"),
+    known = materialize(
+        _signatures(books, "b_id").groupBy("b_id").agg(
+            *[F.first(n).alias(n) for n in (*KEYS, "has_isbn")],
+            F.min("book_id").alias("book_id"),
+            F.count("*").alias("copies"),
+        ),
+        "book-keys",
     )
     pairs = _pairs(_blocked(queries, known), queries, known)
     two = best_two(score(pairs), ["q_id"], ["c_copies"])
     best = F.col("best")
     # Two copies with one signature are a tie of the winner with itself.
     is_tied = tied(best, F.col("second")) | (best["c_copies"] > 1)
-    accepted = two.filter(
-        confidence(best, F.lit(True), is_tied)["confidence"] == AUTO_ACCEPT
-    ).select("q_id", best["c_rank"].alias("book_id"), best["title_exact"].alias("exact"))
+    accepted = materialize(
+        two.filter(confidence(best, F.lit(True), is_tied)["confidence"] == AUTO_ACCEPT).select(
+            "q_id", best["c_rank"].alias("book_id"), best["title_exact"].alias("exact")
+        ),
+        "accepted",
+    )
 
     near = accepted.filter("not exact").select("q_id")
     overruled = _containing(queries.join(near, "q_id", "left_semi"), known)

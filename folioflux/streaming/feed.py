@@ -101,9 +101,11 @@ class ChangeFeed:
         return spark.read.parquet(os.path.join(self.base, name))
 
 
-def replay(spark: SparkSession, folder: str, schema: StructType, files: int = 1) -> DataFrame:
-    """Stream over the parquet files of a folder, oldest first."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-        .option("recursiveFileLookup", "true").parquet(folder)
-    )
+def observations(
+    spark: SparkSession, folder: str, schema: StructType, files: int | None = None
+) -> DataFrame:
+    """Stream over the parquet files that arrive in a folder."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(folder)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import rules
 from folioflux.session import shared_folder
-from folioflux.streaming.feed import ChangeFeed, replay
+from folioflux.streaming.feed import ChangeFeed, observations
 from folioflux.workload import sqltext as S
 from folioflux.workload.changes import _feed_sql
 from folioflux.workload.registry import query
@@ -19,19 +19,19 @@ c = F.col
 
 
 def _play(t, parts: int, whole_runs: bool, log: bool) -> tuple[ChangeFeed, str]:
-    """Write the log in ``parts`` steps and run the feed over it, one step at a time."""
+    """Let the log arrive in ``parts`` steps and run the feed after each of them."""
     base = shared_folder(t.spark, "feed")
     last = t.obs.agg(F.max("run_id" if whole_runs else "id").alias("_last"))
     step = c("run_id" if whole_runs else "id") * parts / (c("_last") + 1)
     # One row holds the greatest number.
     cut = t.obs.join(F.broadcast(last)).withColumn("_part", F.floor(step)).drop("_last")
+    feed = ChangeFeed(base, PROFILE, os.path.join(base, "log") if log else None)
     for part in range(parts):
-        cut.filter(c("_part") == part).drop("_part").coalesce(1).write.parquet(
+        cut.filter(c("_part") == part).drop("_part").write.parquet(
             os.path.join(base, "in", str(part))
         )
-    feed = ChangeFeed(base, PROFILE, os.path.join(base, "log") if log else None)
-    stream = replay(t.spark, os.path.join(base, "in"), t.obs.schema)
-    feed.start(stream, os.path.join(base, "checkpoint")).awaitTermination()
+        stream = observations(t.spark, os.path.join(base, "in"), t.obs.schema)
+        feed.start(stream, os.path.join(base, "checkpoint")).awaitTermination()
     return feed, base
 
 
