@@ -68,12 +68,21 @@ def empty_to_null(text: Column) -> Column:
 
 def clean_blurb(blurb: Column) -> Column:
     """Blurb without page controls; the closing dots stay, the text is cut."""
-    more = r"(?iuU)\s*(?:" + "|".join(MORE_LABELS) + r")?\s*(?:" + _ICONS + r")\s*$"
-    text = F.regexp_replace(blurb, more, "")
-    text = F.regexp_replace(text, r"(?U)\s*\b(?:" + _ICONS + r")\b\s*", " ")
-    text = strip(squeeze(text))
-    text = F.regexp_replace(text, r"(?iuU)\s*(?:" + "|".join(CONTROL_LABELS) + r")\s*$", "")
-    return empty_to_null(strip(text))
+    more = r"(?iuU)\s*+(?:(?:" + "|".join(MORE_LABELS) + r")\s*+)?(?:" + _ICONS + r")\s*+$"
+    # A plain search is much cheaper than the patterns, and few texts hold a control.
+    icons = r"(?i)" + _ICONS
+    labels = r"(?i)" + "|".join(CONTROL_LABELS)
+
+    def without_icons(text: Column) -> Column:
+        cut = F.regexp_replace(text, more, "")
+        return F.regexp_replace(cut, r"(?U)\s*+\b(?:" + _ICONS + r")\b\s*+", " ")
+
+    def without_label(text: Column) -> Column:
+        pattern = r"(?iuU)\s*+(?:" + "|".join(CONTROL_LABELS) + r")\s*+$"
+        return F.when(text.rlike(labels), strip(F.regexp_replace(text, pattern, ""))).otherwise(text)
+
+    plain = F.when(blurb.rlike(icons), without_icons(blurb)).otherwise(blurb)
+    return empty_to_null(let(strip(squeeze(plain)), without_label))
 
 
 def without_teaser(blurb: Column) -> Column:

@@ -75,12 +75,15 @@ def with_advantage(
     edges: DataFrame,
     profile: Profile,
     same_shop: bool = False,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Finds with ``advantage``: struct(volumes, shop, singles, saved_cents, saved_pct) or NULL.
 
     A record that lists two volumes or more decides alone; otherwise the slash
     form of the title does. The first shop in profile order with a saving wins.
-    ``same_shop`` compares only with singles of the find's own shop.
+    ``same_shop`` compares only with singles of the find's own shop. ``keys_from``
+    may name cheaper rows that contain every bundle of ``finds`` (such as the log
+    they come from); the offers are then worked out from those.
     """
     kind = (
         "struct<volumes:bigint,shop:string,singles:bigint,saved_cents:bigint,saved_pct:int>"
@@ -90,8 +93,9 @@ def with_advantage(
     rest = marked.filter(~F.col("_candidate")).drop("_candidate")
     wanted = marked.filter("_candidate").drop("_candidate")
 
+    bundles = wanted if keys_from is None else keys_from.filter(is_bundle_candidate())
     by_isbn = _offers(
-        wanted.filter(F.length("isbn") > 0)
+        bundles.filter(F.length("isbn") > 0)
         .select("profile_slug", "isbn")
         .distinct()
         .join(edges.select("isbn", F.col("contained").alias("volume")).distinct(), "isbn"),
@@ -100,7 +104,7 @@ def with_advantage(
         profile,
     ).select("profile_slug", "isbn", F.col("volumes").alias("_n_isbn"), F.col("offers").alias("_isbn"))
     by_title = _offers(
-        wanted.select("profile_slug", "title")
+        bundles.select("profile_slug", "title")
         .distinct()
         .select(
             "profile_slug", "title", F.explode(text.volume_titles(F.col("title"))).alias("volume")

@@ -35,7 +35,8 @@ def classified(
         lookups.decided_isbns(books, relations),
     )
     priced = bundles.with_advantage(
-        open_, bundles.last_prices(log, "title"), bundles.last_prices(log, "isbn"), edges, profile
+        open_, bundles.last_prices(log, "title"), bundles.last_prices(log, "isbn"), edges, profile,
+        keys_from=log,
     ).withColumn(
         "subject", catalogue.subject_of(F.col("isbn"), F.col("source"), F.col("source_item_id"))
     )

@@ -58,6 +58,7 @@ def with_advantage(t, finds: DataFrame) -> DataFrame:
         bundles.last_prices(t.obs, "isbn"),
         t.contains,
         PROFILE,
+        keys_from=t.obs,
     )
 
 

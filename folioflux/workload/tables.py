@@ -195,6 +195,11 @@ VIEWS: dict[str, str] = {"obs": _obs_sql("duckdb"), **_shared("duckdb")}
 _SPARK_VIEWS: dict[str, str] = {"obs": _obs_sql("spark"), **_shared("spark")}
 
 
+#: Sizes in bytes between which a single file is worth a repartition.
+SPREAD_FROM, SPREAD_TO = 1_500_000, 128_000_000
+TEXTS = ("documents", "pages")
+
+
 class Tables:
     """The raw tables of one directory and the catalogue views over them."""
 
@@ -203,24 +208,25 @@ class Tables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        path = os.path.join(self.sf_dir, f"{name}.parquet")
+        table = self.spark.read.parquet(path)
+        # A small file of texts is one row group and so one task, though each text is
+        # much work; spread it over the cores. Large tables come in many splits.
+        if name in TEXTS and os.path.isfile(path) and SPREAD_FROM <= os.path.getsize(path) <= SPREAD_TO:
+            table = table.repartition(self.spark.sparkContext.defaultParallelism)
+        return table
 
     def view(self, name: str) -> DataFrame:
         """A catalogue view; its SQL names raw tables or other views."""
-        text = _SPARK_VIEWS[name]
-        source = re.findall(r"FROM\s+(\w+)", text)
+        text = _SPARK_VIEWS[name].replace("{", "{{").replace("}", "}}")
         frames = {
             s: self.view(s) if s in _SPARK_VIEWS else self.raw(s)
-            for s in source
+            for s in re.findall(r"FROM\s+(\w+)", text)
             if s != "t"
         }
-        marked = text
         for s in frames:
-            marked = re.sub(rf"\bFROM\s+{s}\b", f"FROM {{{s}}}", marked)
-        # Braces of JSON literals are doubled so that only the names are filled in.
-        marked = re.sub(r"\{(?!(?:%s)\})" % "|".join(frames), "{{", marked)
-        marked = re.sub(r"(?<!\w)\}", "}}", marked)
-        return self.spark.sql(marked, **frames)
+            text = re.sub(rf"\bFROM\s+{s}\b", f"FROM {{{s}}}", text)
+        return self.spark.sql(text, **frames)
 
     @cached_property
     def obs(self) -> DataFrame:
