@@ -31,7 +31,7 @@ class ChangeFeed:
 
     base: str
     profile: Profile
-    #: Where to append the rows of each run as well; None keeps only the feed.
+    #: Where to append the observations as well; None keeps only the feed.
     log: str | None = None
 
     def folder(self, name: str, batch: int) -> str:
@@ -83,8 +83,11 @@ class ChangeFeed:
         )
         late.write.mode("overwrite").parquet(self.folder("late", batch))
         if self.log:
-            sinks.append_run(
-                sinks.observation_rows(current, F.current_timestamp().cast("timestamp_ntz")), self.log
+            # Late rows belong to the log as well; a run may go on in the next
+            # micro-batch, so each micro-batch owns its folder.
+            stored = sinks.observation_rows(rows, F.current_timestamp().cast("timestamp_ntz"))
+            stored.write.mode("overwrite").partitionBy("profile_slug", "run_id").parquet(
+                os.path.join(self.log, f"batch={batch:012d}")
             )
         # The new state comes last: without it the micro-batch counts as not done.
         chained.groupBy(*ITEM).agg(

@@ -394,8 +394,6 @@ def _(t):
     )
 
 
-_BUDGET = 40
-
 
 @query(
     "set_03_distinct_scopes",

@@ -101,6 +101,8 @@ def test_stream_keeps_runs_apart_and_survives_a_repeat(spark):
     # Row 3 belongs to run 2 and meets the state of run 1; row 4 meets the last row of run 2.
     assert got == [(1, "first_seen"), (2, "price_drop"), (3, "price_drop"), (4, "price_rise"), (6, "price_drop")]
     assert [r.id for r in feed.read(spark, "late").collect()] == [5]
+    # Run 2 spreads over two micro-batches, and nothing of it is lost or doubled.
+    assert sorted(r.id for r in spark.read.parquet(feed.log).collect()) == [1, 2, 3, 4, 5, 6]
 
 
 def test_appending_a_run_twice_replaces_it(spark):
