@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.functions import catalogue as C
 from folioflux.functions import rules as R
 from folioflux.functions import text as T
-from folioflux.operators import bundles, changes, lookups, ordered
+from folioflux.operators import bundles, changes, lookups
 from folioflux.operators.changes import ITEM
 from folioflux.workload import sqltext as S
 from folioflux.workload.registry import query

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflux.config import source_kind
-from folioflux.functions import catalogue as C
 from folioflux.functions import rules as R
-from folioflux.operators import linkage, ordered, state
+from folioflux.operators import linkage, state
 from folioflux.plans import gate, home, watchlist
 from folioflux.workload.registry import query
 from folioflux.workload.tables import PROFILE

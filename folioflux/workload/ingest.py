@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.functions import catalogue as C
 from folioflux.operators import changes, lookups, ordered, state
 from folioflux.operators.changes import ITEM
-from folioflux.plans import watchlist
 from folioflux.sources import catalogue_json, collect, marc, pages, records, sinks, validation
 from folioflux.workload import sqltext as S
 from folioflux.workload.registry import query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflux.functions import catalogue as C
-from folioflux.operators import lookups, ordered, state
+from folioflux.operators import lookups, state
 from folioflux.operators.changes import ITEM
 from folioflux.plans import gate, pages, watchlist
 from folioflux.workload import sqltext as S

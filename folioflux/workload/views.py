@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflux.functions import catalogue as C
 from folioflux.operators import lookups, ordered, state
 from folioflux.operators.changes import ITEM
-from folioflux.plans import gate, home, pages
+from folioflux.plans import home, pages
 from folioflux.plans import pile as piles
 from folioflux.plans import watchlist
 from folioflux.workload import sqltext as S
