@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,14 +35,19 @@ def local_session(cpus: int | str = 8, app: str = "folioflux") -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint directory.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only where
-    it is unset (tests) a local temporary directory takes its place.
+    ``spark.checkpoint.dir`` names storage every executor can reach. Where it is unset,
+    a session within one process (tests) gets a folder of its own; on a cluster that is
+    an error, as each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if base is None:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
