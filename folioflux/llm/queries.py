@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import chat_format, packing, pii, quality_rules, simhash, token_files
+from folioflux.llm import (
+    chat_format,
+    line_dedup,
+    packing,
+    pii,
+    pu_classifier,
+    quality_rules,
+    simhash,
+    token_files,
+)
 from folioflux.llm.common import table
 from folioflux.session import shared_folder
 
@@ -25,6 +34,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_line_dedup", line_dedup.SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated(documents)
+
+
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,6 +62,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_windows(turns.unionByName(added)))
 
 
+@query("op6_pu_classifier")
+def op6_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_pii")
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), with_text=False))
