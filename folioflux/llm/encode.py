@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -111,3 +112,9 @@ class WordEncoder:
         for word in [word for word in new if len(word) > LONGEST_KEPT]:
             del known[word]
         return out
+
+
+@cache
+def encoder(path: str | None = None) -> WordEncoder:
+    """The worker's own encoder: later tasks go on with the words it knows."""
+    return WordEncoder(path)

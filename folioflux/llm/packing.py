@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.llm.common import fan_out, pick, shipped, slices, text_or_empty, written
-from folioflux.llm.encode import WordEncoder
+from folioflux.llm.encode import encoder
 
 WINDOW = 2048
 
@@ -43,11 +43,11 @@ def _cutter(tokenizer: str | None, end_id: int, window: int, keep_ids: bool):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         number = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             rows = {n: [] for n in ("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            texts = encoder.encode_all(batch["text"].to_pylist())
+            texts = words.encode_all(batch["text"].to_pylist())
             for doc_id, found in zip(batch["doc_id"].to_pylist(), texts):
                 data = found + end
                 total = len(data) // 4

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflux.llm.common import pick, shipped, slices, text_or_empty
-from folioflux.llm.encode import WordEncoder
+from folioflux.llm.encode import encoder
 
 #: Stands for a null document id in the files.
 NO_ID = -(2**63)
@@ -64,7 +64,7 @@ def _commit(system: fs.FileSystem, temporary: str, path: str) -> None:
 
 def _writer(folder: str, tokenizer: str | None, end_id: int, width: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.asarray([end_id], dtype=width).tobytes()
+        words, end = encoder(tokenizer), np.asarray([end_id], dtype=width).tobytes()
         task = TaskContext.get()
         system, root = fs.FileSystem.from_uri(folder)
         path = f"{root}/part-{task.partitionId():06d}"
@@ -73,7 +73,7 @@ def _writer(folder: str, tokenizer: str | None, end_id: int, width: str):
         for batch in slices(batches):
             if out is None:
                 out = system.open_output_stream(f"{path}.ids{mark}")
-            data = encoder.encode_all(batch["text"].to_pylist())
+            data = words.encode_all(batch["text"].to_pylist())
             for doc_id, found in zip(batch["doc_id"].to_pylist(), data):
                 tokens = np.frombuffer(found, dtype="<u4")
                 out.write(tokens.astype(width).tobytes())
