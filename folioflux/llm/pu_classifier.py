@@ -13,8 +13,9 @@ gets a few thousand sums whatever the number of rows.
 
 The class prior pi is estimated from a first score that only tells P from U: where the
 texts look most like positives, U holds hardly any negatives, so the share of U above a
-score over the share of P above it comes close to pi from above; its least value over the
-thresholds above which a tenth of P lies is taken, with a margin for small counts.
+score over the share of P above it comes close to pi; its least value over the thresholds
+above which three tenths of P lie is taken. The penalty on the weights is ten over the
+number of positives, so few labels do not tell the texts from themselves.
 
 Inputs are counts and shares taken from the whole text, never labels, language, source
 or id. Rows whose crc32(id as text) mod 5 is 0 give no label.
@@ -40,9 +41,11 @@ from folioflux.llm.common import pick, shipped, slices, text_or_empty, written
 
 FOLDS = 5
 PREDICT_FROM = 0.3
-ROUNDS, PENALTY = 15, 1e-4
+ROUNDS = 15
+#: Of the squared weights, over the number of positives.
+PENALTY = 10.0
 #: Share of the positives that must lie above a threshold used for the prior.
-PRIOR_TAIL = 0.1
+PRIOR_TAIL = 0.3
 SCORE_BINS = 400
 
 MARKS = "#*$%&|<>"
@@ -192,7 +195,7 @@ class Model:
 def _minimise(rows: DataFrame, start: Model, prior: float, n: float, n_positive: float) -> Model:
     """Newton steps on the non-negative risk from the start's weights."""
     size, steps = WIDTH + 1, 0.5 ** np.arange(8)
-    penalty = PENALTY * np.concatenate([[0.0], np.ones(WIDTH)])
+    penalty = PENALTY / n_positive * np.concatenate([[0.0], np.ones(WIDTH)])
     model = start
     for _ in range(ROUNDS):
 
@@ -238,9 +241,7 @@ def _prior(rows: DataFrame, model: Model, n: float, n_positive: float) -> float:
     every, good = _sums(rows, 2 * SCORE_BINS, counts).reshape(2, -1)
     above, good_above = np.cumsum(every[::-1]) / n, np.cumsum(good[::-1]) / n_positive
     use = good_above >= PRIOR_TAIL
-    margin = 1 / math.sqrt(n) + 1 / math.sqrt(n_positive)
-    ratio = (above[use] + margin * np.sqrt(above[use])) / good_above[use]
-    return float(np.clip(ratio.min(), 0.05, 0.95))
+    return float(np.clip((above[use] / good_above[use]).min(), 0.05, 0.95))
 
 
 def fit(rows: DataFrame) -> Model:
