@@ -40,14 +40,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflux.llm.common import pick, shipped, slices, text_or_empty, written
+from folioflux.llm.common import fresh, pick, shipped, slices, text_or_empty, written
 from folioflux.llm.components import smallest_reachable
 from folioflux.llm.golay import nearby
 
 BITS, SHINGLE, SEED = 64, 3, 42
+#: Orders rows without an id after all others.
+LAST = (1 << 63) - 1
 MOST_ERRORS = 3
 #: Shingles whose hashes are held at once.
 HASHES_AT_ONCE = 1 << 16
@@ -82,20 +84,23 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit number."""
+    """doc_id, a hash of the text, and the fingerprint as a signed 64-bit number."""
     shipped(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t) for t in batch["text"].to_pylist()], dtype="<u8")
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(found.view("<i8"), pa.int64())], names=["doc_id", "print"]
+                [batch["doc_id"], batch["content"], pa.array(found.view("<i8"), pa.int64())],
+                names=["doc_id", "content", "print"],
             )
 
     rows = pick(docs, doc_id="doc_id", text="text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text_or_empty()).alias("content"),
+        text_or_empty().alias("text"),
     )
-    return rows.mapInArrow(run, "doc_id long, print long")
+    return rows.mapInArrow(run, "doc_id long, content long, print long")
 
 
 def segments(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +243,10 @@ def links_of(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+
+    ``content`` is a hash of the text and ``root`` a name that each component has alone.
+    """
     marked = written(fingerprints(docs), "simhash")
     # One row per different print, with the smallest id that has it.
     distinct = written(marked.groupBy("print").agg(F.min("doc_id").alias("doc_id")), "simhash-prints")
@@ -251,14 +259,42 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         .groupBy("root")
         .agg(F.min("doc_id").alias("component_id"))
         .join(members, "root")
-        .select("print", "component_id", F.lit(True).alias("linked"))
+        .select("print", "component_id", "root")
     )
+    linked = F.col("root").isNotNull()
     labels = distinct.join(named, "print", "left").select(
         "print",
-        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("root", "print").alias("root"),
     )
     return marked.join(labels, "print").select(
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",
+        "content",
+        "root",
+    )
+
+
+def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """One row of each component, that with the smallest id, with all its columns.
+
+    Rows without an id are represented by others where there are any.
+    """
+    doc, content, rank = (fresh(docs, f"_simhash_{n}") for n in ("doc", "content", "rank"))
+    keyed = docs.withColumns(
+        {
+            doc: F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)),
+            content: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))),
+        }
+    )
+    found = near_duplicates(keyed.select(F.col(doc).alias("doc_id"), docs["text"]), crowd)
+    stay = (
+        found.groupBy("root")
+        .agg(F.min(F.struct("doc_id", "content")).alias("stays"))
+        .select(F.col("stays.doc_id").alias(doc), F.col("stays.content").alias(content))
     )
+    # Equal rows: one, which is taken in each partition before the shuffle.
+    first = F.row_number().over(Window.partitionBy(doc, content).orderBy(doc))
+    once = keyed.withColumn(rank, first).where(F.col(rank) == 1)
+    return once.join(stay, [doc, content], "left_semi").select(*docs.columns)
