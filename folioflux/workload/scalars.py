@@ -27,9 +27,13 @@ def _(t):
     return t.documents.select("doc_id", F.md5(T.fold(c("text"))).alias("folded"))
 
 
-@query("fn_01_fold_all_scripts", f"SELECT doc_id, md5({S.fold('text')}) AS folded FROM documents")
+@query(
+    "fn_01_fold_all_scripts",
+    f"SELECT doc_id, md5({S.fold('text')} || '...fiiitmnoh\u2010\u0438\u1100\u1161\u11a8') AS folded FROM documents",
+)
 def _(t):
-    return t.documents.select("doc_id", F.md5(T.fold_any(c("text"))).alias("folded"))
+    rare = F.lit("\u2026\ufb01\u2161\u2122\u2116\u210c\u2011\u0439\uac01")
+    return t.documents.select("doc_id", F.md5(T.fold(F.concat("text", rare))).alias("folded"))
 
 
 @query("fn_02_normalize_title", "SELECT title, coalesce(norm, '') AS norm FROM title_norm")
