@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 from pyspark.sql import Column
@@ -147,7 +149,7 @@ def theme_name(category: Column) -> Column:
     """Readable name of the last part of a category path."""
     last = F.element_at(F.split(F.btrim(category, F.lit("/")), "/"), -1)
     text = strip(F.replace(last, F.lit("-"), F.lit(" ")))
-    readable = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
+    readable = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
     return let(last, lambda t: empty_to_null(label_map(THEME_NAMES, t, readable)))
 
 
@@ -205,8 +207,19 @@ def isbn_in_text(text: Column) -> Column:
     return empty_to_null(F.regexp_extract(digits, rf"(?<!\d)({ISBN13})(?!\d)", 1))
 
 
-def canonical_url(url: Column) -> Column:
-    return F.regexp_replace(url, r"[?#].*$", "")
+def canonical_url(url: Column, base: str | None = None) -> Column:
+    """The address without query and fragment; a relative one is joined with the base."""
+    plain = F.regexp_replace(url, r"[?#].*$", "")
+    if base is None:
+        return plain
+    scheme, host = re.match(r"([a-z][a-z0-9+.-]*:)(//[^/?#]*)", base).groups()
+    folder = re.match(r"[^?#]*/|[^?#]*", base[len(scheme + host) :])[0] or "/"
+    return (
+        F.when(plain.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), plain)
+        .when(plain.startswith("//"), F.concat(F.lit(scheme), plain))
+        .when(plain.startswith("/"), F.concat(F.lit(scheme + host), plain))
+        .otherwise(F.concat(F.lit(scheme + host + folder), plain))
+    )
 
 
 def product_id(url: Column) -> Column:

@@ -205,7 +205,7 @@ def renamed_keys(
     subject, who = F.col("subject"), F.col("origin")
     if source:
         prefix = f"item:{source[0]}:"
-        rest = F.substring(subject, len(prefix) + 1, 1 << 20)
+        rest = F.substr(subject, F.lit(len(prefix) + 1))
         subject = F.when(
             subject.startswith(prefix), F.concat(F.lit(f"item:{source[1]}:"), rest)
         ).otherwise(subject)

@@ -13,8 +13,8 @@ SORT_MARKS = "&#15[26];|[\u0098\u009c]"
 SUBFIELD = "struct<_code:string,_VALUE:string>"
 FIELD = f"struct<_tag:string,subfield:array<{SUBFIELD}>>"
 ANSWER = (
-    "numberOfRecords string, records struct<record:struct<recordData:"
-    f"struct<record:struct<datafield:array<{FIELD}>>>>>"
+    "numberOfRecords string, records struct<record:array<struct<recordData:"
+    f"struct<record:struct<datafield:array<{FIELD}>>>>>>"
 )
 # ------------------------------------------------------------------------------
 
@@ -30,8 +30,11 @@ def records(answers: DataFrame, column: str = "xml") -> tuple[DataFrame, DataFra
     parsed = answers.select("isbn", F.from_xml(text, ANSWER).alias("a"))
     fields = parsed.select(
         "isbn",
-        F.when(F.col("a.numberOfRecords") != "0", F.col("a.records.record.recordData.record.datafield"))
-        .alias("f"),
+        # The fields of all records of an answer, in order.
+        F.when(
+            F.col("a.numberOfRecords") != "0",
+            F.flatten(F.array_compact(F.col("a.records.record.recordData.record.datafield"))),
+        ).alias("f"),
     )
 
     def of_tag(tag: str) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.functions import catalogue
@@ -185,8 +185,14 @@ LABEL_SERIES, LABEL_ISBN = "Reihe:", "ISBN:"
 # ------------------------------------------------------------------------------
 
 
-def listing_tiles(pages: DataFrame, rules: Sequence[Rule] = LISTING) -> tuple[DataFrame, DataFrame]:
-    """Tiles of listing pages, once per order number, and pages with a broken structure."""
+def listing_tiles(
+    pages: DataFrame, rules: Sequence[Rule] = LISTING, base: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Tiles of listing pages, once per order number, and pages with a broken structure.
+
+    A page with a broken tile is an error and yields none of its tiles. Relative links
+    are joined with the base address, if there is one.
+    """
     found = elements(pages, rules)
     tiles = found.filter("scope > 0").groupBy("page_id", "scope").agg(
         _attr("tile", "data-ordernumber").alias("order_number"),
@@ -194,7 +200,7 @@ def listing_tiles(pages: DataFrame, rules: Sequence[Rule] = LISTING) -> tuple[Da
         _text("subtitle").alias("subtitle"),
         _text("author").alias("_author"),
         catalogue.parse_price(_text("price")).alias("price_cents"),
-        catalogue.canonical_url(_attr("title", "href")).alias("url"),
+        catalogue.canonical_url(_attr("title", "href"), base).alias("url"),
         _attr("note", "data-note-article").alias("_note"),
         _text("description").alias("blurb"),
         F.coalesce(_attr("image", "data-srcset"), _attr("image", "srcset"), _attr("image", "src"))
@@ -217,8 +223,11 @@ def listing_tiles(pages: DataFrame, rules: Sequence[Rule] = LISTING) -> tuple[Da
         F.col("title").isNull() | F.col("url").isNull() | F.col("product_id").isNull()
     )
     # A page has few tiles, so the group is small.
+    of_page = Window.partitionBy("page_id")
     good = (
-        typed.filter(~broken)
+        typed.withColumn("_void", F.bool_or(broken).over(of_page))
+        .filter("not _void")
+        .drop("_void")
         .groupBy("page_id", "order_number")
         .agg(F.min_by(F.struct(*[c for c in typed.columns if c not in ("page_id", "order_number")]), "scope").alias("_t"))
         .select("page_id", "order_number", "_t.*")
@@ -271,7 +280,7 @@ def library_details(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def labelled(label: str) -> Column:
         mine = (F.col("field") == "row") & F.col("text").startswith(label)
-        value = F.trim(F.substring(F.col("text"), len(label) + 1, 1 << 20))
+        value = F.trim(F.substr(F.col("text"), F.lit(len(label) + 1)))
         return catalogue.empty_to_null(
             F.trim(F.regexp_replace(F.min_by(value, F.when(mine, F.col("pos"))), r";+$", ""))
         )
@@ -313,29 +322,45 @@ def library_details(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def result_cards(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates, announced hits per page, and pages that are no answer."""
-    found = elements(pages, CARDS)
-    cards = found.filter("scope > 0").groupBy("page_id", "scope").agg(
+    """Candidates, announced hits per page, and pages that are no answer.
+
+    A page of an expired session yields no candidates, whatever it shows.
+    """
+    every = elements(pages, CARDS)
+    of_whole = F.col("field") == "page"
+    # What is asked of a page's text is asked before anything is shuffled.
+    found = every.select(
+        "page_id", "scope", "field", "pos", "attrs",
+        F.when(~of_whole, F.col("text")).alias("text"),
+        (of_whole & F.col("text").contains(NO_HITS)).alias("_none"),
+        (of_whole & F.col("text").contains(EXPIRED)).alias("_expired"),
+        F.when(
+            of_whole, F.expr(f"try_cast(regexp_extract(text, '([0-9]+)\\\\s+{HITS}', 1) as int)")
+        ).alias("_hits"),
+    )
+    of_page = Window.partitionBy("page_id")
+    valid = found.withColumn("_void", F.bool_or("_expired").over(of_page)).filter("not _void")
+    cards = valid.filter("scope > 0").groupBy("page_id", "scope").agg(
         _text("title").alias("title"), _text("subtitle").alias("subtitle"),
         _text("author").alias("author"), _text("abstract").alias("blurb"),
         _attr("medium", "test-id").alias("medium"), _attr("link", "href").alias("url"),
     )
     complete = F.col("title").isNotNull() & F.col("url").isNotNull()
     page = found.groupBy("page_id").agg(
-        F.max(F.when(F.col("field") == "page", F.col("text"))).alias("_text"),
+        F.bool_or("_none").alias("_none"),
+        F.bool_or("_expired").alias("_expired"),
+        F.max("_hits").alias("_hits"),
         F.count_if(F.col("field") == "card").alias("_cards"),
     )
-    none = F.col("_text").contains(NO_HITS)
+    none = F.col("_none")
     hits = page.select(
         "page_id",
-        F.when(none, 0).otherwise(
-            F.expr(f"try_cast(regexp_extract(_text, '([0-9]+)\\\\s+{HITS}', 1) as int)")
-        ).alias("total_hits"),
+        F.when(none, 0).otherwise(F.col("_hits")).alias("total_hits"),
     )
     errors = (
         page.withColumn(
             "error",
-            F.when(F.col("_text").contains(EXPIRED), "session expired")
+            F.when(F.col("_expired"), "session expired")
             .when((F.col("_cards") == 0) & ~none, "no cards and no empty answer"),
         )
         .filter("error is not null").select("page_id", "error")

@@ -176,6 +176,8 @@ def _listing_pages(t) -> DataFrame:
         box(order, c("title"), F.lit("abc"), item),
         box(order, F.lit("zweite"), F.lit("abc"), item),
         box(F.concat(F.lit("B"), "id"), F.lit(""), c("title"), item),
+        # A box without title and link voids the page, good boxes and all.
+        F.when(c("id") % 20 == 2, '<div class="product--box" data-ordernumber="Z"></div>').otherwise(""),
         F.lit("</div></body></html>"),
     )
     empty = F.when(c("id") % 20 == 0, "<p>keine Artikel gefunden</p>").when(
@@ -187,12 +189,12 @@ def _listing_pages(t) -> DataFrame:
 @query(
     "src_06_listing_tiles",
     """SELECT id AS page_id, order_number, title || extra AS title, author, price_cents, isbn,
-  '/x/' || source_item_id || '/t' AS url, source_item_id AS product_id FROM (
+  'https://shop.example/x/' || source_item_id || '/t' AS url, source_item_id AS product_id FROM (
   SELECT *, 'SW' || coalesce(isbn, '123') || '110' AS order_number, '' AS extra FROM obs
-  UNION ALL SELECT * REPLACE (NULL AS isbn), 'B' || id, ' Roman' FROM obs) WHERE id % 20 > 1""",
+  UNION ALL SELECT * REPLACE (NULL AS isbn), 'B' || id, ' Roman' FROM obs) WHERE id % 20 > 2""",
 )
 def _(t):
-    good, _ = pages.listing_tiles(_listing_pages(t))
+    good, _ = pages.listing_tiles(_listing_pages(t), base="https://shop.example/romane/seite-1")
     return good.select(
         "page_id", "order_number", "title", "author", "price_cents", "isbn", "url", "product_id"
     )
@@ -200,7 +202,8 @@ def _(t):
 
 @query(
     "src_06_listing_errors",
-    "SELECT id AS page_id, 'no tiles and no empty answer' AS error FROM obs WHERE id % 20 = 1",
+    """SELECT id AS page_id, CASE id % 20 WHEN 1 THEN 'no tiles and no empty answer'
+  ELSE 'tile without title, link or id' END AS error FROM obs WHERE id % 20 IN (1, 2)""",
 )
 def _(t):
     return pages.listing_tiles(_listing_pages(t))[1]
@@ -290,7 +293,7 @@ def _cards(t) -> DataFrame:
     )
     html = (
         F.when(c("id") % 10 == 0, "<p>keine Titeltreffer</p>")
-        .when(c("id") % 10 == 1, "<p>Ihre Sitzung ist abgelaufen</p>")
+        .when(c("id") % 10 == 1, F.concat(F.lit("<p>Ihre Sitzung ist abgelaufen</p>"), card))
         .otherwise(F.concat(F.lit("<p>12 Titeltreffer</p>"), card, card))
     )
     return t.obs.select(c("id").alias("page_id"), html.alias("html"))
@@ -321,6 +324,9 @@ def _marc(t) -> DataFrame:
     )
     sub = lambda code, value: F.concat(F.lit(f'<subfield code="{code}">'), value, F.lit("</subfield>"))
     tag = lambda n, inner: F.concat(F.lit(f'<datafield tag="{n}" ind1=" ">'), inner, F.lit("</datafield>"))
+    edges = lambda some: F.array_join(
+        F.transform(some, lambda x: tag("770", F.concat(sub("i", F.lit("Enthält")), sub("z", x), sub("z", F.lit("bad"))))), ""
+    )
     xml = F.concat(
         F.lit('<searchRetrieveResponse xmlns="http://www.loc.gov/zing/srw/"><numberOfRecords>'),
         F.when(c("isbn").endswith("7"), "0").otherwise("1"),
@@ -328,9 +334,11 @@ def _marc(t) -> DataFrame:
         tag("041", sub("a", F.lit("ger"))),
         tag("245", F.concat(sub("a", F.concat(F.lit("&#152;Der&#156; Titel "), "isbn")), sub("c", F.lit("Credit")))),
         tag("490", F.concat(sub("a", F.lit("Reihe")), sub("v", F.lit("3")))),
-        F.array_join(
-            F.transform("v", lambda x: tag("770", F.concat(sub("i", F.lit("Enthält")), sub("z", x), sub("z", F.lit("bad"))))), ""
-        ),
+        # The volumes are spread over two records of one answer.
+        edges(F.slice("v", 1, 1)),
+        F.lit("</record></recordData></record><record><recordData><record>"),
+        tag("245", sub("a", F.lit("Zweiter Satz"))),
+        edges(F.slice("v", 2, 1000)),
         F.lit("</record></recordData></record></records></searchRetrieveResponse>"),
     )
     return volumes.select("isbn", xml.alias("xml"))
