@@ -519,8 +519,24 @@ def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataF
         .agg(F.min(by_isbn).alias("_low"), F.max(by_isbn).alias("_high"))
         .filter("_low = _high").select("_work", F.col("_low").alias("_isbn"))
     )
-    grouped = keyed.join(single, "_work", "left").withColumn(
-        "_group", F.coalesce(by_isbn, F.col("_isbn"), F.concat(F.lit("work:"), "_work"))
+    # A title that normalises to nothing tells nothing: such an item stands alone.
+    alone = F.when(F.col("norm") == "", F.concat(F.lit("item:"), "item_id"))
+    works = keyed.join(single, "_work", "left").withColumn(
+        "_group",
+        F.coalesce(by_isbn, alone, F.col("_isbn"), F.concat(F.lit("work:"), "_work")),
+    )
+    # An item without people joins the one new work of its title, volume and form.
+    form = ["norm", F.coalesce("volume", F.lit(-1)).alias("_volume"), "bundle"]
+    named = (
+        works.filter((F.size("names") > 0) & (F.col("norm") != "")).groupBy(*form)
+        .agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"))
+        .filter("_low = _high").select("norm", "_volume", "bundle", F.col("_low").alias("_named"))
+    )
+    nameless = (F.size("names") == 0) & by_isbn.isNull()
+    grouped = (
+        works.withColumn("_volume", F.when(nameless, F.coalesce("volume", F.lit(-1))))
+        .join(named, ["norm", "_volume", "bundle"], "left")
+        .withColumn("_group", F.coalesce(F.when(nameless, F.col("_named")), F.col("_group")))
     )
     firsts = grouped.groupBy("_group").agg(F.min("item_id").alias("_first"))
     created = grouped.join(firsts, "_group").select(

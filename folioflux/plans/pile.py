@@ -89,8 +89,12 @@ def counters(pile: DataFrame) -> DataFrame:
 
 
 def undo(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """Log rows that take decisions back, for finds whose book is known."""
-    books = links.select("source", "source_item_id", "book_id").distinct()
+    """Log rows that take decisions back, for finds whose book is known.
+
+    ``links(seq, source, source_item_id, book_id)``: a number stands for the book it was
+    linked to last, not for those before.
+    """
+    books = links.groupBy("source", "source_item_id").agg(F.max_by("book_id", "seq").alias("book_id"))
     return (
         keys.filter(F.col("kind").isin("dismissed", "owned", "watching"))
         .join(books, ["source", "source_item_id"])

@@ -248,12 +248,11 @@ def _(t):
 @query(
     "agg_16_last_complaints",
     """SELECT profile_slug, trim(unnest(string_split(error, ';'))) AS complaint FROM (
-  SELECT profile_slug, error FROM run_log WHERE finished_at IS NOT NULL AND error IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY profile_slug, book ORDER BY run_id DESC) = 1)"""
-    .replace("profile_slug, book", "profile_slug"),
+  SELECT profile_slug, error FROM run_log WHERE finished_at IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY profile_slug ORDER BY run_id DESC) = 1) WHERE error IS NOT NULL""",
 )
 def _(t):
-    return home.complaints(t.run_log.filter("error is not null"))
+    return home.complaints(t.run_log)
 
 
 @query(

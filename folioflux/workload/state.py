@@ -70,21 +70,20 @@ def _(t):
 
 @query(
     "st_06_undone_decisions",
-    """SELECT DISTINCT l.book_id, r.profile_slug, r.kind FROM link_log l JOIN relation_log r USING (book_id)
-WHERE l.source_item_id IS NOT NULL AND r.seq % 10 = 0 AND r.kind IN ('dismissed', 'owned', 'watching')""",
+    """SELECT DISTINCT b.book_id, r.profile_slug, r.kind FROM link_log l JOIN relation_log r USING (book_id)
+JOIN (SELECT source, source_item_id, arg_max(book_id, seq) AS book_id FROM link_log GROUP BY ALL) b
+  ON b.source = l.source AND b.source_item_id = l.source_item_id
+WHERE r.kind IN ('dismissed', 'owned', 'watching')""",
 )
 def _(t):
     from folioflux.plans.pile import undo
 
-    keys = t.relation_log.filter("seq % 10 = 0").select("profile_slug", "book_id", "kind")
+    keys = t.relation_log.select("profile_slug", "book_id", "kind").distinct()
     finds = t.link_log.filter("source_item_id is not null").select(
-        "source", "source_item_id", "book_id"
-    )
-    wanted = finds.join(keys, "book_id").select("profile_slug", "source", "source_item_id", "kind", c("book_id").alias("_b"))
-    undone = undo(wanted.drop("_b"), finds)
-    return undone.select("book_id", "profile_slug", "kind").distinct().join(
-        keys, ["book_id", "profile_slug", "kind"], "left_semi"
+        "seq", "source", "source_item_id", "book_id"
     )
+    wanted = finds.join(keys, "book_id").select("profile_slug", "source", "source_item_id", "kind")
+    return undo(wanted, finds).select("book_id", "profile_slug", "kind").distinct()
 
 
 @query(

@@ -7,7 +7,6 @@ tables. ``VIEWS`` holds the same definitions for the SQL side.
 
 from __future__ import annotations
 
-import os
 import re
 from functools import cached_property
 
@@ -195,11 +194,6 @@ VIEWS: dict[str, str] = {"obs": _obs_sql("duckdb"), **_shared("duckdb")}
 _SPARK_VIEWS: dict[str, str] = {"obs": _obs_sql("spark"), **_shared("spark")}
 
 
-#: Sizes in bytes between which a single file is worth a repartition.
-SPREAD_FROM, SPREAD_TO = 1_500_000, 128_000_000
-TEXTS = ("documents", "pages")
-
-
 class Tables:
     """The raw tables of one directory and the catalogue views over them."""
 
@@ -208,13 +202,7 @@ class Tables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        path = os.path.join(self.sf_dir, f"{name}.parquet")
-        table = self.spark.read.parquet(path)
-        # A small file of texts is one row group and so one task, though each text is
-        # much work; spread it over the cores. Large tables come in many splits.
-        if name in TEXTS and os.path.isfile(path) and SPREAD_FROM <= os.path.getsize(path) <= SPREAD_TO:
-            table = table.repartition(self.spark.sparkContext.defaultParallelism)
-        return table
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         """A catalogue view; its SQL names raw tables or other views."""

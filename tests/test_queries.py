@@ -18,6 +18,9 @@ QUICK = (
     "src_10", "st_01", "st_11", "st_12", "str_01", "top_01", "win_01", "win_02", "win_09", "win_10",
 )
 
+#: The smallest tables have no row for these.
+MAY_BE_EMPTY: set[str] = set()
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -34,7 +37,7 @@ def duck():
 @pytest.mark.parametrize("name", names())
 def test_query_equals_sql(spark, duck, name):
     result = compare(spark, duck, SF, name, entry.queries()[name], entry.oracle_sql()[name])
-    assert result in ("", "EMPTY"), result
+    assert result == "" or result == "EMPTY" and name in MAY_BE_EMPTY, result
 
 
 def test_flagship_query_has_rows(spark):
