@@ -196,9 +196,13 @@ def _end_implied(stack: list[Element], tag: str) -> None:
 
 @dataclass
 class Block:
-    """A run of text between block borders: its place and its text."""
+    """A run of text between block borders: its place and its text.
+
+    ``path`` names the elements around it, ``elements`` tells those of one name apart.
+    """
 
     path: tuple[str, ...]
+    elements: tuple[int, ...]
     text: str
     link_chars: int
     hidden: bool
@@ -209,41 +213,44 @@ def blocks_of(root: Element) -> list[Block]:
     found: list[Block] = []
     run: list[str] = []
     links = [0]
-    where: list[tuple[tuple[str, ...], bool]] = []
+    where: list[tuple[tuple[str, ...], tuple[int, ...], bool]] = []
+    count = 0
 
     def flush() -> None:
         # References are decoded after joining, as a text may be cut within one.
         text = " ".join(html.unescape("".join(run)).split())
         if text:
-            path, hidden = where[0]
-            found.append(Block(path, text, min(links[0], len(text)), hidden))
+            path, elements, hidden = where[0]
+            found.append(Block(path, elements, text, min(links[0], len(text)), hidden))
         run.clear()
         where.clear()
         links[0] = 0
 
     # An explicit stack, so that deep nesting is no trap.
-    todo: list = [(root, (), False, False)]
+    todo: list = [(root, (), (), False, False)]
     while todo:
         item = todo.pop()
         if item is None:
             flush()
             continue
-        node, path, hidden, in_link = item
+        node, path, elements, hidden, in_link = item
         if isinstance(node, str):
             if node and not node.isspace() and not where:
-                where.append((path, hidden))
+                where.append((path, elements, hidden))
             run.append(node)
             links[0] += len(node) if in_link else 0
             continue
         is_block = node.tag in BLOCKS
         if not is_block and is_aside(node.name):
             continue
-        inside = path + (node.name,) if is_block else path
+        if is_block and node is not root:
+            count += 1
+            path, elements = path + (node.name,), elements + (count,)
         if is_block:
             flush()
             todo.append(None)
         for part in reversed(node.parts):
-            todo.append((part, inside, hidden or node.hidden, in_link or node.tag == "a"))
+            todo.append((part, path, elements, hidden or node.hidden, in_link or node.tag == "a"))
     flush()
     return found
 
@@ -254,11 +261,12 @@ def blocks_of(root: Element) -> list[Block]:
 def shape_of(blocks: list[Block]) -> list:
     """The union-free expression of a page: its block structure, repeats folded."""
     tree: list = ["html", 0, 0, []]
-    stack = [tree]
+    stack, before = [tree], ()
     for block in blocks:
-        depth = 0
-        while depth < len(block.path) and depth + 1 < len(stack) and stack[depth + 1][0] == block.path[depth]:
+        depth, now = 0, block.elements
+        while depth < min(len(now), len(before)) and now[depth] == before[depth]:
             depth += 1
+        before = now
         del stack[depth + 1 :]
         for name in block.path[depth:]:
             node = [name, 0, 0, []]
