@@ -79,17 +79,25 @@ KEYS = [
 
 def score(pairs: DataFrame) -> DataFrame:
     """Scores of pairs; wanted columns carry the prefix ``q_``, found ones ``c_``."""
+    return _compared(_measured(pairs))
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    """The measures that run in Python."""
     q, c = (lambda n: F.col(f"q_{n}")), (lambda n: F.col(f"c_{n}"))
-    tokens_apart = ~F.arrays_overlap(q("name_tokens"), c("name_tokens"))
-    named = (F.size(q("names")) > 0) & (F.size(c("names")) > 0)
-    with_scores = pairs.withColumn(
-        "title_fuzzy", similarity.title_similarity(q("norm"), c("norm"))
-    ).withColumn(
+    return pairs.withColumn("title_fuzzy", similarity.title_similarity(q("norm"), c("norm"))).withColumn(
         "_author",
         similarity.name_scores(q("names"), q("short_names"), c("names"), c("short_names")),
     )
+
+
+def _compared(measured: DataFrame) -> DataFrame:
+    """All that follows from the measures and the keys."""
+    q, c = (lambda n: F.col(f"q_{n}")), (lambda n: F.col(f"c_{n}"))
+    tokens_apart = ~F.arrays_overlap(q("name_tokens"), c("name_tokens"))
+    named = (F.size(q("names")) > 0) & (F.size(c("names")) > 0)
     given_id = (F.length(q("identifier")) > 0) & (F.length(c("identifier")) > 0)
-    return with_scores.select(
+    return measured.select(
         "*",
         F.coalesce(given_id & (q("identifier") == c("identifier")), F.lit(False)).alias("id_match"),
         F.coalesce(given_id & (q("identifier") != c("identifier")), F.lit(False)).alias("id_conflict"),
@@ -214,15 +222,38 @@ def _prefixed(rows: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return rows.select(*[F.col(n).alias(n if n == "query_id" else prefix + n) for n in keep])
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``with_keys``, worked out once for each different title and author."""
+    spelled = rows.select("title", "author").distinct()
+    keys = with_keys(spelled.withColumns({"_title": F.col("title"), "_author": F.col("author")}))
+    renamed = rows.withColumnsRenamed({"title": "_t", "author": "_a"})
+    same = F.col("_t").eqNullSafe(F.col("_title")) & F.col("_a").eqNullSafe(F.col("_author"))
+    kept = [c for c in rows.columns if c not in ("title", "author")]
+    return renamed.join(keys.select("_title", "_author", *KEYS), same).select(*kept, *KEYS)
+
+
 def scored_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every candidate of a query with its scores.
 
     ``queries(query_id, title, author, year, identifier)``; candidates add ``rank``,
-    their place in the result list of the source.
+    their place in the result list of the source. Titles and names are few beside the
+    candidates: each different pair is scored once and joined back.
     """
-    left = _prefixed(with_keys(queries), "q_", ["query_id", *KEYS, "year", "identifier"])
-    right = _prefixed(with_keys(candidates), "c_", ["query_id", "rank", *KEYS, "year", "identifier"])
-    return score(left.join(right, "query_id"))
+    left = _prefixed(_keyed(queries), "q_", ["query_id", *KEYS, "year", "identifier"])
+    right = _prefixed(_keyed(candidates), "c_", ["query_id", "rank", *KEYS, "year", "identifier"])
+    pairs = left.join(right, "query_id")
+    return _compared(_with_measures(pairs))
+
+
+MEASURED = ["q_norm", "c_norm", "q_names", "c_names", "q_short_names", "c_short_names"]
+
+
+def _with_measures(pairs: DataFrame) -> DataFrame:
+    """Pairs with their measures, each different pair of forms measured once."""
+    forms = pairs.select(*MEASURED).distinct()
+    measured = _measured(forms).select(*[F.col(c).alias(f"_{c}") for c in MEASURED], "title_fuzzy", "_author")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MEASURED]
+    return pairs.join(measured, same).drop(*[f"_{c}" for c in MEASURED])
 
 
 def best_two(scored: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:
