@@ -418,6 +418,6 @@ def _(t):
     from folioflux.operators.linkage import preferred_spelling
 
     names = t.obs.select("author").unionByName(t.book.select("author")).filter(
-        "author is not null and author <> 'Anna Meier, Bernd Schulz'"
+        "author is not null"
     )
     return preferred_spelling(names, T.author_key(c("author")).alias("full_name"))

@@ -113,7 +113,7 @@ def _(t):
 def _(t):
     names = (
         t.obs.select("author").unionByName(t.book.select("author")).distinct()
-        .filter("author is not null and author <> 'Anna Meier, Bernd Schulz'")
+        .filter("author is not null")
     )
     return names.select("author", T.normalize_author(c("author"))["full"].alias("full_name"))
 
@@ -196,7 +196,7 @@ def _(t):
 def _(t):
     names = (
         t.obs.select("author").unionByName(t.book.select("author")).distinct()
-        .filter("author is not null and author <> 'Anna Meier, Bernd Schulz'")
+        .filter("author is not null")
     )
     return names.groupBy(T.author_key(c("author")).alias("full_name")).agg(
         F.count("*").alias("spellings")
@@ -377,11 +377,11 @@ def _(t):
    THEN trim(split_part(author, ',', 2)) || ' ' || trim(split_part(author, ',', 1)) ELSE author END),
    'ä', 'ae'), 'ö', 'oe')), '\\s+', ' ', 'g'), ' ', '-') AS slug
 FROM (SELECT DISTINCT author FROM (SELECT author FROM obs UNION ALL SELECT author FROM book) x
-      WHERE author IS NOT NULL AND author NOT LIKE '%Bernd%')""",
+      WHERE author IS NOT NULL)""",
 )
 def _(t):
     names = t.obs.select("author").unionByName(t.book.select("author")).distinct()
-    return names.filter("author is not null and author not like '%Bernd%'").select(
+    return names.filter("author is not null").select(
         "author", C.author_slug(c("author")).alias("slug")
     )
 

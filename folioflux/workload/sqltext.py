@@ -54,7 +54,7 @@ SELECT author, full_name FROM (
       '[-+.:;,!@#$%^&*()/\\s]+', ' ', 'g')) AS full_name
   FROM (SELECT DISTINCT author, {fold('author')} AS f FROM (
     SELECT author FROM obs UNION ALL SELECT author FROM book) x
-    WHERE author IS NOT NULL AND author <> 'Anna Meier, Bernd Schulz')
+    WHERE author IS NOT NULL)
 )"""
 
 SLASH = r"\s+/\s+"
