@@ -201,3 +201,43 @@ def read_back(windows: DataFrame) -> DataFrame:
         F.sha2(F.col("all_loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+SQL = rf"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, role)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    CAST(ceil(length(text) / {CHARS_PER_TOKEN}.0) AS BIGINT) + {TURN_TOKENS} AS tokens,
+    length(role) + length(text) + {len(ROLE_OPEN + ROLE_CLOSE + END)}
+      + length(regexp_replace(role || text, '[^\\\[\]<]', '', 'g')) AS chars
+  FROM every
+), counted AS (
+  SELECT *, n = 1 AND role = 'system' AS is_system,
+    CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE tokens END AS own FROM placed
+), summed AS (
+  SELECT *, sum(own) OVER w AS after, sum(own) OVER w - own AS before, sum(own) OVER c AS total,
+    max(own) OVER c AS longest, coalesce(max(tokens) FILTER (is_system) OVER c, 0) AS system
+  FROM counted WINDOW w AS (PARTITION BY conv_id ORDER BY n), c AS (PARTITION BY conv_id)
+), spans AS (
+  SELECT *, CASE WHEN NOT is_system THEN (after - 1) // (room - least(longest, room // 2)) END AS span
+  FROM (SELECT *, greatest(2, {BUDGET - HISTORY} - system) AS room FROM summed)
+), bordered AS (
+  SELECT *, max(after) OVER s AS next,
+    CASE WHEN is_system THEN 0 ELSE min(before) OVER s END AS start
+  FROM spans WINDOW s AS (PARTITION BY conv_id, span)
+), sizes AS (
+  SELECT conv_id, count(DISTINCT start) AS windows, sum(chars) AS all_chars,
+    sum(chars) FILTER (NOT is_system AND next < total AND next - before <= {HISTORY}) AS repeated,
+    max(chars) FILTER (is_system) AS system_chars
+  FROM bordered GROUP BY conv_id
+)
+SELECT p.conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(any_value(s.windows * {len(HEAD)} + s.all_chars + coalesce(s.repeated, 0)
+    + (s.windows - 1) * coalesce(s.system_chars, 0)) AS BIGINT) AS formatted_chars
+FROM placed p JOIN sizes s USING (conv_id) GROUP BY p.conv_id
+"""
