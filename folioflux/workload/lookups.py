@@ -64,8 +64,8 @@ LEFT JOIN (SELECT profile_slug, source, source_item_id, CAST(source_item_id AS B
   FROM obs WHERE match_reason <> 'watchlist' AND CAST(source_item_id AS BIGINT) % 3 > 0
   GROUP BY ALL) o USING (profile_slug, source, source_item_id)
 LEFT JOIN (SELECT DISTINCT o_custkey % 60 AS interest_id,
-    CASE o_orderstatus WHEN 'F' THEN 'click' WHEN 'P' THEN 'view' ELSE 'purchase' END AS source
-  FROM orders WHERE o_orderkey % 50 = 0) s ON s.interest_id = o.interest_id AND s.source = d.source
+    CASE left(o_orderpriority, 1) WHEN '1' THEN 'click' WHEN '2' THEN 'view' ELSE 'purchase' END AS source
+  FROM orders WHERE o_orderstatus = 'P') s ON s.interest_id = o.interest_id AND s.source = d.source
 WHERE d.kind <> 'first_seen' OR d.match_reason = 'watchlist' OR o.interest_id IS NULL OR s.interest_id IS NOT NULL""",
 )
 def _(t):
@@ -78,9 +78,9 @@ def _(t):
         t.obs.filter((c("match_reason") != "watchlist") & (number % 3 > 0))
         .select(*ITEM, (number % 50).alias("interest_id")).distinct()
     )
-    seeded = t.orders.filter("o_orderkey % 50 = 0").select(
+    seeded = t.orders.filter("o_orderstatus = 'P'").select(
         (c("o_custkey") % 60).alias("interest_id"),
-        F.when(c("o_orderstatus") == "F", "click").when(c("o_orderstatus") == "P", "view")
+        F.when(c("o_orderpriority").startswith("1"), "click").when(c("o_orderpriority").startswith("2"), "view")
         .otherwise("purchase").alias("source"),
     )
     return changes.suppress_unseeded(deltas, origin, seeded).select("id", "kind")

@@ -161,7 +161,7 @@ def _(t):
     """WITH r AS (SELECT o_orderkey AS seq, o_custkey AS book_id,
     CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE ' Titel ' || o_orderkey END AS title,
     CASE WHEN o_orderkey % 3 = 0 THEN ' ' WHEN o_orderkey % 3 = 1 THEN 'Autor ' || o_orderkey END AS author
-  FROM orders WHERE o_orderkey % 5 = 0),
+  FROM orders),
 e AS (SELECT book_id, arg_max(trim(title), seq) AS title,
     arg_max(author, seq) FILTER (author IS NOT NULL) AS author, max(seq) AS seq,
     count(author) > 0 AS named FROM r WHERE trim(title) <> '' GROUP BY 1)
@@ -172,7 +172,7 @@ SELECT b.book_id, coalesce(e.title, b.title) AS title,
 FROM book b LEFT JOIN e USING (book_id)""",
 )
 def _(t):
-    renames = t.orders.filter("o_orderkey % 5 = 0").selectExpr(
+    renames = t.orders.selectExpr(
         "o_orderkey as seq",
         "o_custkey as book_id",
         "case when o_orderkey % 7 = 0 then '  ' else concat(' Titel ', o_orderkey) end as title",
@@ -225,14 +225,14 @@ def _(t):
     "st_16_point_reads",
     """SELECT b.book_id, b.title, coalesce(c.cover, b.cover_file) AS cover_file FROM book b
 LEFT JOIN (SELECT o_custkey AS book_id, arg_max('c' || o_orderkey || '.jpg', o_orderkey) AS cover
-  FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) c USING (book_id) WHERE b.title LIKE 'red %'""",
+  FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) c USING (book_id)""",
 )
 def _(t):
     covers = t.orders.filter("o_orderstatus = 'O'").groupBy(c("o_custkey").alias("book_id")).agg(
         F.max_by(F.concat(F.lit("c"), "o_orderkey", F.lit(".jpg")), "o_orderkey").alias("cover")
     )
     return (
-        t.book.filter("title like 'red %'").join(covers, "book_id", "left")
+        t.book.join(covers, "book_id", "left")
         .select("book_id", "title", F.coalesce("cover", "cover_file").alias("cover_file"))
     )
 
