@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.functions import similarity, text
 from folioflux.operators import linkage, ordered, state
+from folioflux.workload.ersql import CONFIDENCE
 from folioflux.workload.filters import now
 from folioflux.workload.registry import query
 
@@ -43,7 +44,7 @@ def candidates_of(t) -> DataFrame:
     )
 
 
-@query("fn_08_title_similarity")
+@query("fn_08_title_similarity", "SELECT query_id, c_rank AS rank, title_fuzzy AS score FROM er_scored")
 def _(t):
     both = candidates_of(t).join(queries_of(t).select("query_id", c("title").alias("wanted")), "query_id")
     return both.select(
@@ -60,7 +61,10 @@ def _author_pairs(t) -> DataFrame:
     )
 
 
-@query("fn_09_author_scores")
+@query(
+    "fn_09_author_scores",
+    "SELECT query_id, c_rank AS rank, author_fuzzy AS fuzzy, author_strict AS strict FROM er_scored",
+)
 def _(t):
     scores = similarity.author_scores(
         text.normalize_authors(c("wanted")), text.normalize_authors(c("credited"))
@@ -68,7 +72,7 @@ def _(t):
     return _author_pairs(t).withColumn("s", scores).select("query_id", "rank", "s.fuzzy", "s.strict")
 
 
-@query("fn_10_author_match")
+@query("fn_10_author_match", "SELECT query_id, c_rank AS rank, author_strict >= 90 AS same_person FROM er_scored")
 def _(t):
     from folioflux.sources.collect import author_matches
 
@@ -77,7 +81,7 @@ def _(t):
     )
 
 
-@query("fn_11_author_conflict")
+@query("fn_11_author_conflict", "SELECT query_id, c_rank, author_conflict FROM er_scored")
 def _(t):
     return linkage.scored_pairs(queries_of(t), candidates_of(t)).select(
         "query_id", "c_rank", "author_conflict"
@@ -99,30 +103,29 @@ def _(t):
     return t.obs.select("id", text.title_contained(wanted, longer).alias("contained"))
 
 
-@query("er_01_candidate_scores")
+@query("er_01_candidate_scores", f"SELECT query_id, {', '.join(linkage.SCORED)} FROM er_scored")
 def _(t):
     return linkage.scored_pairs(queries_of(t), candidates_of(t)).select(
         "query_id", *linkage.SCORED
     )
 
 
-@query("er_02_rank_key")
+@query("er_02_rank_key", "SELECT query_id, c_rank, place FROM er_ranked")
 def _(t):
-    key = linkage.rank_key()
     scored = linkage.scored_pairs(queries_of(t), candidates_of(t))
-    return scored.select(
-        "query_id", "c_rank", F.to_json(key).alias("rank_key")
-    )
+    ranked = scored.select("query_id", "c_rank", linkage.rank_key().alias("key"))
+    by_key = Window.partitionBy("query_id").orderBy("key")
+    return ranked.select("query_id", "c_rank", F.row_number().over(by_key).alias("place"))
 
 
-@query("er_03_match_confidence")
+@query("er_03_match_confidence", CONFIDENCE)
 def _(t):
     return linkage.match(queries_of(t), candidates_of(t)).select(
         "query_id", "confidence", "reason", c("best.c_rank").alias("winner")
     )
 
 
-@query("win_07_winner_and_runner_up")
+@query("win_07_winner_and_runner_up", "SELECT query_id, c_rank AS winner, runner_up FROM er_two")
 def _(t):
     two = linkage.best_two(linkage.scored_pairs(queries_of(t), candidates_of(t)), ["query_id"])
     return two.select(
@@ -130,13 +133,17 @@ def _(t):
     )
 
 
-@query("er_04_ties")
+@query("er_04_ties", "SELECT query_id, is_tied AS tied FROM er_two")
 def _(t):
     two = linkage.best_two(linkage.scored_pairs(queries_of(t), candidates_of(t)), ["query_id"])
     return two.select("query_id", linkage.tied(c("best"), c("second")).alias("tied"))
 
 
-@query("top_05_indistinguishable")
+@query(
+    "top_05_indistinguishable",
+    """SELECT query_id, c_rank, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place
+FROM er_tied WHERE tied QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= 5""",
+)
 def _(t):
     scored = linkage.scored_pairs(queries_of(t), candidates_of(t))
     return linkage.indistinguishable(scored, ["query_id"]).select("query_id", "c_rank", "place")

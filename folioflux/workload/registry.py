@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflux.session import ship_package
+from folioflux.workload.ersql import ER_VIEWS
 from folioflux.workload.sqltext import SQL_VIEWS
 from folioflux.workload.tables import VIEWS as TABLE_VIEWS
 from folioflux.workload.tables import Tables
 
-VIEWS = {**TABLE_VIEWS, **SQL_VIEWS}
+VIEWS = {**TABLE_VIEWS, **SQL_VIEWS, **ER_VIEWS}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -24,7 +24,9 @@ BUNDLE = (
 )
 EPISODE = r"(?i)\b(episode|folge)\s*\d+"
 
-TITLES = f"""
+def titles(source: str) -> str:
+    """Comparable forms of the titles of a query."""
+    return f"""
 SELECT title, folded, list_aggregate(list_filter(
     string_split(regexp_replace(trim(regexp_replace(
       regexp_replace(cut, '[:,;!@$%^&*(){{}}.`~"\\[\\]/–—]', ' ', 'g'), '\\s+', ' ', 'g')),
@@ -41,12 +43,14 @@ FROM (
           '[({{\\[]\\s*(\\d{{4}}|omnibus|ebook|edition|auflage|ungekurzt|gekurzt)\\s*[\\])}}]', ' ', 'g'),
           '[({{\\[][^\\])}}]*?(edition|ed\\.|auflage)[^\\])}}]*?[\\])}}]', ' ', 'g'),
           '([(\\[][^)\\]]*[)\\]]\\s*){{1,2}}$', ' ') AS bare
-      FROM (SELECT DISTINCT title, {fold('title')} AS folded FROM (
-        SELECT title FROM obs UNION ALL SELECT title FROM book UNION ALL SELECT title FROM watchlist) x)
+      FROM (SELECT DISTINCT title, {fold('title')} AS folded FROM ({source}) x)
     )
   )
 )"""
 
+
+TITLES = titles("SELECT title FROM obs UNION ALL SELECT title FROM book UNION ALL SELECT title FROM watchlist")
+
 AUTHORS = f"""
 SELECT author, full_name FROM (
   SELECT author, trim(regexp_replace(CASE WHEN contains(f, ',')
