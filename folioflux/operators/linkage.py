@@ -278,13 +278,13 @@ def match(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def indistinguishable(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Winner and the candidates tied with it, at most five, winner first."""
+def indistinguishable(scored: DataFrame, keys: list[str], most: int = MAX_CANDIDATES) -> DataFrame:
+    """Winner and the candidates tied with it, at most so many, winner first."""
     facts = F.struct("c_rank", "title_fuzzy", "author_fuzzy", *SAME_IN_A_TIE)
     best = scored.groupBy(*keys).agg(F.min_by(facts, rank_key()).alias("_best"))
     # The winner ties with itself and leads by its rank key.
     same = scored.join(best, keys).filter(tied(F.col("_best"), facts)).withColumn("_key", rank_key())
-    return ordered.top_per_key(same, keys, [F.col("_key")], MAX_CANDIDATES, "place").drop("_best", "_key")
+    return ordered.top_per_key(same, keys, [F.col("_key")], most, "place").drop("_best", "_key")
 
 
 # --------------------------------------------------- linking to the known books
@@ -529,8 +529,9 @@ def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataF
 
     Known books are linked first. The rest is grouped by ISBN, and without one by
     normalised title and people; a group becomes one new book named after its first
-    item. Fuzzy matches among new items of one batch are not merged: the reference
-    order of single inserts does not exist in a batch.
+    item. An item without people joins the one new work of its title, volume and form;
+    one whose title normalises to nothing stands alone. Fuzzy matches among new items
+    of one batch are not merged: the order of single inserts does not exist in a batch.
 
     ``items(item_id, isbn, title, author, series)``,
     ``books(book_id, isbn, title, author, series)``.
