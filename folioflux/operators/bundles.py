@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflux.config import Profile
 from folioflux.functions import rules, text
 from folioflux.operators.changes import ITEM
+from folioflux.operators.ordered import spread_nulls
 
 
 def last_prices(log: DataFrame, by: str) -> DataFrame:
@@ -129,7 +130,8 @@ def with_advantage(
         F.filter(F.when(by_record, F.col("_isbn")).otherwise(F.col("_title")), counts), F.lit(1)
     )
     joined = (
-        wanted.join(by_isbn, ["profile_slug", "isbn"], "left")
+        wanted.withColumn("_isbn_key", spread_nulls(F.col("isbn"), "profile_slug", "title", "source_item_id"))
+        .join(by_isbn.withColumnRenamed("isbn", "_isbn_key"), ["profile_slug", "_isbn_key"], "left")
         .join(by_title, ["profile_slug", "title"], "left")
         .withColumn("_offer", chosen)
         .withColumn(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflux.config import Profile
 from folioflux.functions import rules
+from folioflux.operators.ordered import spread_nulls
 
 ITEM = ["profile_slug", "source", "source_item_id"]
 STATE = ["id", "price_cents", "availability", "reservation_count"]
@@ -87,9 +88,18 @@ def suppress_unseeded(
     ``origin`` maps a find to its interest, ``seeded`` holds (interest_id, source).
     ``per_source=False`` accepts an interest swept at any source.
     """
-    where = ["interest_id", "source"] if per_source else ["interest_id"]
-    marks = seeded.select(*where).distinct().withColumn("_seeded", F.lit(True))
-    joined = deltas.join(origin, ITEM, "left").join(marks, where, "left")
+    where = ["_interest", "source"] if per_source else ["_interest"]
+    marks = (
+        seeded.filter("interest_id is not null")
+        .withColumn("_interest", F.col("interest_id").cast("string"))
+        .select(*where).distinct().withColumn("_seeded", F.lit(True))
+    )
+    # Most rows have no interest.
+    joined = (
+        deltas.join(origin, ITEM, "left")
+        .withColumn("_interest", spread_nulls(F.col("interest_id"), *ITEM))
+        .join(marks, where, "left").drop("_interest")
+    )
     quiet = (
         (F.col("kind") == "first_seen")
         & F.col("match_reason").isin(rules.DISCOVERY)

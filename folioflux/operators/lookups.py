@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.operators.changes import ITEM
-from folioflux.operators.ordered import latest, top_per_key
+from folioflux.operators.ordered import latest, spread_nulls, top_per_key
 
 HISTORY_LIMIT = 200
 
@@ -83,6 +83,10 @@ def dismissed_keys(
 
 def not_covered(finds: DataFrame, items: DataFrame, isbns: DataFrame) -> DataFrame:
     """Finds whose item and ISBN are both absent; a missing ISBN never matches."""
-    return finds.join(items, ITEM, "left_anti").join(
-        isbns.select("profile_slug", "isbn").distinct(), ["profile_slug", "isbn"], "left_anti"
+    taken = isbns.filter("isbn is not null").select("profile_slug", F.col("isbn").alias("_isbn")).distinct()
+    return (
+        finds.join(items, ITEM, "left_anti")
+        .withColumn("_isbn", spread_nulls(F.col("isbn"), *ITEM))
+        .join(taken, ["profile_slug", "_isbn"], "left_anti")
+        .drop("_isbn")
     )

@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1 << 20
 
 
+def spread_nulls(key: Column, *spread: str) -> Column:
+    """A join key as text whose NULLs, which match nothing, are dealt out.
+
+    Left as NULL they would all meet in one task.
+    """
+    return F.coalesce(
+        key.cast("string"), F.concat(F.lit("\x00"), F.xxhash64(*spread).cast("string"))
+    )
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: str = "id") -> DataFrame:
     """The row with the greatest ``order`` per key. ``order`` must be unique."""
     rest = [c for c in df.columns if c not in keys]
