@@ -57,8 +57,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def shipped(spark: SparkSession) -> None:
-    """Let the Python workers import this package."""
+    """Let the Python workers import this package, and hand them texts in small batches.
+
+    Texts may be long: a batch of the default size would hold tens of megabytes, several
+    times over, in each worker and in the executor beside it.
+    """
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
 
 
 def fan_out(spark: SparkSession) -> int:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflux.llm.common import fresh, pick, shipped, slices, text_or_empty, written
+from folioflux.llm.common import fan_out, fresh, pick, shipped, slices, text_or_empty, written
 from folioflux.llm.components import smallest_reachable
 from folioflux.llm.golay import nearby
 
@@ -250,7 +250,9 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     marked = written(fingerprints(docs), "simhash")
     # One row per different print, with the smallest id that has it.
     distinct = written(marked.groupBy("print").agg(F.min("doc_id").alias("doc_id")), "simhash-prints")
-    stars = smallest_reachable(links_of(distinct.select("print"), crowd), "simhash")
+    # Prints are small and make many keys each: dealt out, each task holds few of them.
+    prints = distinct.select("print").repartition(fan_out(docs.sparkSession))
+    stars = smallest_reachable(links_of(prints, crowd), "simhash")
     members = stars.select(F.col("u").alias("print"), F.col("v").alias("root")).union(
         stars.select(F.col("v").alias("print"), F.col("v").alias("root")).distinct()
     )
