@@ -83,6 +83,9 @@ def covered(docs: DataFrame) -> DataFrame:
         .where("earliest <> latest")
         .select("high", "low", "earliest")
     )
+    # Written, so that both sides of the join come from a shuffle of their own: only then
+    # can a window with very many occurrences be split.
+    firsts = written(firsts, "line-firsts")
     later = windows.join(firsts, ["high", "low"]).where(place != F.col("earliest"))
     return later.groupBy("doc", "content").agg(
         F.collect_set(F.struct("first", "last")).alias("spans")
