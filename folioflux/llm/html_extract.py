@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.llm.common import pick, shipped, slices
+from folioflux.llm.common import pick, shipped, slices, written
 
 #: Groups in which a host's shapes are aligned first.
 SHARES = 16
@@ -563,7 +563,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = hosted(pages)
-    joined = rows.join(choices(wrappers(pages)), "host", "left")
+    # Written, so that both sides of the join come from a shuffle of their own and a host
+    # with very many pages can be split.
+    joined = rows.join(written(choices(wrappers(pages)), "html-choices"), "host", "left")
     return joined.select("page_id", F.col("url").cast("string").alias("url"), "html", "chosen").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )
