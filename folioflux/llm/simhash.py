@@ -264,11 +264,14 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         .select("print", "component_id", "root")
     )
     linked = F.col("root").isNotNull()
+    # Written, so that both sides of the last join come from a shuffle of their own and
+    # a print with very many documents can be split.
     labels = distinct.join(named, "print", "left").select(
         "print",
         F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("root", "print").alias("root"),
     )
+    labels = written(labels, "simhash-labels")
     return marked.join(labels, "print").select(
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
