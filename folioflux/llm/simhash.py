@@ -43,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflux.llm import near_copies
 from folioflux.llm.common import fan_out, fresh, pick, shipped, slices, text_or_empty, written
 from folioflux.llm.components import smallest_reachable
 from folioflux.llm.golay import nearby
@@ -281,10 +282,10 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """One row of each component, that with the smallest id, with all its columns.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, that with the smallest id, with all its columns.
 
-    Rows without an id are represented by others where there are any.
+    Groups are those of ``near_copies``: five words and a similarity of 0.8, not three bits. Rows without an id are represented by others where there are any.
     """
     doc, content, rank = (fresh(docs, f"_simhash_{n}") for n in ("doc", "content", "rank"))
     keyed = docs.withColumns(
@@ -293,7 +294,7 @@ def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
             content: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))),
         }
     )
-    found = near_duplicates(keyed.select(F.col(doc).alias("doc_id"), docs["text"]), crowd)
+    found = near_copies.groups(keyed.select(F.col(doc).alias("doc_id"), docs["text"]))
     stay = (
         found.groupBy("root")
         .agg(F.min(F.struct("doc_id", "content")).alias("stays"))

@@ -128,3 +128,42 @@ def test_long_chain_and_hub(spark):
     assert {(r["u"], r["v"]) for r in stars} == {(i, 0) for i in range(1, 61)} | {
         (i, 100) for i in range(101, 160)
     }
+
+
+def edited_texts(rng):
+    """Texts in families of copies with more and more words changed, and unlike ones."""
+    texts = []
+    for family in range(12):
+        base = [f"w{family}x{n}" for n in rng.integers(0, 400, 40 + 15 * family)]
+        for edits in (0, 1, 2, 3, 4, 6, 9):
+            words = list(base)
+            for place in rng.choice(len(words), edits, replace=False):
+                words[place] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    return texts + ["one two", "ONE  two", "one two three four five six", None, " "]
+
+
+def plain_groups(texts):
+    """Groups of five-word Jaccard similarity 0.8 and more, by comparing all pairs."""
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def test_one_of_each_joins_all_of_similarity_four_fifths(spark):
+    texts = edited_texts(np.random.default_rng(3))
+    expected = plain_groups(texts)
+    by_bits = groups_of([plain_print(t) for t in texts])
+    assert len(set(by_bits)) > len(set(expected))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
+    assert sorted(kept) == sorted(set(expected))
