@@ -8,7 +8,8 @@ equal names match; what only one side has becomes an optional group; what one si
 repeats becomes a repeated group; texts become slots. The result is the host's wrapper.
 
 Each slot of the wrapper has statistics over all pages of the host: characters,
-characters in links, and whether different pages show different text there. They choose
+characters in links, and whether it is fixed: two different pages or more have it, and all
+show the same text there. What a single page has is never taken for fixed. They choose
 where the main text is: an ``article`` or ``main`` element if the wrapper has one, else
 the innermost element that holds most of the text of slots that change from page to page.
 Below it, slots in menus, headers, footers, sidebars, notices, adverts, forms and reader
@@ -58,6 +59,11 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
+#: Digits of a class that count pages or posts; those of a grid (col-9) tell columns apart.
+NUMBER = re.compile(
+    r"[0-9]{3,}|(?:(?<=post-)|(?<=page-)|(?<=node-)|(?<=item-)|(?<=entry-)|(?<=article-)|(?<=id-))[0-9]+", re.I
+)
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg canvas noembed".split())
 BLOCKS = frozenset(
@@ -119,7 +125,7 @@ def _opened(tag: str, rest: str) -> tuple[str, bool]:
     found = {}
     for key, value in ATTRIBUTE.findall(rest):
         found.setdefault(key.lower(), value.strip("\"'"))
-    classes = ".".join(sorted(found.get("class", "").split()))
+    classes = ".".join(sorted(NUMBER.sub("0", found.get("class", "")).split()))
     role, own = found.get("role", "").lower(), re.sub(r"[0-9]+", "0", found.get("id", ""))
     if "articlebody" in found.get("itemprop", "").lower():
         role = "article"
@@ -397,7 +403,7 @@ def left_out(path: tuple[str, ...]) -> bool:
     return False
 
 
-#: Characters, characters in links, whether the text changes from page to page.
+#: Characters, characters in links, whether the text changes from page to page or has one page only.
 Stats = dict[tuple[str, ...], tuple[int, int, bool]]
 
 
@@ -444,7 +450,8 @@ def text_of(blocks: list[Block], slots: set[tuple[str, ...]]) -> str:
 
 PATH_SPLIT = "\x1f"
 PARSED = (
-    "host string, shape string, slots array<struct<path: string, chars: long, links: long, least: long, most: long>>"
+    "host string, shape string, slots array<struct<path: string, chars: long, links: long, least: long, most: long>>, "
+    "page: long"
 )
 SLOTS_TYPE = pa.list_(
     pa.struct([(n, pa.string() if n == "path" else pa.int64()) for n in ("path", "chars", "links", "least", "most")])
@@ -453,8 +460,9 @@ SLOTS_TYPE = pa.list_(
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 128):
-        shapes, slots = [], []
+        shapes, slots, marks = [], [], []
         for page in batch["html"].to_pylist():
+            marks.append(zlib.crc32(page.encode("utf-8", "surrogatepass")))
             blocks = [b for b in blocks_of(parse(page)) if not b.hidden]
             shapes.append(json.dumps(shape_of(blocks), ensure_ascii=False, separators=(",", ":")))
             found: dict[tuple[str, ...], list] = {}
@@ -470,8 +478,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ]
             )
         yield pa.RecordBatch.from_arrays(
-            [batch["host"], pa.array(shapes, pa.string()), pa.array(slots, SLOTS_TYPE)],
-            names=["host", "shape", "slots"],
+            [batch["host"], pa.array(shapes, pa.string()), pa.array(slots, SLOTS_TYPE), pa.array(marks, pa.int64())],
+            names=["host", "shape", "slots", "page"],
         )
 
 
@@ -509,12 +517,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
         _merge_shapes(["host"]), "host string, shape string"
     )
     sums = (
-        parsed.select("host", F.explode("slots").alias("slot"))
+        parsed.select("host", "page", F.explode("slots").alias("slot"))
         .groupBy("host", "slot.path")
         .agg(
             F.sum("slot.chars").alias("chars"),
             F.sum("slot.links").alias("links"),
-            (F.min("slot.least") < F.max("slot.most")).alias("changes"),
+            ((F.min("slot.least") < F.max("slot.most")) | (F.min("page") == F.max("page"))).alias("changes"),
         )
         .groupBy("host")
         .agg(F.collect_list(F.struct("path", "chars", "links", "changes")).alias("slots"))

@@ -94,3 +94,32 @@ def test_pages_of_a_host_share_a_wrapper(spark):
     assert found[6, None] == "alone" and found[7, "no address"] == "" and found[7, "u"] == ""
     assert H.extract(pages.where("false")).count() == 0
     assert H.extract(pages.union(pages)).count() == 2 * len(rows)
+
+
+def test_what_only_one_page_has_is_not_fixed(spark):
+    def page(i, inner, name="b"):
+        head = f"<h2>Heading number {i} of many</h2>"
+        claim = "<div class=claim><p>The same long claim stands on each of our pages, always.</p></div>"
+        return f"<body><div class=a>{claim}<div class='{name}'>{head}{inner}</div></div></body>"
+
+    inner = [f"<p>Sentence of page {i} about something of its own.</p>" for i in range(4)]
+    inner[2] += "<ul><li>first point</li><li>second point</li></ul><blockquote>quoted once</blockquote>"
+    rows = [(i, "https://one.example/p", page(i, inner[i])) for i in range(4)]
+    # Numbers of posts in class names, short and long.
+    rows += [(10 + i, "https://two.example/p", page(i, inner[i], f"post-{i}")) for i in range(4)]
+    rows += [(20 + i, "https://three.example/p", page(i, inner[i], f"x{1000 + i}")) for i in range(4)]
+    # Names that no rule knows: each slot of the body has one page.
+    rows += [(30 + i, "https://four.example/p", page(i, inner[i], f"{'abcd'[i]}")) for i in range(4)]
+    found = {r["page_id"]: r["text"] for r in H.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        expected = f"Heading number {i} of many\nSentence of page {i} about something of its own."
+        if i == 2:
+            expected += "\nfirst point\nsecond point\nquoted once"
+        for first in (0, 10, 20, 30):
+            assert found[first + i] == expected
+
+
+def test_columns_of_a_grid_stay_apart():
+    assert H._opened("div", " class='col-9'") != H._opened("div", " class='col-3'")
+    assert H._opened("div", " class='post-9'") == H._opened("div", " class='post-123'")
