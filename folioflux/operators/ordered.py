@@ -1,9 +1,10 @@
 """Ordered reductions that stay distributed when one key holds most of the rows.
 
 A plain window puts all rows of a key into one task. The functions here either
-reduce before the shuffle (``latest``, ``top_per_key``) or cut the order of a key
-into chunks of bounded size, work inside the chunks and carry one summary row per
-chunk over the border (``previous_value``, ``position``).
+reduce before the shuffle (``latest``, ``top_per_key``) or deal the rows out by ranges
+of key and order, whatever the values are, work inside the ranges and carry one summary
+row per key and range over the borders (``previous_value``, ``running_max``,
+``position``).
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows a single (key, chunk) group may hold.
-CHUNK_ROWS = 1 << 20
+from folioflux.session import materialize
 
 
 def spread_nulls(key: Column, *spread: str) -> Column:
@@ -60,8 +60,59 @@ def top_per_key(
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def _chunk(column: str, chunk_rows: int) -> Column:
-    return F.floor(F.col(column) / F.lit(chunk_rows)).cast("long")
+def _directed(order: Sequence[str | tuple[str, bool]]) -> list[tuple[str, Column]]:
+    """Names with their sort expressions; (name, True) is descending, NULLs come last."""
+    pairs = [o if isinstance(o, tuple) else (o, False) for o in order]
+    return [
+        (name, F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last())
+        for name, down in pairs
+    ]
+
+
+def in_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, bool]], parts: int | None = None
+) -> DataFrame:
+    """The rows dealt out by ranges of (keys, order), with ``_part`` and ``_at``.
+
+    ``_at`` numbers the rows in the order over all of them; within one ``_part`` without a
+    gap. Ranges come from a sample of the rows, so they are even for sparse and for dense
+    values alike, and a key that holds most rows is spread over many of them. Written once:
+    ranges drawn anew from another sample would not fit together.
+    """
+    sort = [F.col(k).asc_nulls_first() for k in keys] + [column for _, column in _directed(order)]
+    dealt = df.repartitionByRange(parts, *sort) if parts else df.repartitionByRange(*sort)
+    numbered = dealt.sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id())
+    # The partition is kept in the bits above 33.
+    return materialize(numbered.withColumn("_part", F.shiftright("_at", 33).cast("int")), "ranges")
+
+
+def _carried(
+    ranged: DataFrame, keys: Sequence[str], summary: Column, over_earlier: Column, into: str
+) -> DataFrame:
+    """One row per key and range after the key's first: ``over_earlier`` of ``_sum`` so far.
+
+    A range border lies inside one key at most, so there are fewer rows than ranges.
+    """
+    sums = ranged.groupBy(*keys, "_part").agg(summary.alias("_sum"))
+    return sums.select(*keys, "_part", over_earlier.alias(into)).filter(F.col(into).isNotNull())
+
+
+def _earlier(keys: Sequence[str]):
+    return (
+        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+
+def _with_carried(
+    inside: DataFrame, carried: DataFrame, keys: Sequence[str], into: str, value: Column
+) -> DataFrame:
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_part")]
+    return (
+        inside.alias("a")
+        .join(carried.alias("b"), on, "left")
+        .select("a.*", value.alias(into))
+        .drop("_inside", "_part", "_at")
+    )
 
 
 def previous_value(
@@ -70,80 +121,55 @@ def previous_value(
     order: str,
     value: str,
     into: str,
-    chunk_rows: int = CHUNK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """``lag(value)`` per key in ``order``; ``value`` must not be null."""
-    chunked = df.withColumn("_chunk", _chunk(order, chunk_rows))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    tails = chunked.groupBy(*keys, "_chunk").agg(F.max_by(value, order).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy("_chunk")
-    before = tails.select(*keys, "_chunk", F.lag("_tail").over(across).alias("_before"))
-    return (
-        chunked.withColumn("_inside", F.lag(value).over(inside))
-        .join(before, [*keys, "_chunk"])
-        .withColumn(into, F.coalesce("_inside", "_before"))
-        .drop("_inside", "_before", "_chunk")
+    ranged = in_ranges(df, keys, [order], parts)
+    inside = ranged.withColumn(
+        "_inside", F.lag(value).over(Window.partitionBy(*keys, "_part").orderBy("_at"))
+    )
+    carried = _carried(
+        ranged, keys, F.max_by(value, "_at"), F.last("_sum").over(_earlier(keys)), "_before"
     )
+    return _with_carried(inside, carried, keys, into, F.coalesce("_inside", "_before"))
 
 
 def position(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str | tuple[str, bool]],
     into: str,
     *,
     coarse: Sequence[tuple[str, bool]] = (),
     descending: bool = False,
-    chunk_rows: int = CHUNK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Exact 1-based row number per key.
 
-    Rows are ordered by the ``coarse`` columns (name, descending) and then by the
-    unique integer column ``order``. Only one count per chunk meets in one task.
+    Rows are ordered by the ``coarse`` columns (name, descending) and then by ``order``,
+    a name or several. Only one count per range meets in one task.
     """
-    def directed(name: str, down: bool) -> Column:
-        return F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last()
-
-    names = [name for name, _ in coarse]
-    chunked = df.withColumn("_chunk", _chunk(order, chunk_rows))
-    inside = Window.partitionBy(*keys, *names, "_chunk").orderBy(directed(order, descending))
-    counts = chunked.groupBy(*keys, *names, "_chunk").agg(F.count("*").alias("_n"))
-    across = (
-        Window.partitionBy(*keys)
-        .orderBy(*[directed(n, d) for n, d in coarse], directed("_chunk", descending))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    last = [(order, descending)] if isinstance(order, str) else list(order)
+    ranged = in_ranges(df, keys, [*coarse, *last], parts)
+    inside = ranged.withColumn(
+        "_inside", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_at"))
     )
-    offsets = counts.select(
-        *keys, *names, "_chunk", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset")
-    )
-    numbered = chunked.withColumn("_inside", F.row_number().over(inside))
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, *names, "_chunk")]
-    return (
-        numbered.alias("a")
-        .join(offsets.alias("b"), on)
-        .select("a.*", (F.col("_inside") + F.col("_offset")).alias(into))
-        .drop("_inside", "_chunk")
+    carried = _carried(
+        ranged, keys, F.count("*"), F.sum("_sum").over(_earlier(keys)), "_offset"
     )
+    number = F.col("_inside") + F.coalesce("_offset", F.lit(0).cast("long"))
+    return _with_carried(inside, carried, keys, into, number)
 
 
 def running_max(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, into: str,
-    chunk_rows: int = CHUNK_ROWS,
+    df: DataFrame, keys: Sequence[str], order: str, value: str, into: str, parts: int | None = None
 ) -> DataFrame:
     """Greatest ``value`` of all earlier rows of the key; NULL values do not count."""
-    chunked = df.withColumn("_chunk", _chunk(order, chunk_rows))
-    inside = (
-        Window.partitionBy(*keys, "_chunk").orderBy(order)
+    ranged = in_ranges(df, keys, [order], parts)
+    before = (
+        Window.partitionBy(*keys, "_part").orderBy("_at")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    tails = chunked.groupBy(*keys, "_chunk").agg(F.max(value).alias("_tail"))
-    across = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = tails.select(*keys, "_chunk", F.max("_tail").over(across).alias("_before"))
-    return (
-        chunked.withColumn("_inside", F.max(value).over(inside))
-        .join(before, [*keys, "_chunk"])
-        .withColumn(into, F.greatest("_inside", "_before"))
-        .drop("_inside", "_before", "_chunk")
-    )
+    inside = ranged.withColumn("_inside", F.max(value).over(before))
+    carried = _carried(ranged, keys, F.max(value), F.max("_sum").over(_earlier(keys)), "_before")
+    return _with_carried(inside, carried, keys, into, F.greatest("_inside", "_before"))

@@ -126,7 +126,7 @@ def journal_status(now: Column) -> Column:
 def previous_finished(runs: DataFrame) -> DataFrame:
     """For every run the newest finished run before it; runs of one entry do not count.
 
-    Finished runs are reduced to one row per profile and chunk of run numbers, so a
+    Finished runs are reduced to one row per profile and range of run numbers, so a
     profile with most of the runs is not one task.
     """
     marked = runs.withColumn(
