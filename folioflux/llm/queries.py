@@ -16,6 +16,7 @@ from folioflux.llm import (
     pii,
     pu_classifier,
     quality_rules,
+    sharding,
     simhash,
     token_files,
 )
@@ -98,3 +99,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op12_sharding", sharding.SQL)
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
