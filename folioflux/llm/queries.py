@@ -14,6 +14,7 @@ from folioflux.llm import (
     line_dedup,
     packing,
     pii,
+    prefix_trie,
     pu_classifier,
     quality_rules,
     sharding,
@@ -104,3 +105,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_sharding", sharding.SQL)
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", prefix_trie.SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(table(spark, sf_dir, "conversations"))
