@@ -214,31 +214,40 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS, most_blocks: int = MOS
             # A walk that got stuck or ended early stays where it is.
             earliest += [earliest[-1] if earliest else 0] * (shards - len(earliest))
             latest += [len(blocks)] * (shards - len(latest))
-            open_ = {
-                i
-                for a, b in zip(earliest, latest)
-                for i in range(a, min(b, len(blocks) - 1) + 1)
-                if not blocks[i].atomic
-            }
+            # The nearest bounds first: a cut that is settled often settles those after it.
+            open_: set[int] = set()
+            for a, b in sorted(zip(earliest, latest), key=lambda ends: ends[1] - ends[0]):
+                more = {i for i in range(a, min(b, len(blocks) - 1) + 1) if not blocks[i].atomic}
+                if open_ and len(open_ | more) > most_blocks // 8:
+                    break
+                open_ |= more
         shift = _finer([blocks[i] for i in open_], most_blocks)
         split = [i for i in sorted(open_) if blocks[i].shift > shift]
-        wanted = F.lit(False)
-        for first, last in _runs(blocks, split):
-            wanted |= F.col("key").between(first, last)
+        runs = _runs(blocks, split)
+        firsts, lasts = (
+            F.array(*[F.lit(k).cast("long") for k in keys])
+            for keys in zip(*((blocks[i].first, blocks[j].last) for i, j in runs))
+        )
+        # A key is in a run where more runs have begun than have ended before it.
+        begun = F.size(F.filter(firsts, lambda k: k <= F.col("key")))
+        wanted = begun > F.size(F.filter(lasts, lambda k: k < F.col("key")))
         finer = _summed(rest.where(wanted), large, shift)
-        kept = set(split)
-        blocks = [b for i, b in enumerate(blocks) if i not in kept] + finer
+        summed_again = {i for first, last in runs for i in range(first, last + 1)}
+        alone = {b.first for b in large}
+        blocks = [
+            b for i, b in enumerate(blocks) if i not in summed_again or b.first in alone
+        ] + finer
 
 
-def _runs(blocks: Sequence[Block], indices: Sequence[int]) -> list[tuple[int, int]]:
-    """Key ranges of these blocks, neighbours joined."""
+def _runs(blocks: Sequence[Block], split: Sequence[int]) -> list[tuple[int, int]]:
+    """Runs of blocks from one to be split to another with only single groups between."""
     runs: list[list[int]] = []
-    for i in indices:
-        if runs and runs[-1][1] == i - 1:
+    for i in split:
+        if runs and all(b.atomic for b in blocks[runs[-1][1] + 1 : i]):
             runs[-1][1] = i
         else:
             runs.append([i, i])
-    return [(blocks[a].first, blocks[b].last) for a, b in runs]
+    return [(a, b) for a, b in runs]
 
 
 def group_sizes(docs: DataFrame, text: str = "text", overhead: int = OVERHEAD) -> DataFrame:
