@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflux.llm import (
     chat_format,
+    conversation_repair,
     decontam,
     html_extract,
     line_dedup,
@@ -102,6 +103,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_conversation_repair", conversation_repair.SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_sharding", sharding.SQL)
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
