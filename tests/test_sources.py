@@ -1,4 +1,4 @@
-"""Readers on small answers, and the stream on replays and late rows."""
+"""Readers on small answers, and appended runs."""
 
 import os
 import tempfile
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from folioflux.config import Profile
 from folioflux.sources import catalogue_json, marc, pages, sinks, validation
-from folioflux.streaming.feed import ChangeFeed
 
 
 def field(tag, *subs):
@@ -90,21 +89,6 @@ def row(id_, run, price):
     return (id_, "p", "s", "1", run, "watchlist", "T", price, None, None, None, None, None)
 
 
-def test_stream_keeps_runs_apart_and_survives_a_repeat(spark):
-    base = tempfile.mkdtemp(prefix="spark-")
-    feed = ChangeFeed(base, Profile(), os.path.join(base, "log"))
-    steps = [[row(1, 1, 900), row(2, 2, 800)], [row(3, 2, 700), row(4, 3, 750)], [row(5, 1, 100), row(6, 4, 600)]]
-    for number, rows in enumerate(steps):
-        for _ in range(2):  # the second time stands for a repeated micro-batch
-            feed.process(spark.createDataFrame(rows, LOG), number)
-    got = [(r.id, r.kind) for r in feed.read(spark).orderBy("id").collect()]
-    # Row 3 belongs to run 2 and meets the state of run 1; row 4 meets the last row of run 2.
-    assert got == [(1, "first_seen"), (2, "price_drop"), (3, "price_drop"), (4, "price_rise"), (6, "price_drop")]
-    assert [r.id for r in feed.read(spark, "late").collect()] == [5]
-    # Run 2 spreads over two micro-batches, and nothing of it is lost or doubled.
-    assert sorted(r.id for r in spark.read.parquet(feed.log).collect()) == [1, 2, 3, 4, 5, 6]
-
-
 def test_appending_a_run_twice_replaces_it(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "log")
     rows = spark.createDataFrame([row(1, 1, 900), row(2, 2, 800)], LOG)
