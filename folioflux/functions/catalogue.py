@@ -68,23 +68,43 @@ def empty_to_null(text: Column) -> Column:
 # ---------------------------------------------------------------------- blurbs
 
 
+#: Longest end of a text that holds a control, and the longest blank in it.
+_TAIL, _BLANK = 200, 64
+
+
+def _at_end(text: Column, pattern: str, width: int) -> Column:
+    """Cut what matches ``pattern`` at the end of a text; only the end is searched."""
+    head = F.substring(text, F.lit(1), F.length(text) - width)
+    return F.concat(head, F.regexp_replace(F.right(text, F.lit(width)), pattern, ""))
+
+
 def clean_blurb(blurb: Column) -> Column:
-    """Blurb without page controls; the closing dots stay, the text is cut."""
+    """Blurb without page controls; the closing dots stay, the text is cut.
+
+    The controls at the end are looked for in the end alone, and those inside by plain
+    searches, as most texts have none: patterns over whole texts are what costs.
+    """
     more = r"(?iuU)\s*+(?:(?:" + "|".join(MORE_LABELS) + r")\s*+)?(?:" + _ICONS + r")\s*+$"
-    # A plain search is much cheaper than the patterns, and few texts hold a control.
-    icons = r"(?i)" + _ICONS
-    labels = r"(?i)" + "|".join(CONTROL_LABELS)
+    label = r"(?iu) ?(?:" + "|".join(CONTROL_LABELS) + ") ?$"
+    inside = r"(?U)\s*+\b(?:" + _ICONS + r")\b\s*+"
+
+    def without_more(text: Column) -> Column:
+        # Blanks so long that a control may reach beyond the end are very rare.
+        far = F.right(text, F.lit(_TAIL)).rlike(r"(?U)\s{%d}" % _BLANK)
+        return F.when(far, F.regexp_replace(text, more, "")).otherwise(_at_end(text, more, _TAIL))
 
     def without_icons(text: Column) -> Column:
-        cut = F.regexp_replace(text, more, "")
-        return F.regexp_replace(cut, r"(?U)\s*+\b(?:" + _ICONS + r")\b\s*+", " ")
+        holds = F.lit(False)
+        for icon in ICON_NAMES:
+            holds |= text.contains(icon)
+        return F.when(holds, F.regexp_replace(text, inside, " ")).otherwise(text)
 
     def without_label(text: Column) -> Column:
-        pattern = r"(?iuU)\s*+(?:" + "|".join(CONTROL_LABELS) + r")\s*+$"
-        return F.when(text.rlike(labels), strip(F.regexp_replace(text, pattern, ""))).otherwise(text)
+        return F.trim(_at_end(text, label, max(map(len, CONTROL_LABELS)) + 2))
 
-    plain = F.when(blurb.rlike(icons), without_icons(blurb)).otherwise(blurb)
-    return empty_to_null(let(strip(squeeze(plain)), without_label))
+    plain = let(let(blurb, without_more), without_icons)
+    # Blanks are single spaces from here on.
+    return empty_to_null(let(F.trim(squeeze(plain)), without_label))
 
 
 def without_teaser(blurb: Column) -> Column:
