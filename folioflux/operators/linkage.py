@@ -477,22 +477,43 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def _containing(queries: DataFrame, books: DataFrame) -> DataFrame:
-    """Queries for which a longer title holding all wanted words would rank first."""
-    def tokens(rows: DataFrame) -> DataFrame:
-        return rows.withColumnRenamed("tokens", "_words")
-
-    # The longest word is the most selective one; every containing title has it.
-    wanted = tokens(queries).withColumn(
-        "_word",
-        F.element_at(
-            F.array_sort(F.transform("_words", lambda w: F.struct(-F.length(w), w.alias("w")))), 1
-        )["w"],
-    ).select("q_id", "_word", F.col("_words").alias("_wanted"))
-    found = tokens(books).select("b_id", F.explode(F.array_distinct("_words")).alias("_word"),
-                                 F.col("_words").alias("_found"))
-    ids = wanted.join(found, "_word").filter(
-        text.title_contained(F.col("_wanted"), F.col("_found"))
-    ).select("q_id", "b_id")
+    """Queries for which a longer title holding all wanted words would rank first.
+
+    An inverted index of the titles' words, with words in the order of how many titles
+    hold them: a title that holds all wanted words holds the rarest of them, so a query
+    looks there only. A word that all titles share is looked up by no query that has
+    another one. Queries are few beside the books and of one form each: titles of one
+    set of words are looked up once.
+    """
+    wanted = queries.select("q_id", F.array_sort("tokens").alias("_wanted"))
+    forms = materialize(
+        wanted.groupBy("_wanted").agg(F.count("*").alias("_n")).select("_wanted"), "wanted-words"
+    )
+    asked = forms.select(F.explode(F.array_distinct("_wanted")).alias("_word")).distinct()
+    found = books.select("b_id", F.array_sort("tokens").alias("_found"))
+    # Titles of one set of words stand for one another here.
+    titles = found.select("_found").distinct()
+    index = materialize(
+        titles.select(F.explode(F.array_distinct("_found")).alias("_word"), "_found").join(asked, "_word", "left_semi"),
+        "title-words",
+    )
+    held = index.groupBy("_word").agg(F.count("*").alias("_titles"))
+    # A word that no title holds is the rarest of all: such a query has no container.
+    rarest = (
+        forms.select("_wanted", F.explode(F.array_distinct("_wanted")).alias("_word"))
+        .join(held, "_word", "left")
+        .groupBy("_wanted")
+        .agg(F.min(F.struct(F.coalesce("_titles", F.lit(0)).alias("n"), F.col("_word").alias("w"))).alias("_r"))
+        .filter("_r.n > 0")
+        .select("_wanted", F.col("_r.w").alias("_word"))
+    )
+    pairs = materialize(
+        materialize(rarest, "rarest-words").join(index, "_word")
+        .filter(text.title_contained(F.col("_wanted"), F.col("_found")))
+        .select("_wanted", "_found"),
+        "contained-titles",
+    )
+    ids = wanted.join(pairs, "_wanted").join(found, "_found").select("q_id", "b_id")
     scored = score(_pairs(ids, queries, books))
     first = ~F.col("author_conflict") & ~F.col("volume_conflict") & ~F.col("is_bundle")
     accepted = (F.col("title_fuzzy") >= STRONG_TITLE) & F.col("author_exact")

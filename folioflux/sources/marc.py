@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.functions import catalogue
+from folioflux.functions.text import let
 
 # ---------------------------------------------------------------- fixed values
 #: Sort marks around articles.
@@ -23,18 +24,20 @@ def _clean(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, SORT_MARKS, ""))
 
 
+def _fields(answer: Column) -> Column:
+    """The fields of all records of an answer, in order."""
+    found = F.flatten(F.array_compact(answer["records"]["record"]["recordData"]["record"]["datafield"]))
+    return F.when(answer["numberOfRecords"] != "0", found)
+
+
 def records(answers: DataFrame, column: str = "xml") -> tuple[DataFrame, DataFrame]:
     """Records ``(isbn, found, …)`` and edges ``(isbn, contained)`` of answers ``(isbn, xml)``."""
     # Sort marks may come as references that are no valid characters.
     text = F.regexp_replace(F.regexp_replace(column, SORT_MARKS, ""), r'\sxmlns(:\w+)?="[^"]*"', "")
-    parsed = answers.select("isbn", F.from_xml(text, ANSWER).alias("a"))
-    fields = parsed.select(
+    fields = answers.select(
         "isbn",
-        # The fields of all records of an answer, in order.
-        F.when(
-            F.col("a.numberOfRecords") != "0",
-            F.flatten(F.array_compact(F.col("a.records.record.recordData.record.datafield"))),
-        ).alias("f"),
+        # Parsed once an answer: a generator is not merged into the columns made from it.
+        F.explode(F.array(let(F.from_xml(text, ANSWER), _fields))).alias("f"),
     )
 
     def of_tag(tag: str) -> Column:
@@ -44,15 +47,17 @@ def records(answers: DataFrame, column: str = "xml") -> tuple[DataFrame, DataFra
         hits = F.filter(field["subfield"], lambda s: s["_code"] == name)
         return catalogue.empty_to_null(_clean(F.try_element_at(hits, F.lit(1))["_VALUE"]))
 
+    def starts(field: Column, name: str, prefix: str) -> Column:
+        hits = F.filter(field["subfield"], lambda s: s["_code"] == name)
+        return F.coalesce(F.lower(_clean(F.try_element_at(hits, F.lit(1))["_VALUE"])).startswith(prefix), F.lit(False))
+
     def first(tag: str, name: str, place: int = 1) -> Column:
         values = F.filter(F.transform(of_tag(tag), lambda x: code(x, name)), lambda v: v.isNotNull())
         return F.try_element_at(values, F.lit(place))
 
     contained = F.flatten(
         F.transform(
-            F.filter(
-                of_tag("770"), lambda x: F.coalesce(F.lower(code(x, "i")).startswith("enth"), F.lit(False))
-            ),
+            F.filter(of_tag("770"), lambda x: starts(x, "i", "enth")),
             lambda x: F.transform(
                 F.filter(x["subfield"], lambda s: s["_code"] == "z"), lambda s: _clean(s["_VALUE"])
             ),
@@ -75,5 +80,9 @@ def records(answers: DataFrame, column: str = "xml") -> tuple[DataFrame, DataFra
     )
     return (
         rows.withColumn("found", known).drop("_volumes"),
-        rows.select("isbn", F.explode("_volumes").alias("contained")),
+        # A generator of its own, so that the filter Spark adds before the second one is
+        # on a column and not on the whole expression.
+        fields.select("isbn", F.explode(F.array(volumes)).alias("_volumes")).select(
+            "isbn", F.explode("_volumes").alias("contained")
+        ),
     )

@@ -178,3 +178,58 @@ def test_find_or_create_groups_new_items(spark):
     row = after.filter("book_key = 'book:1'").first()
     assert (row.title, row.isbn, row.series, row.author) == ("Der Schwarm", "9780000000001", "Meer", "Frank Schätzing")
     assert after.count() == 3
+
+
+def test_containment_looks_at_the_rarest_word(spark, monkeypatch):
+    """A long word that all titles share pairs nothing; rows grow with the titles."""
+    looked_up = []
+    materialize = linkage.materialize
+
+    def counted(frame, name):
+        kept = materialize(frame, name)
+        if name == "contained-titles":
+            looked_up.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(linkage, "materialize", counted)
+    monkeypatch.setattr(linkage.text, "title_contained", lambda wanted, found: F.lit(True))
+    for count in (100, 200):
+        def rows(suffix):
+            return [(f"{suffix}{i}", f"Gesamtausgabe w{i} {suffix}", "Anna Meier") for i in range(count)]
+
+        def keyed(suffix, id_):
+            frame = spark.createDataFrame(rows(suffix), f"{id_} string, title string, author string")
+            return linkage.with_keys(frame.withColumn("isbn", F.lit(None).cast("string"))).withColumns(
+                {"has_isbn": F.lit(False), "book_id": F.lit(1), "copies": F.lit(1).cast("long")}
+            )
+
+        queries = keyed("", "q_id").drop("book_id", "copies")
+        linkage._containing(queries, keyed("band", "b_id")).count()
+    assert looked_up == [100, 200]
+
+
+def test_containment_equals_looking_at_all_titles(spark):
+    rng = random.Random(12)
+    words = ["gesamtausgabe", "nacht", "eis", "nacht", "atlas", "zeit"]
+    titles = [" ".join(rng.choices(words, k=rng.randrange(1, 5))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(titles)), "n long, title string")
+    tokens = linkage.with_keys(frame.withColumn("author", F.lit("Anna Meier"))).select("n", "norm", "tokens")
+    lists = {r["n"]: r["tokens"] for r in tokens.collect()}
+    keyed = linkage.with_keys(
+        frame.withColumn("author", F.lit("Anna Meier")).withColumn("isbn", F.lit(None).cast("string"))
+    ).withColumns({"has_isbn": F.lit(False), "book_id": F.col("n"), "copies": F.lit(1).cast("long")})
+    queries = keyed.withColumn("q_id", F.col("n").cast("string")).drop("n", "book_id", "copies")
+    books = keyed.withColumn("b_id", F.col("n").cast("string")).drop("n")
+    got = {int(r["q_id"]) for r in linkage._containing(queries, books).collect()}
+    every = [
+        (str(q), str(b))
+        for q, wanted in lists.items()
+        for b, found in lists.items()
+        if wanted and len(found) > len(wanted) and set(wanted) <= set(found)
+    ]
+    ids = spark.createDataFrame(every, "q_id string, b_id string")
+    rows = linkage.score(linkage._pairs(ids, queries, books)).filter(
+        "not author_conflict and not volume_conflict and not is_bundle"
+    ).filter(~((F.col("title_fuzzy") >= linkage.STRONG_TITLE) & F.col("author_exact")))
+    assert got == {int(r["q_id"]) for r in rows.select("q_id").distinct().collect()}
+    assert len(got) > 5
