@@ -4,8 +4,12 @@ Each proposal starts with the score of its kind; a checksum that holds adds to i
 for cards, mod 97 for account numbers), and a word of the kind's context within
 ``NEARBY`` characters before it adds again. Kinds of the base (``email``, ``ip``,
 ``card``, ``phone``) are always kept, as their expression and validator settle them; the
-kinds that only the method adds (``iban``, and ``local_phone``: a number without country
-code) need a score of ``KEEP_FROM``, and give way where a base span already lies.
+kinds that only the method adds need a score of ``KEEP_FROM``, and give way where a base
+span already lies: ``iban``; ``secret``, a long mixed word whose letters are as good as
+random, near a word for a credential; and ``local_phone``, a number without country code.
+
+An account number may run on into capitals after it. Where its country has a fixed length
+(``ACCOUNT_LENGTHS``), that end is checked; else all ends at a word's end, longest first.
 
 Every search is linear in the text, so long texts of one character class are no trap.
 
@@ -17,7 +21,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from folioflux.llm.common import pick, shipped, slices, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("iban", "local_phone")
+MORE_KINDS = ("iban", "secret", "local_phone")
 RANK = {kind: i for i, kind in enumerate(KINDS + MORE_KINDS)}
 
 LOCAL_PART = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -35,18 +41,31 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,5}\)?[ ./-]?[0-9]{3,4}[ ./-]?[0-9]{3,6}(?![0-9A-Za-z])")
 DIGIT = re.compile("[0-9]")
 
-SCORES = {"email": 0.7, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.3, "local_phone": 0.2}
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-]{16,512}(?![A-Za-z0-9_+/=.-])")
+#: Bits a character that a random value has and a word or number has not.
+RANDOM_BITS = 3.0
+# Characters of an account number by country.
+ACCOUNT_LENGTHS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24,
+    "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "TR": 26,
+}
+
+SCORES = {"secret": 0.2, "email": 0.7, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.3, "local_phone": 0.2}
 CONFIRMED, IN_CONTEXT, KEEP_FROM, NEARBY = 0.5, 0.4, 0.6, 40
+RANDOM = 0.2
 CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|kontakt|correo|courriel)"),
     "ip": re.compile(r"(?i)\b(?:ip|host|server|address|adresse)\b"),
     "card": re.compile(r"(?i)\b(?:card|visa|mastercard|credit|karte|carte|tarjeta)"),
     "phone": re.compile(r"(?i)\b(?:tel|phone|call|fon|fax|mobile?|handy|anruf)"),
     "iban": re.compile(r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)"),
+    "secret": re.compile(r"(?i)(?:\b|_)(?:tokens?|secrets?|passwor[dt]e?|passwd|pwd|bearer|auth\w*|credentials?|api[ _-]?key|access[ _-]?key|key|schl(?:ü|ue)ssel|clave|contrase(?:ñ|n)a|clef?|mot de passe|kennwort)\b"),
     "local_phone": re.compile(r"(?i)\b(?:tel|phone|call|telefon|fax|mobile|handy|anruf)"),
 }
 
@@ -64,6 +83,33 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers whose mod 97 holds, each at the end that is right for it."""
+    m = IBAN.search(text)
+    while m:
+        low, high = m.span()
+        # Ends at which a word ends, by how many characters without blanks they hold.
+        ends, count = {}, 0
+        for i in range(low, high):
+            count += text[i] != " "
+            if text[i] != " " and not (i + 1 < len(text) and text[i + 1].isascii() and text[i + 1].isalnum()):
+                ends[count] = i + 1
+        length = ACCOUNT_LENGTHS.get(m[0][:2])
+        tried = [length] if length else sorted((n for n in ends if 15 <= n <= 34), reverse=True)
+        end = next((ends[n] for n in tried if n in ends and mod97(text[low : ends[n]].replace(" ", ""))), None)
+        if end is not None:
+            yield low, end
+        m = IBAN.search(text, low + 4 if end is None else end)
+
+
+def looks_random(word: str) -> bool:
+    """Letters and digits mixed, with about as many different ones as chance gives."""
+    if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+        return False
+    counts = [n / len(word) for n in Counter(word.lower()).values()]
+    return -sum(n * log2(n) for n in counts) >= RANDOM_BITS
+
+
 def _run_before(text: str, low: int, at: int) -> int:
     """Where the run of local-part characters that ends at ``at`` starts."""
     size = 64
@@ -120,23 +166,25 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         i = bisect_right(taken, (b - 1, float("inf")))
         return not i or reach[i - 1] <= a
 
-    found = []
-    for m in IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account) and free(*m.span()):
-            found.append(("iban", *m.span()))
-    numbers = [(a, b) for _, a, b in found]
+    found = [("iban", *span) for span in accounts(text) if free(*span)]
+    for m in SECRET.finditer(text):
+        if looks_random(m[0]) and free(*m.span()):
+            found.append(("secret", *m.span()))
+    # Both lists go by start, so one walk along them finds what touches.
+    others = sorted((a, b) for _, a, b in found)
+    at, until = 0, 0
     for m in LOCAL_PHONE.finditer(text):
         a, b = m.span()
-        if 7 <= sum(c.isdigit() for c in m[0]) <= 12 and free(a, b):
-            if not any(x < b and a < y for x, y in numbers):
-                found.append(("local_phone", a, b))
+        while at < len(others) and others[at][0] < b:
+            until, at = max(until, others[at][1]), at + 1
+        if 7 <= sum(c.isdigit() for c in m[0]) <= 12 and until <= a and free(a, b):
+            found.append(("local_phone", a, b))
     return [s for s in found if score(text, *s) >= KEEP_FROM]
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
     """Between 0 and 1: the kind's own, more with a checksum, more in context."""
-    value = SCORES[kind] + (CONFIRMED if kind in ("card", "iban") else 0.0)
+    value = SCORES[kind] + (CONFIRMED if kind in ("card", "iban") else RANDOM if kind == "secret" else 0.0)
     if CONTEXT[kind].search(text, max(0, start - NEARBY), start):
         value += IN_CONTEXT
     return min(1.0, round(value, 2))

@@ -3,10 +3,12 @@
 Base rules look at one text. The method's rule looks across documents: lines are
 normalised (lower case, digits as 0, white space runs as one space) and hashed; for each
 host, which is the ``source`` of a document, the distinct documents that hold a line are
-counted. Exact copies of a text count as one document, so that what was copied whole is
-left to the deduplication operators. A line in more than ``MOST_DOCUMENTS`` documents of
-its host is removed, and a document that keeps less than ``LEAST_SHARE`` of its words or
-fewer than ``LEAST_WORDS`` words is depleted and rejected.
+counted. A line is limited to ``MOST_SHARE`` of its host's documents, and to ``LEAST_MANY``
+documents where the host is small; so the same share of a host's lines goes whatever the
+number of rows. A line above its limit is removed, and a document that keeps less than ``LEAST_SHARE`` of its words or
+fewer than ``LEAST_WORDS`` words is depleted and rejected. Rows of one text on a host are
+one document to the rule unless ``copies_count``, so that what was copied whole is left
+to the deduplication operators.
 
 Only hashes and counts of lines are shuffled, never texts: distinct (line, text) pairs
 first, so a line with a third of all rows is summed up before it meets in one place; the
@@ -33,8 +35,9 @@ from folioflux.llm.common import SPACES, fresh, pick, shipped, slices, text_or_e
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 5
 BASE_WORDS = 10
-#: A line in more distinct documents of its host than this is not the document's own.
-MOST_DOCUMENTS = 20
+#: A line in more than this share of its host's documents, and in more documents than
+#: that, is not the document's own.
+MOST_SHARE, LEAST_MANY = 0.002, 20
 LEAST_SHARE, LEAST_WORDS = 0.3, 5
 DIGITS = str.maketrans("123456789", "000000000")
 
@@ -130,34 +133,45 @@ def measured(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_measure, MEASURED), "measured")
 
 
-def frequent_in(rows: DataFrame, most_documents: int) -> DataFrame:
-    """source, content, line, words: lines of each text that too many texts of its host hold."""
+def frequent_in(
+    rows: DataFrame, most_share: float, least_many: int, copies_count: bool = False
+) -> DataFrame:
+    """source, content, line, words: lines of each text above the limit of its host."""
+    texts = rows.groupBy("source", "content").agg(F.count(F.lit(1)).alias("rows"))
+    weight = F.col("rows") if copies_count else F.lit(1)
+    limits = texts.groupBy("source").agg(
+        F.greatest(F.lit(float(least_many)), most_share * F.sum(weight)).alias("most")
+    )
     lines = rows.select("source", "content", F.explode("lines").alias("at")).select(
         "source", "content", "at.line", "at.words"
     )
     # One row per line and distinct text, then one per line.
-    once = lines.groupBy("source", "line", "content").agg(F.max("words").alias("words"))
-    frequent = (
-        once.groupBy("source", "line")
-        .agg(F.count(F.lit(1)).alias("documents"))
-        .where(F.col("documents") > most_documents)
-        .select("source", "line")
+    once = lines.groupBy("source", "line", "content").agg(
+        F.max("words").alias("words"), F.count(F.lit(1)).alias("rows")
     )
+    counts = once.groupBy("source", "line").agg(F.sum(weight).alias("documents")).where(
+        F.col("documents") > least_many
+    )
+    # One row a host; written, so that a host with most lines can be split.
+    frequent = written(counts, "line-counts").join(written(limits, "host-limits"), "source")
+    frequent = frequent.where("documents > most").select("source", "line")
     # Written, so that both sides of the join come from a shuffle of their own: only then
     # can a line with very many texts be split.
-    return once.join(written(frequent, "frequent-lines"), ["source", "line"])
+    return once.drop("rows").join(written(frequent, "frequent-lines"), ["source", "line"])
 
 
 def apply_rules(
     docs: DataFrame,
-    most_documents: int = MOST_DOCUMENTS,
+    most_share: float = MOST_SHARE,
+    least_many: int = LEAST_MANY,
     least_share: float = LEAST_SHARE,
     least_words: int = LEAST_WORDS,
+    copies_count: bool = False,
 ) -> DataFrame:
     """Per row its counts, ``base_failed``, the words removed, and ``kept``."""
     rows = measured(docs)
     removed = (
-        frequent_in(rows, most_documents)
+        frequent_in(rows, most_share, least_many, copies_count)
         .groupBy("source", "content")
         .agg(F.sum("words").alias("removed_words"))
     )
@@ -186,9 +200,11 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def without_frequent_lines(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+def without_frequent_lines(
+    docs: DataFrame, most_share: float = MOST_SHARE, least_many: int = LEAST_MANY
+) -> DataFrame:
     """All rows and columns, the texts without the lines that too many texts of a host hold."""
-    gone = frequent_in(measured(docs), most_documents).groupBy("source", "content")
+    gone = frequent_in(measured(docs), most_share, least_many).groupBy("source", "content")
     host, content, lines = (fresh(docs, f"_rules_{n}") for n in ("host", "content", "lines"))
     keyed = docs.withColumns(
         {
@@ -228,8 +244,10 @@ WITH d AS (
   SELECT * FROM lines WHERE n_words > 0
 ), copies AS (
   SELECT doc_id, text, count(*) - count(DISTINCT line) AS n FROM solid GROUP BY doc_id, text
+), hosts AS (
+  SELECT source, greatest({LEAST_MANY}, {MOST_SHARE} * count(DISTINCT text)) AS most FROM d GROUP BY source
 ), frequent AS (
-  SELECT source, plain FROM solid GROUP BY source, plain HAVING count(DISTINCT text) > {MOST_DOCUMENTS}
+  SELECT source, plain FROM solid JOIN hosts USING (source) GROUP BY source, plain, most HAVING count(DISTINCT text) > most
 ), removed AS (
   SELECT doc_id, text, sum(n_words) AS n FROM solid JOIN frequent USING (source, plain) GROUP BY doc_id, text
 ), counts AS (

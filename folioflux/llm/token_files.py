@@ -64,7 +64,10 @@ def _commit(system: fs.FileSystem, temporary: str, path: str) -> None:
 
 def _writer(folder: str, tokenizer: str | None, end_id: int, width: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(tokenizer), np.asarray([end_id], dtype=width).tobytes()
+        words, most = encoder(tokenizer), np.iinfo(width).max
+        if not 0 <= end_id <= most:
+            raise ValueError(f"the end id {end_id} does not fit into {width}")
+        end = np.asarray([end_id], dtype=width).tobytes()
         task = TaskContext.get()
         system, root = fs.FileSystem.from_uri(folder)
         path = f"{root}/part-{task.partitionId():06d}"
@@ -76,6 +79,9 @@ def _writer(folder: str, tokenizer: str | None, end_id: int, width: str):
             data = words.encode_all(batch["text"].to_pylist())
             for doc_id, found in zip(batch["doc_id"].to_pylist(), data):
                 tokens = np.frombuffer(found, dtype="<u4")
+                # A narrower type would wrap around and store another token.
+                if len(tokens) and tokens.max() > most:
+                    raise ValueError(f"token id {tokens.max()} does not fit into {width}")
                 out.write(tokens.astype(width).tobytes())
                 out.write(end)
                 total += len(tokens) + 1
@@ -106,7 +112,8 @@ def write_token_files(
     """Write all documents; the parts in order with their bases.
 
     ``folder`` must be one that all executors reach. ``width`` is the type of the ids in
-    the files; ``<u2`` holds vocabularies below 65,536. The driver gets one row a file.
+    the files; ``<u2`` holds vocabularies below 65,536, and an id that does not fit is an
+    error. The driver gets one row a file.
     """
     shipped(docs.sparkSession)
     system, root = fs.FileSystem.from_uri(folder)

@@ -113,3 +113,11 @@ def test_plan_uses_all_counts_with_little_padding():
     assert dict(used) == {k: n for k, n in counts.items() if n}
     windows = sum(times for times, _ in plan)
     assert windows * 2048 <= 1.01 * sum(k * n for k, n in counts.items()) + 2048
+
+
+def test_ids_that_do_not_fit_are_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "words of a vocabulary")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.write_token_files(docs, str(tmp_path / "a"), width="<u1")
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.write_token_files(docs, str(tmp_path / "b"), end_id=70_000)

@@ -92,12 +92,12 @@ def test_frequent_lines_deplete(spark):
     rows += [(20 + i, "Cookie notice 77\n" + "Cookie notice 9 " * i) for i in range(1, 6)]
     rows += [(30, own), (30, own), (31, None), (None, "few words")]
     docs = frame(spark, rows)
-    found = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, most_documents=5).collect()}
+    found = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, least_many=5).collect()}
     assert all(found[i]["kept"] and found[i]["removed_words"] == 3 for i in range(12))
     assert not found[21]["kept"] and found[30]["kept"]
     assert found[31]["base_failed"] and not found[None]["kept"]
-    assert quality_rules.apply_rules(docs, 5).count() == len(rows)
-    clean = quality_rules.without_frequent_lines(docs, 5)
+    assert quality_rules.apply_rules(docs, least_many=5).count() == len(rows)
+    clean = quality_rules.without_frequent_lines(docs, least_many=5)
     assert clean.columns == docs.columns
     assert {r["text"] for r in clean.where("doc_id < 12").collect()} == {own.format(chr(97 + i)) for i in range(12)}
     assert quality_rules.apply_rules(docs.where("false")).count() == 0
@@ -105,7 +105,7 @@ def test_frequent_lines_deplete(spark):
 
 def test_exact_copies_are_one_document(spark):
     rows = [(i, "the same ten words stand in each of these copies") for i in range(30)]
-    assert quality_rules.apply_rules(frame(spark, rows), most_documents=5).where("kept").count() == 30
+    assert quality_rules.apply_rules(frame(spark, rows), least_many=5).where("kept").count() == 30
 
 
 # --------------------------------------------------------------- personal data
@@ -239,3 +239,69 @@ def test_hits_and_only_clean(spark, chars):
     assert sorted((r["doc_id"] or 0) for r in clean.collect()) == [0, 2, 3]
     assert decontam.hits(docs, items.where("false")).count() == 0
     assert decontam.hits(docs.where("false"), items).count() == 0
+
+
+def kept_lines(spark, rows, **limits):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return {r["doc_id"]: r["removed_words"] for r in quality_rules.apply_rules(docs, **limits).collect()}
+
+
+def test_line_limit_is_a_share_of_the_host(spark):
+    """The same verdicts for a host of four times the documents, and for hosts side by side."""
+    def rows(count, source, first):
+        texts = []
+        for i in range(count):
+            lines = [f"own words of {source} {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10 % 10]} {'uvwxyz'[i // 100]} that stand here"]
+            lines += ["half of all have this line"] * (i % 2 == 0) + ["a tenth has that one"] * (i % 10 == 0)
+            texts.append((first + i, "\n".join(lines), source))
+        return texts
+
+    limits = {"most_share": 0.2, "least_many": 3}
+    small, large = rows(40, "small", 0), rows(160, "large", 1000)
+    removed = kept_lines(spark, small + large, **limits)
+    assert {removed[i] for i in range(0, 40, 2)} == {6} and {removed[1000 + i] for i in range(0, 160, 2)} == {6}
+    assert not any(removed[i] for i in range(1, 40, 2)) and not any(removed[1000 + i] for i in range(1, 160, 2))
+    # Below the floor nothing goes, whatever the share.
+    assert not any(kept_lines(spark, small[:6], **limits).values())
+
+
+def test_copies_may_count_as_documents(spark):
+    rows = [(i, "the same text for all of them\nand one more line of it", "h") for i in range(10)]
+    rows += [(100 + i, f"text {chr(97 + i)} of its own words", "h") for i in range(10)]
+    limits = {"most_share": 0.3, "least_many": 2}
+    assert not any(kept_lines(spark, rows, **limits).values())
+    counted = kept_lines(spark, rows, copies_count=True, **limits)
+    assert counted[0] == 13 and counted[100] == 0
+
+
+def test_accounts_before_capitals_and_in_a_row():
+    def found(text):
+        return [(kind, text[a:b]) for kind, a, b, _ in pii.spans_of(text) if kind == "iban"]
+
+    british, german = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    assert found(f"IBAN {british} AND more") == [("iban", british)]
+    assert found(f"konto {german} BIC COBADEFF") == [("iban", german)]
+    assert found(f"{british} {german} XX") == [("iban", british), ("iban", german)]
+    assert found("DE89370400440532013000,GB82WEST12345698765432") == [
+        ("iban", "DE89370400440532013000"), ("iban", "GB82WEST12345698765432")
+    ]
+    # A country without a fixed length: the longest end whose sum holds.
+    body = "XK051212012345678906"
+    assert pii.mod97(body) and found(f"account {body} AB") == [("iban", body)]
+    assert found("GB82 WEST 1234 5698 7654 33 AND") == [] and found("GB82 WEST 1234 5698 7654 32A") == []
+
+
+def test_secrets_need_chance_and_context():
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert [s[0] for s in pii.spans_of(f'token = "{value}"')] == ["secret"]
+    assert [s[0] for s in pii.spans_of(f"my_api_key: {value}")] == ["secret"]
+    # Neither a checksum without context, nor a long word or number in it.
+    assert pii.spans_of(f"commit {value}") == []
+    assert pii.spans_of("password: unbelievablyunforgettable") == []
+    assert pii.spans_of("token aaaaaaaaaaaaaaaaaaaaaaaa1") == []
+
+
+def test_many_numbers_and_accounts_in_one_text():
+    text = "tel 030 1234567, IBAN DE89 3704 0044 0532 0130 00 und " * 3000
+    kinds = [s[0] for s in pii.spans_of(text)]
+    assert kinds.count("iban") == 3000 and kinds.count("local_phone") == 3000
