@@ -402,7 +402,7 @@ def _blocked(queries: DataFrame, books: DataFrame) -> DataFrame:
     return same_title.select("q_id", "b_id").unionByName(near_title.select("q_id", "b_id")).distinct()
 
 
-def _pairs(ids: DataFrame, queries: DataFrame, books: DataFrame) -> DataFrame:
+def _pairs(ids: DataFrame, queries: DataFrame, books: DataFrame, all_editions: bool = False) -> DataFrame:
     left = queries.select(
         "q_id", *[F.col(n).alias(f"q_{n}") for n in (*KEYS, "has_isbn")],
         F.lit(None).cast("int").alias("q_year"), F.lit("").alias("q_identifier"),
@@ -414,7 +414,7 @@ def _pairs(ids: DataFrame, queries: DataFrame, books: DataFrame) -> DataFrame:
     )
     joined = ids.join(left, "q_id").join(right, "b_id")
     # A find with an ISBN never becomes a book that has another one.
-    return joined.filter(~(F.col("q_has_isbn") & F.col("c_has_isbn")))
+    return joined if all_editions else joined.filter(~(F.col("q_has_isbn") & F.col("c_has_isbn")))
 
 
 def _signatures(rows: DataFrame, id_: str) -> DataFrame:
@@ -477,7 +477,15 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def _containing(queries: DataFrame, books: DataFrame) -> DataFrame:
-    """Queries for which a longer title holding all wanted words would rank first.
+    """Queries for which a longer title holding all wanted words would rank first."""
+    scored = score(_pairs(_container_ids(queries, books), queries, books))
+    first = ~F.col("author_conflict") & ~F.col("volume_conflict") & ~F.col("is_bundle")
+    accepted = (F.col("title_fuzzy") >= STRONG_TITLE) & F.col("author_exact")
+    return scored.filter(first & ~accepted).select("q_id").distinct()
+
+
+def _container_ids(queries: DataFrame, books: DataFrame) -> DataFrame:
+    """(q_id, b_id) where the longer title of a book holds all words of the wanted one.
 
     An inverted index of the titles' words, with words in the order of how many titles
     hold them: a title that holds all wanted words holds the rarest of them, so a query
@@ -513,11 +521,7 @@ def _containing(queries: DataFrame, books: DataFrame) -> DataFrame:
         .select("_wanted", "_found"),
         "contained-titles",
     )
-    ids = wanted.join(pairs, "_wanted").join(found, "_found").select("q_id", "b_id")
-    scored = score(_pairs(ids, queries, books))
-    first = ~F.col("author_conflict") & ~F.col("volume_conflict") & ~F.col("is_bundle")
-    accepted = (F.col("title_fuzzy") >= STRONG_TITLE) & F.col("author_exact")
-    return scored.filter(first & ~accepted).select("q_id").distinct()
+    return wanted.join(pairs, "_wanted").join(found, "_found").select("q_id", "b_id")
 
 
 def _without_author(queries: DataFrame, books: DataFrame) -> DataFrame:
@@ -545,14 +549,92 @@ def _without_author(queries: DataFrame, books: DataFrame) -> DataFrame:
     return best.filter("not conflict and copies = 1").select("q_id", "book_id")
 
 
+def _new_leaders(reps: DataFrame, books: DataFrame) -> DataFrame:
+    """(q_id, leader) for new books that a book made before them in the batch takes in.
+
+    ``reps(q_id, item_id, isbn, title, author)`` are the first items of the batch's new
+    books. The result is that of inserting them one by one in the order of ``item_id``.
+    All pairs that can decide are blocked and scored once. Then, round by round, each rep
+    without an undecided earlier one among its pairs is decided: its candidates are the
+    known books and the leaders before it, and if none is accepted it is a leader itself.
+    A leader without an ISBN learns the first one that joins it, and takes no other.
+    """
+    def keyed(rows: DataFrame, id_: str, rank: Column) -> DataFrame:
+        has = F.coalesce(F.length("isbn") > 0, F.lit(False))
+        return with_keys(rows).withColumns({"has_isbn": has, "c_order": rank}).select(
+            F.col(id_), *KEYS, "has_isbn", "isbn", "c_order"
+        )
+
+    new = materialize(
+        keyed(reps, "q_id", F.struct(F.lit(True).alias("new"), F.col("item_id").cast("long").alias("id")))
+        .filter("author is not null and norm <> ''"),
+        "new-books",
+    )
+    others = new.withColumnRenamed("q_id", "b_id")
+    near = _blocked(new, others).unionByName(_container_ids(new, others)).distinct().filter("q_id <> b_id")
+    order = new.select("q_id", F.col("c_order").alias("_q")), others.select("b_id", F.col("c_order").alias("_b"))
+    earlier = materialize(
+        near.join(order[0], "q_id").join(order[1], "b_id").filter("_b < _q").select("q_id", "b_id"), "new-pairs"
+    )
+    asking = new.join(earlier.select("q_id").distinct(), "q_id", "left_semi")
+    known = keyed(
+        books.withColumn("b_id", F.concat(F.lit("book:"), "book_id")), "b_id",
+        F.struct(F.lit(False).alias("new"), F.col("book_id").cast("long").alias("id")),
+    )
+    known = materialize(known, "old-books")
+    old = _blocked(asking, known).unionByName(_container_ids(asking, known)).distinct()
+
+    def scored(ids: DataFrame, found: DataFrame, all_editions: bool) -> DataFrame:
+        ranked = found.withColumnsRenamed({"c_order": "book_id"}).withColumn("copies", F.lit(1).cast("long"))
+        return score(_pairs(ids, asking, ranked, all_editions)).select(
+            "q_id", "b_id", (F.col("q_has_isbn") & F.col("c_has_isbn")).alias("apart"), *SCORED
+        )
+
+    pairs = materialize(
+        scored(earlier, others, True).unionByName(scored(old, known, False)), "scored-new"
+    )
+    # What is decided: the leader of each rep, its own id for a leader, and its ISBN.
+    decided = materialize(
+        new.join(asking.select("q_id"), "q_id", "left_anti")
+        .select("q_id", F.col("q_id").alias("leader"), "isbn"),
+        "decided",
+    )
+    open_ = asking.select("q_id", F.nullif("isbn", F.lit("")).alias("isbn"), "c_order")
+    while not open_.isEmpty():
+        waiting = pairs.join(open_.select(F.col("q_id").alias("b_id")), "b_id", "left_semi").select("q_id")
+        ready = materialize(open_.join(waiting, "q_id", "left_anti"), "ready")
+        # A leader's ISBN: its own, or the one it has learned.
+        editions = decided.groupBy("leader").agg(F.max("isbn").alias("_isbn")).withColumnRenamed("leader", "b_id")
+        is_leader = decided.filter("q_id = leader").select(F.col("q_id").alias("b_id"))
+        leaders = is_leader.join(editions, "b_id")
+        visible = pairs.filter("b_id not like 'book:%' and not apart").join(leaders, "b_id").unionByName(
+            pairs.filter("b_id like 'book:%'").withColumn("_isbn", F.lit(None).cast("string"))
+        )
+        visible = visible.join(ready, "q_id").filter(
+            F.col("isbn").isNull() | F.col("_isbn").isNull() | (F.length("_isbn") == 0) | (F.col("isbn") == F.col("_isbn"))
+        )
+        two = best_two(visible, ["q_id"], ["b_id"])
+        best = F.col("best")
+        sure = confidence(best, F.lit(True), tied(best, F.col("second")))["confidence"] == AUTO_ACCEPT
+        accepted = two.filter(sure).select("q_id", best["b_id"].alias("leader"))
+        done = materialize(
+            ready.join(accepted, "q_id", "left")
+            .select("q_id", F.coalesce("leader", "q_id").alias("leader"), "isbn"),
+            "decided",
+        )
+        open_ = materialize(open_.join(done, "q_id", "left_anti"), "open")
+        decided = materialize(decided.unionByName(done), "decided")
+    return decided.filter("q_id <> leader").select("q_id", "leader")
+
+
 def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Book of every item, and the books after the batch.
 
     Known books are linked first. The rest is grouped by ISBN, and without one by
     normalised title and people; a group becomes one new book named after its first
-    item. An item without people joins the one new work of its title, volume and form;
-    one whose title normalises to nothing stands alone. Fuzzy matches among new items
-    of one batch are not merged: the order of single inserts does not exist in a batch.
+    item. Groups that match the new book of an earlier one join it, as if the items had
+    been inserted one by one (``_new_leaders``). An item without people joins the one new
+    work of its title, volume and form; one whose title normalises to nothing stands alone.
 
     ``items(item_id, isbn, title, author, series)``,
     ``books(book_id, isbn, title, author, series)``.
@@ -566,17 +648,10 @@ def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataF
                     F.array_join(F.array_sort("names"), "&")),
     )
     by_isbn = F.when(F.length("isbn") > 0, F.concat(F.lit("isbn:"), "isbn"))
-    # A work that exactly one new ISBN carries also takes the items without one.
-    single = (
-        keyed.filter(by_isbn.isNotNull()).groupBy("_work")
-        .agg(F.min(by_isbn).alias("_low"), F.max(by_isbn).alias("_high"))
-        .filter("_low = _high").select("_work", F.col("_low").alias("_isbn"))
-    )
     # A title that normalises to nothing tells nothing: such an item stands alone.
     alone = F.when(F.col("norm") == "", F.concat(F.lit("item:"), "item_id"))
-    works = keyed.join(single, "_work", "left").withColumn(
-        "_group",
-        F.coalesce(by_isbn, alone, F.col("_isbn"), F.concat(F.lit("work:"), "_work")),
+    works = keyed.withColumn(
+        "_group", F.coalesce(by_isbn, alone, F.concat(F.lit("work:"), "_work"))
     )
     # An item without people joins the one new work of its title, volume and form.
     form = ["norm", F.coalesce("volume", F.lit(-1)).alias("_volume"), "bundle"]
@@ -591,8 +666,15 @@ def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataF
         .join(named, ["norm", "_volume", "bundle"], "left")
         .withColumn("_group", F.coalesce(F.when(nameless, F.col("_named")), F.col("_group")))
     )
-    firsts = grouped.groupBy("_group").agg(F.min("item_id").alias("_first"))
-    created = grouped.join(firsts, "_group").select(
+    grouped = materialize(grouped.select("item_id", "_group"), "new-groups")
+    firsts = materialize(grouped.groupBy("_group").agg(F.min("item_id").alias("item_id")), "new-firsts")
+    reps = firsts.join(items.select("item_id", "isbn", "title", "author"), "item_id").withColumnRenamed("_group", "q_id")
+    merged = _new_leaders(reps, books)
+    leader = F.coalesce("leader", "_group")
+    led = firsts.join(merged.withColumnRenamed("q_id", "_group"), "_group", "left")
+    names = firsts.select(F.col("_group").alias("_leader"), F.col("item_id").alias("_first"))
+    led = led.select("_group", leader.alias("_leader")).join(names, "_leader").select("_group", "_first")
+    created = grouped.join(led, "_group").select(
         "item_id", F.concat(F.lit("new:"), "_first").alias("book_key")
     )
     assigned = found.select(
