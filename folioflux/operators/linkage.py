@@ -590,9 +590,24 @@ def _new_leaders(reps: DataFrame, books: DataFrame) -> DataFrame:
             "q_id", "b_id", (F.col("q_has_isbn") & F.col("c_has_isbn")).alias("apart"), *SCORED
         )
 
+    every = scored(earlier, others, True).unionByName(scored(old, known, False))
+    alone = confidence(F.struct(*SCORED), F.lit(True), F.lit(False))["confidence"]
+    every = materialize(
+        every.withColumns({"_sure": alone == AUTO_ACCEPT, "_key": rank_key()}), "scored-new"
+    )
+    # Most reps have no pair that could ever be accepted, and are leaders at once. For the
+    # others only what ranks up to such a pair, or could be tied with it, has a say.
+    reach = every.filter("_sure and not apart").groupBy("q_id").agg(
+        F.max("_key").alias("_worst"), F.min("title_fuzzy").alias("_low")
+    )
+    has_a_say = (F.col("_key") <= F.col("_worst")) | (F.col("title_fuzzy") >= F.col("_low") - TIE_MARGIN)
     pairs = materialize(
-        scored(earlier, others, True).unionByName(scored(old, known, False)), "scored-new"
+        every.join(materialize(reach, "reach"), "q_id")
+        .filter(has_a_say & (~F.col("apart") | F.col("_sure")))
+        .drop("_sure", "_key", "_worst", "_low"),
+        "deciding-pairs",
     )
+    asking = asking.join(pairs.select("q_id").distinct(), "q_id", "left_semi")
     # What is decided: the leader of each rep, its own id for a leader, and its ISBN.
     decided = materialize(
         new.join(asking.select("q_id"), "q_id", "left_anti")
@@ -627,13 +642,27 @@ def _new_leaders(reps: DataFrame, books: DataFrame) -> DataFrame:
     return decided.filter("q_id <> leader").select("q_id", "leader")
 
 
-def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _led(grouped: DataFrame, items: DataFrame, books: DataFrame) -> DataFrame:
+    """(_group, _first): the first item of the new book that each group ends up in."""
+    firsts = materialize(grouped.groupBy("_group").agg(F.min("item_id").alias("item_id")), "new-firsts")
+    reps = firsts.join(items.select("item_id", "isbn", "title", "author"), "item_id").withColumnRenamed("_group", "q_id")
+    merged = _new_leaders(reps, books).withColumnRenamed("q_id", "_group")
+    led = firsts.join(merged, "_group", "left").select("_group", F.coalesce("leader", "_group").alias("_leader"))
+    names = firsts.select(F.col("_group").alias("_leader"), F.col("item_id").alias("_first"))
+    return led.join(names, "_leader").select("_group", "_first")
+
+
+def find_or_create(
+    items: DataFrame, books: DataFrame, one_by_one: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Book of every item, and the books after the batch.
 
     Known books are linked first. The rest is grouped by ISBN, and without one by
     normalised title and people; a group becomes one new book named after its first
-    item. Groups that match the new book of an earlier one join it, as if the items had
-    been inserted one by one (``_new_leaders``). An item without people joins the one new
+    item. ``one_by_one``: groups that match the new book of an earlier one join it, as if
+    the items had been inserted one by one (``_new_leaders``); that takes a round for each
+    link of the longest chain of similar new titles. Without it fuzzy matches among new
+    items are not merged, and an ISBN that alone goes with a work takes its items. An item without people joins the one new
     work of its title, volume and form; one whose title normalises to nothing stands alone.
 
     ``items(item_id, isbn, title, author, series)``,
@@ -648,10 +677,17 @@ def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataF
                     F.array_join(F.array_sort("names"), "&")),
     )
     by_isbn = F.when(F.length("isbn") > 0, F.concat(F.lit("isbn:"), "isbn"))
+    # A work that exactly one new ISBN carries also takes the items without one.
+    single = (
+        keyed.filter(by_isbn.isNotNull()).groupBy("_work")
+        .agg(F.min(by_isbn).alias("_low"), F.max(by_isbn).alias("_high"))
+        .filter("_low = _high").select("_work", F.col("_low").alias("_isbn"))
+    )
+    taken = F.lit(None).cast("string") if one_by_one else F.col("_isbn")
     # A title that normalises to nothing tells nothing: such an item stands alone.
     alone = F.when(F.col("norm") == "", F.concat(F.lit("item:"), "item_id"))
-    works = keyed.withColumn(
-        "_group", F.coalesce(by_isbn, alone, F.concat(F.lit("work:"), "_work"))
+    works = keyed.join(single, "_work", "left").withColumn(
+        "_group", F.coalesce(by_isbn, alone, taken, F.concat(F.lit("work:"), "_work"))
     )
     # An item without people joins the one new work of its title, volume and form.
     form = ["norm", F.coalesce("volume", F.lit(-1)).alias("_volume"), "bundle"]
@@ -666,15 +702,11 @@ def find_or_create(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataF
         .join(named, ["norm", "_volume", "bundle"], "left")
         .withColumn("_group", F.coalesce(F.when(nameless, F.col("_named")), F.col("_group")))
     )
-    grouped = materialize(grouped.select("item_id", "_group"), "new-groups")
-    firsts = materialize(grouped.groupBy("_group").agg(F.min("item_id").alias("item_id")), "new-firsts")
-    reps = firsts.join(items.select("item_id", "isbn", "title", "author"), "item_id").withColumnRenamed("_group", "q_id")
-    merged = _new_leaders(reps, books)
-    leader = F.coalesce("leader", "_group")
-    led = firsts.join(merged.withColumnRenamed("q_id", "_group"), "_group", "left")
-    names = firsts.select(F.col("_group").alias("_leader"), F.col("item_id").alias("_first"))
-    led = led.select("_group", leader.alias("_leader")).join(names, "_leader").select("_group", "_first")
-    created = grouped.join(led, "_group").select(
+    firsts = grouped.groupBy("_group").agg(F.min("item_id").alias("_first"))
+    if one_by_one:
+        grouped = materialize(grouped.select("item_id", "_group"), "new-groups")
+        firsts = _led(grouped, items, books)
+    created = grouped.join(firsts, "_group").select(
         "item_id", F.concat(F.lit("new:"), "_first").alias("book_key")
     )
     assigned = found.select(

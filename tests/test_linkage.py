@@ -307,12 +307,12 @@ def test_new_books_equal_single_inserts(spark):
     # Known books as they stand at the start decide first, so they are left out here.
     nothing = b.filter("false")
     wanted = insert_one_by_one(spark, items, [])
-    assigned, _ = linkage.find_or_create(i, nothing)
+    assigned, _ = linkage.find_or_create(i, nothing, one_by_one=True)
     got = {r["item_id"]: r["book_key"].replace("new:", "i") for r in assigned.collect()}
     assert got == wanted
     assert len(set(wanted.values())) < len(items) - 8
     # With known books no item without a match is lost, and leaders never follow others.
-    keys = {r["item_id"]: r["book_key"] for r in linkage.find_or_create(i, b)[0].collect()}
+    keys = {r["item_id"]: r["book_key"] for r in linkage.find_or_create(i, b, one_by_one=True)[0].collect()}
     assert set(keys) == {r[0] for r in items}
     assert all(keys[int(k[4:])] == k for k in keys.values() if k.startswith("new:"))
 
@@ -324,5 +324,5 @@ def test_a_leader_learns_one_isbn(spark):
     ]
     items = spark.createDataFrame([(*r, None) for r in rows], "item_id long, isbn string, title string, author string, series string")
     nothing = spark.createDataFrame([], "book_id long, isbn string, title string, author string, series string")
-    keys = {r["item_id"]: r["book_key"] for r in linkage.find_or_create(items, nothing)[0].collect()}
+    keys = {r["item_id"]: r["book_key"] for r in linkage.find_or_create(items, nothing, one_by_one=True)[0].collect()}
     assert keys[2] == keys[1] == "new:1" and keys[3] == "new:3"
