@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioflux.functions import catalogue as C
 from folioflux.operators import changes, lookups, state
 from folioflux.operators.changes import ITEM
-from folioflux.plans import gate, jobs, watchlist
+from folioflux.plans import decide, gate, jobs, watchlist
 from folioflux.plans import pile as piles
 from folioflux.sources import records
 from folioflux.workload import sqltext as S
@@ -456,6 +456,35 @@ def _(t):
     return good.select("id", "kind")
 
 
+def _decided(t) -> decide.Decided:
+    """What the decisions of ``st_05_decided_finds`` add to books, relations and links."""
+    keys = t.orders.selectExpr(
+        "concat('p', o_custkey % 3) as profile_slug",
+        "case o_orderkey % 5 when 0 then 'click' when 1 then 'view' when 2 then 'purchase' when 3 then 'signup' else 'error' end as source",
+        "cast(o_custkey as string) as source_item_id",
+        "case o_orderstatus when 'F' then 'owned' when 'O' then 'dismissed' else 'egal' end as kind",
+    ).distinct()
+    facts = ["id", "match_reason", "isbn", "title", "author", "series", "url"]
+    finds = lookups.latest_discoveries(t.obs.select(*ITEM, *facts))
+    good, _ = piles.decisions(keys, finds, ["watching", "owned", "liked", "disliked", "dismissed"])
+    return decide.decide(good, t.book, now())
+
+
+@query("st_05_decided_books")
+def _(t):
+    return _decided(t).books
+
+
+@query("st_05_decided_relations")
+def _(t):
+    return _decided(t).relations
+
+
+@query("st_05_decided_links")
+def _(t):
+    return _decided(t).links
+
+
 @query("st_07_added_to_watchlist")
 def _(t):
     from folioflux.operators import linkage
