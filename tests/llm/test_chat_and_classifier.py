@@ -144,6 +144,40 @@ def test_risk_estimate_stays_non_negative(texts):
     assert loss.mean() - 0.5 * loss[positive].mean() >= 0
 
 
+def test_minimum_with_the_estimated_prior_against_plain_descent(texts):
+    """The risk that the fit ends at, and its constraint, by another optimiser on plain arrays."""
+    docs, labels, _ = texts
+    rows = pu_classifier.measured(docs, labels)
+    model = pu_classifier.fit(rows)
+    table = [(r["positive"], np.array(r["x"], dtype=float)) for r in rows.collect()]
+    positive, x = np.array([p for p, _ in table]), np.array([v for _, v in table])
+    n, n_positive = float(len(x)), float(positive.sum())
+    start = pu_classifier.Model(model.middle, model.scale, np.zeros(pu_classifier.WIDTH + 1))
+    first = pu_classifier._minimise(rows, start, 0.5, n, n_positive)
+    prior = pu_classifier._prior(rows, first, n, n_positive)
+    z = model.inputs(x)
+    penalty = pu_classifier.PENALTY / n_positive * np.concatenate([[0.0], np.ones(pu_classifier.WIDTH)])
+
+    def parts(w):
+        g = z @ w
+        negative = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, g[positive]).mean()
+        risk = np.logaddexp(0, g).mean() - prior * g[positive].mean() + 0.5 * (penalty * w * w).sum()
+        return risk, negative
+
+    # Descent with momentum from zero; of the points that keep the constraint the best one.
+    w, speed, best = np.zeros(len(penalty)), np.zeros(len(penalty)), np.inf
+    for _ in range(6000):
+        s = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        gradient = z.T @ s / n - prior * z[positive].mean(axis=0) + penalty * w
+        speed = 0.9 * speed - 0.05 * gradient
+        w = w + speed
+        risk, negative = parts(w)
+        best = min(best, risk) if negative >= 0 else best
+    mine, negative = parts(model.weights)
+    assert negative >= -1e-9
+    assert mine <= best + 0.01
+
+
 # -------------------------------------------------------------------- pipeline
 
 
