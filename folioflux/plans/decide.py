@@ -11,6 +11,9 @@ from folioflux.operators import linkage, ordered
 from folioflux.session import materialize
 
 NEW, OLD = "new:", "book:"
+# ---------------------------------------------------------------- fixed values
+CONFIRMED, FROM_THE_PILE = "confirmed", "aus der Triage"
+# ------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -64,7 +67,7 @@ def decide(finds: DataFrame, books: DataFrame, now: Column) -> Decided:
         ordered.latest(
             rows.select("book_id", "source", "id", "source_item_id", "url"), ["book_id", "source"]
         ).select(
-            "book_id", "source", "source_item_id", "url", F.lit("confirmed").alias("outcome"),
-            F.lit("aus der Triage").alias("reason"), now.alias("resolved_at"),
+            "book_id", "source", "source_item_id", "url", F.lit(CONFIRMED).alias("outcome"),
+            F.lit(FROM_THE_PILE).alias("reason"), now.alias("resolved_at"),
         ),
     )

@@ -321,7 +321,8 @@ QUALIFY lag(price_cents) OVER (PARTITION BY {S.ITEM} ORDER BY id) IS DISTINCT FR
 def _(t):
     from folioflux.plans.pages import price_points
 
-    return price_points(t.obs, ITEM).select(*ITEM, "id", "price_cents")
+    # Narrow first: the ranges are written, and what is written is not pruned later.
+    return price_points(t.obs.select(*ITEM, "id", "price_cents"), ITEM)
 
 
 @query(
