@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.config import Profile
+from folioflux.config import Profile, source_kind
 from folioflux.functions import catalogue
-from folioflux.operators import bundles, changes, linkage, ordered
+from folioflux.operators import bundles, changes, linkage, ordered, state
 from folioflux.operators.changes import ITEM
 from folioflux.plans import gate
 from folioflux.sources import sinks
@@ -45,73 +46,141 @@ def newest_for_judgement(log: DataFrame, books: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- run
 
 
+def _as_it_is(name: str, frame: DataFrame) -> DataFrame:
+    return frame
+
+
+RUN_KEY = ["profile_slug", "run_id"]
+#: In the order in which they are written: history first, judgements after it.
+RUN_FRAMES = [
+    "rows", "learned", "foreign", "deltas", "decided", "seeded", "digest", "report", "journal",
+]
+
+
 @dataclass
 class Run:
-    """Frames one run produces; nothing is computed before they are written."""
-
-    learned: DataFrame
-    deltas: DataFrame
-    rows: DataFrame
-    foreign: DataFrame
-    decided: DataFrame
-    seeded: DataFrame
-    digest: DataFrame
-    report: DataFrame
-
-
-def run(
-    observations: DataFrame,
-    log: DataFrame,
-    books: DataFrame,
-    ratings: DataFrame,
-    edges: DataFrame,
-    origin: DataFrame,
-    seeded: DataFrame,
-    swept: DataFrame,
-    attention: DataFrame,
-    failures: DataFrame,
-    profile: Profile,
-    run_time: Column,
-    rate: Callable[[DataFrame], DataFrame] | None = None,
-    with_bundles: bool = True,
-) -> Run:
-    """One run: state before, changes, snapshot, side facts, gate and digest.
-
-    ``log`` holds earlier runs only, so the previous state is read before the
-    snapshot exists. The snapshot does not depend on the gate: a failing judgement
-    costs a judgement and never history. Interests of a failed source stay unseeded.
+    """One run: state before, changes, snapshot, side facts, gate, digest and journal.
+
+    Each frame is made when it is first asked for. ``log`` holds earlier runs only, so
+    the previous state is read before the snapshot exists. The snapshot does not depend
+    on the gate: a failing judgement costs a judgement and never history. Interests of a
+    failed source stay unseeded; ``failed(source, message)`` names those sources.
+    ``keep(name, frame)`` may write a frame and give back what it wrote
+    (``sinks.RunWriter.keep``), so later frames do not compute earlier ones again.
     """
-    latest = ordered.latest(log.select(*ITEM, *changes.STATE), ITEM)
-    compared = changes.with_stored_previous(observations, latest)
-    if with_bundles:
+
+    observations: DataFrame
+    log: DataFrame
+    books: DataFrame
+    ratings: DataFrame
+    edges: DataFrame
+    origin: DataFrame
+    seeded_before: DataFrame
+    swept: DataFrame
+    attention: DataFrame
+    failures: DataFrame
+    failed: DataFrame
+    profile: Profile
+    run_time: Column
+    rate: Callable[[DataFrame], DataFrame] | None = None
+    keep: Callable[[str, DataFrame], DataFrame] = _as_it_is
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self.keep("rows", sinks.observation_rows(self.observations, self.run_time))
+
+    @cached_property
+    def learned(self) -> DataFrame:
+        seen = self.observations.select("id", "book_id", "isbn")
+        return self.keep("learned", linkage.learn_isbns(self.books, seen))
+
+    @cached_property
+    def foreign(self) -> DataFrame:
+        return self.keep("foreign", sinks.foreign_ratings(self.observations))
+
+    @cached_property
+    def deltas(self) -> DataFrame:
+        latest = ordered.latest(self.log.select(*ITEM, *changes.STATE), ITEM)
+        compared = changes.with_stored_previous(self.observations, latest)
         # Single prices come from what is stored, not from this run.
         compared = bundles.with_advantage(
-            compared, bundles.last_prices(log, "title"), bundles.last_prices(log, "isbn"), edges, profile
+            compared, bundles.last_prices(self.log, "title"), bundles.last_prices(self.log, "isbn"),
+            self.edges, self.profile,
         )
-        bundle = F.col("advantage").isNotNull()
-    else:
-        bundle = None
-    deltas = changes.notifiable(changes.changes(compared, profile, bundle))
-    deltas = changes.suppress_unseeded(deltas, origin, seeded)
-    decided = gate.apply(deltas, ratings, profile, ["profile_slug", "run_id"], rate)
-    shown = decided.filter("shown")
-    if not with_bundles:
-        shown = shown.withColumn(
-            "advantage",
-            F.lit(None).cast("struct<volumes:bigint,shop:string,singles:bigint,saved_cents:bigint,saved_pct:int>"),
+        found = changes.changes(compared, self.profile, F.col("advantage").isNotNull())
+        told = changes.suppress_unseeded(changes.notifiable(found), self.origin, self.seeded_before)
+        return self.keep("deltas", told)
+
+    @cached_property
+    def decided(self) -> DataFrame:
+        return self.keep(
+            "decided", gate.apply(self.deltas, self.ratings, self.profile, RUN_KEY, self.rate)
         )
-    healthy = swept.join(failures.select("source").distinct(), "source", "left_anti")
-    return Run(
-        learned=linkage.learn_isbns(books, observations.select("id", "book_id", "isbn")),
-        deltas=deltas,
-        rows=sinks.observation_rows(observations, run_time),
-        foreign=sinks.foreign_ratings(observations),
-        decided=decided,
-        seeded=healthy.select("interest_id", "source", run_time.alias("seeded_at")),
-        digest=sinks.digest(shown, attention, failures, profile),
-        report=decided.groupBy("profile_slug", "run_id").agg(
+
+    @cached_property
+    def seeded(self) -> DataFrame:
+        healthy = self.swept.join(self.failed.select("source"), "source", "left_anti")
+        marks = healthy.select("interest_id", "source", self.run_time.alias("seeded_at"))
+        return self.keep("seeded", marks.distinct())
+
+    @cached_property
+    def digest(self) -> DataFrame:
+        shown = self.decided.filter("shown")
+        return self.keep("digest", sinks.digest(shown, self.attention, self.failures, self.profile))
+
+    @cached_property
+    def report(self) -> DataFrame:
+        counts = self.decided.groupBy(*RUN_KEY).agg(
             F.count_if("shown").alias("shown"), F.count("*").alias("deltas")
-        ),
+        )
+        if self.rate is not None:
+            counts = counts.join(gate.report(self.decided, RUN_KEY), RUN_KEY)
+        return self.keep("report", counts)
+
+    @cached_property
+    def journal(self) -> DataFrame:
+        runs = self.observations.select(*RUN_KEY).distinct()
+        rows = run_journal_rows(runs, self.report, self.failed, self.run_time)
+        return self.keep("journal", rows)
+
+    def write(self) -> None:
+        """Make all frames in order; with a writer's ``keep`` each is written once."""
+        for name in RUN_FRAMES:
+            getattr(self, name)
+
+
+def collecting_sources(
+    observations: DataFrame, switches: DataFrame, probes: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Sources a run asks (switched on, last probe good), and those that failed theirs."""
+    on = state.enabled(observations.select("source").distinct(), switches).filter("enabled")
+    last = state.probe_state(probes).select("source", "last_ok", "last_error")
+    probed = on.select("source").join(last, "source", "left")
+    failed = F.col("last_ok") == F.lit(False)
+    return (
+        probed.filter(F.coalesce(~failed, F.lit(True))).select("source"),
+        probed.filter(failed).select("source", F.col("last_error").alias("message")),
+    )
+
+
+def run_journal_rows(runs: DataFrame, counts: DataFrame, failed: DataFrame, now: Column) -> DataFrame:
+    """The closing row of each run: an error where a source failed, and what it said."""
+    # One message a source, so the text is as long as the list of sources.
+    said = failed.groupBy("source").agg(F.max("message").alias("message")).agg(
+        F.array_join(
+            F.sort_array(F.collect_list(F.concat_ws(": ", "source", "message"))), "; "
+        ).alias("_said")
+    )
+    by = ["profile_slug", "run_id"]
+    return (
+        runs.join(counts.select(*by, "shown"), by, "left")
+        .join(F.broadcast(said))  # one row
+        .select(
+            *by, now.alias("finished_at"),
+            F.when(F.col("_said") == "", "ok").otherwise("error").alias("status"),
+            F.coalesce("shown", F.lit(0)).alias("delta_count"),
+            F.nullif("_said", F.lit("")).alias("error"),
+        )
     )
 
 
@@ -132,6 +201,55 @@ def one_entry(observations: DataFrame, entry: Column) -> DataFrame:
     return observations.filter(entry & (F.col("match_reason") == "watchlist"))
 
 
+def entry_runs(
+    requests: DataFrame, entries: DataFrame, observations: DataFrame, links: DataFrame,
+    sources: DataFrame, failed: DataFrame, profile: Profile, now: Column,
+) -> tuple[DataFrame, DataFrame]:
+    """Runs for one entry each: what they collected, and their journal.
+
+    ``requests(request_id, profile_slug, book_id)``; ``entries(profile_slug, book_id,
+    active, restriction)``; ``sources(source)`` are switched on and well,
+    ``failed(source, message)`` switched on but failing. A request without an entry or
+    for a paused one, and one that no source is left for, ends at once with its
+    trouble. A failing source costs its own answer only.
+    """
+    asked = requests.join(
+        entries.select("profile_slug", "book_id", "active", "restriction"),
+        ["profile_slug", "book_id"], "left",
+    )
+    kind = source_kind(profile, F.col("source"))
+    open_ = asked.filter("active")
+    wanted = open_.join(
+        links.filter("source_item_id is not null").select("book_id", "source", "source_item_id"), "book_id"
+    ).filter(F.coalesce(F.col("restriction") == kind, F.lit(True)))
+    collected = wanted.join(sources.select("source"), "source", "left_semi").join(observations, ITEM)
+    counts = collected.groupBy("request_id").agg(F.count("*").alias("_found"))
+    # Configuration of a few names: one row of sorted trouble, one of the number asked.
+    said = failed.agg(
+        F.array_join(F.sort_array(F.collect_list("source")), "; ").alias("_said"),
+        F.count("*").alias("_bad"),
+    )
+    well = sources.agg(F.count("*").alias("_well"))
+    trouble = (
+        F.when(F.col("active").isNull(), "no entry")
+        .when(~F.col("active"), "paused")
+        .when(F.col("_well") + F.col("_bad") == 0, "no source")
+        .otherwise(F.nullif("_said", F.lit("")))
+    )
+    ran = F.coalesce("active", F.lit(False)) & (F.col("_well") + F.col("_bad") > 0)
+    journal = (
+        asked.join(counts, "request_id", "left")
+        .join(F.broadcast(said)).join(F.broadcast(well))  # one row each
+        .select(
+            "request_id", "profile_slug", "book_id",
+            F.lit("entry").alias("run_trigger"), now.alias("started_at"),
+            F.when(~ran, "refused").when(F.col("_bad") > 0, "failed").otherwise("ok").alias("status"),
+            F.coalesce("_found", F.lit(0)).alias("delta_count"), trouble.alias("trouble"),
+        )
+    )
+    return collected, journal
+
+
 # ------------------------------------------------------------------------ seed
 
 

@@ -94,6 +94,34 @@ def by_author(hub: DataFrame, search: DataFrame, wanted: str = "author") -> Data
     )
 
 
+def origins(finds: DataFrame, hits: DataFrame, interests: DataFrame) -> DataFrame:
+    """Which interest each item comes from: ``interest_id``, and ``found_by`` how many hit it.
+
+    ``hits(profile_slug, source, source_item_id, interest_key, value, id)`` is what the
+    searches of a sweep brought; hits of interests no longer active were not asked for.
+    The claim goes to the watchlist first (no interest), then to an author, then to a
+    theme, and inside a channel to the earlier hit.
+    """
+    active = interests.filter("active").select("profile_slug", "interest_key", "value", "interest_id")
+    reason = F.when(F.col("interest_key") == "author", "profile_author").otherwise("genre_category")
+    searched = hits.join(active, ["profile_slug", "interest_key", "value"]).select(
+        *ITEM, reason.alias("match_reason"), "id", "interest_id"
+    )
+    watched = finds.filter("match_reason = 'watchlist'").select(
+        *ITEM, "match_reason", "id", F.lit(None).cast("long").alias("interest_id")
+    )
+    claim = F.struct(channel_rank(F.col("match_reason")).alias("channel"), "id", "match_reason")
+    # First one row per item and interest, so a hot item sends few rows on.
+    per_interest = searched.unionByName(watched).groupBy(*ITEM, "interest_id").agg(
+        F.min(claim).alias("_claim")
+    )
+    return per_interest.groupBy(*ITEM).agg(
+        F.min_by("interest_id", "_claim").alias("interest_id"),
+        F.min("_claim")["match_reason"].alias("claimed_as"),
+        F.count("interest_id").alias("found_by"),
+    )
+
+
 def swept(interests: DataFrame, sources: DataFrame) -> DataFrame:
     """Every (source, interest) pair of a sweep, recorded even if it finds nothing.
 

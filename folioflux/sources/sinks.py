@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflux.config import Profile
@@ -32,6 +33,63 @@ def append_run(rows: DataFrame, path: str) -> None:
     )
 
 
+MANIFEST = "run_id long, attempt int, frames array<string>"
+
+
+def _manifest(spark: SparkSession, base: str) -> DataFrame:
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+class RunWriter:
+    """All frames of one run under its id; they count once the manifest names them.
+
+    Every frame goes to ``<base>/<frame>/run_id=<id>/attempt=<n>``. ``commit`` appends
+    one row to the manifest, last of all. A run that breaks before leaves folders nobody
+    reads; its repetition has the same attempt number and overwrites them. A committed
+    run that is repeated gets the next number, so its old frames stay whole until the
+    new ones are. One writer a run at a time.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, run_id: int):
+        self.spark, self.base, self.run_id = spark, base, run_id
+        done = _manifest(spark, base).filter(F.col("run_id") == run_id).agg(F.max("attempt"))
+        self.attempt = (done.first()[0] or 0) + 1
+        self.frames: list[str] = []
+
+    def keep(self, name: str, frame: DataFrame) -> DataFrame:
+        """Write one frame and give back what was written, with its ``run_id``."""
+        path = f"{self.base}/{name}/run_id={self.run_id}/attempt={self.attempt}"
+        frame.drop("run_id").write.mode("overwrite").parquet(path)
+        self.frames.append(name)
+        kept = self.spark.read.schema(frame.drop("run_id").schema).parquet(path)
+        if "run_id" not in frame.columns:
+            return kept
+        kind = frame.schema["run_id"].dataType
+        return kept.withColumn("run_id", F.lit(self.run_id).cast(kind)).select(*frame.columns)
+
+    def commit(self) -> None:
+        row = self.spark.createDataFrame([(self.run_id, self.attempt, self.frames)], MANIFEST)
+        row.coalesce(1).write.mode("append").parquet(f"{self.base}/manifest")
+
+
+def committed(spark: SparkSession, base: str, name: str, run_id: int | None = None) -> DataFrame:
+    """A frame of all committed runs, or of one; other runs' folders are pruned."""
+    done = _manifest(spark, base)
+    whole = spark.read.parquet(f"{base}/{name}")
+    if run_id is not None:
+        done = done.filter(F.col("run_id") == run_id)
+        whole = whole.filter(F.col("run_id") == run_id)
+    last = done.filter(F.array_contains("frames", name)).groupBy("run_id").agg(
+        F.max("attempt").alias("attempt")
+    )
+    return whole.join(last, ["run_id", "attempt"], "left_semi").drop("attempt")
+
+
 def remembered_blurbs(books: DataFrame, observations: DataFrame) -> DataFrame:
     """Books with the longest blurb seen; it has to be strictly longer than the old one."""
     longest = (

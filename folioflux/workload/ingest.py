@@ -425,6 +425,22 @@ def _(t):
     return collect.swept(wanted, t.obs.select("profile_slug", "source").distinct())
 
 
+def search_hits(t) -> DataFrame:
+    """What each search brought, under the interest that it was made for."""
+    asked = t.interest_log.select(c("seq").alias("search"), "interest_key", "value")
+    return t.search_hit.join(asked, "search").select(
+        *ITEM, "interest_key", "value", c("seq").alias("id")
+    )
+
+
+@query(
+    "join_20_origin_of_finds",
+    "SELECT profile_slug, source, source_item_id, interest_id, claimed_as, found_by FROM origin",
+)
+def _(t):
+    return collect.origins(t.obs, search_hits(t), state.interests(t.interest_log))
+
+
 @query(
     "src_13_library_checks",
     f"""SELECT e.profile_slug, e.book_id, l.source, o.id FROM entry e JOIN link l USING (book_id)
@@ -543,23 +559,30 @@ SELECT section_rank, id, title, detail, flag FROM (
   UNION ALL SELECT 6, seq, source, error, NULL FROM probe_log WHERE NOT ok)"""
 
 
-def digest_of(t) -> DataFrame:
-    from folioflux.workload.changes import compared, with_advantage
-
-    compared_rows = compared(t)
-    plain = changes.notifiable(changes.changes(compared_rows, PROFILE))
-    found = with_advantage(t, t.obs).filter("advantage is not null").select("id", "advantage")
-    deltas = plain.join(found, "id", "left")
-    attention = state.links(t.link_log).filter("outcome = 'unsure'").join(
+def attention_of(t) -> DataFrame:
+    """Open questions of the links, and what was the best guess."""
+    return state.links(t.link_log).filter("outcome = 'unsure'").join(
         t.book.select("book_id", c("title").alias("entry_title"), c("author").alias("entry_author")), "book_id"
     ).select(
         c("seq").alias("id"), "source", "entry_title", "entry_author", F.lit("unklar").alias("reason"),
         c("matched_title").alias("best_guess"), c("url").alias("best_guess_url"),
     )
-    failures = t.probe_log.filter("not ok").select(
+
+
+def failures_of(t) -> DataFrame:
+    return t.probe_log.filter("not ok").select(
         c("seq").alias("id"), "source", c("error").alias("message")
     )
-    return sinks.digest(deltas, attention, failures, PROFILE)
+
+
+def digest_of(t) -> DataFrame:
+    from folioflux.workload.changes import compared, with_advantage
+
+    compared_rows = compared(t)
+    plain = changes.notifiable(changes.changes(compared_rows, PROFILE))
+    found = with_advantage(t, t.obs).filter("advantage is not null").select("id", "advantage")
+    deltas = plain.join(found, "id", "left")
+    return sinks.digest(deltas, attention_of(t), failures_of(t), PROFILE)
 
 
 @query("snk_05_digest", _DIGEST)

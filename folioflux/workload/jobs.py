@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.functions import catalogue as C
-from folioflux.operators import changes, lookups, state
+from folioflux.operators import changes, lookups, ordered, state
 from folioflux.operators.changes import ITEM
 from folioflux.plans import decide, gate, jobs, watchlist
 from folioflux.plans import pile as piles
-from folioflux.sources import records
+from folioflux.session import materialize, shared_folder
+from folioflux.sources import collect, records, sinks
 from folioflux.workload import sqltext as S
 from folioflux.workload.changes import compared
-from folioflux.workload.filters import now
+from folioflux.workload.filters import SQL_NOW, _entries, now
+from folioflux.workload.ingest import _DIGEST, attention_of, failures_of, search_hits
 from folioflux.workload.lookups import _JUDGED
 from folioflux.workload.registry import query
 from folioflux.workload.tables import PROFILE
@@ -256,58 +258,126 @@ def _(t):
 
 # ------------------------------------------------------------------------- run
 
-_LAST_RUN = "(SELECT max(run_id) FROM obs)"
-_RUN_DELTA = f"""SELECT * FROM (
-  SELECT c.*, p.id AS before_id, p.price_cents AS before_price, p.availability AS before_av FROM obs c
-  LEFT JOIN (SELECT * FROM obs WHERE run_id < {_LAST_RUN}
-    QUALIFY row_number() OVER (PARTITION BY {S.ITEM} ORDER BY id DESC) = 1) p
-  ON p.profile_slug = c.profile_slug AND p.source = c.source AND p.source_item_id = c.source_item_id
-  WHERE c.run_id = {_LAST_RUN})"""
+_RUN_GATE = _GATE.replace("FROM delta d", "FROM run_delta d")
+_RUN_DIGEST = _DIGEST.replace(
+    "FROM delta d LEFT JOIN advantages a USING (id)",
+    f"FROM (SELECT * FROM ({_RUN_GATE}) WHERE decision <> 'held_back') d LEFT JOIN run_advantages a USING (id)",
+)
+
+
+def _kept(name: str, frame: DataFrame) -> DataFrame:
+    """Frames that several others come from are written once."""
+    return materialize(frame, name) if name in ("deltas", "decided") else frame
 
 
-def _last_run(t, with_bundles: bool) -> jobs.Run:
+def _last_run(t, keep=_kept) -> jobs.Run:
+    """The newest run of the log against all before it, with everything it reads."""
     last = t.obs.agg(F.max("run_id").alias("_last"))
     marked = t.obs.join(F.broadcast(last))  # one row: the number of the newest run
-    current = marked.filter("run_id = _last").drop("_last")
+    sources, failed = jobs.collecting_sources(t.obs, t.switch_log, t.probe_log)
+    current = marked.filter("run_id = _last").drop("_last").join(sources, "source", "left_semi")
     earlier = marked.filter("run_id < _last").drop("_last")
-    none = t.spark.createDataFrame([], "profile_slug string, source string, source_item_id string, interest_id long")
-    seeded = t.spark.createDataFrame([], "interest_id long, source string")
-    attention = t.spark.createDataFrame(
-        [], "id long, source string, entry_title string, entry_author string, reason string, "
-        "best_guess string, best_guess_url string"
-    )
-    failures = t.probe_log.filter("not ok and source = 'error'").select(
-        c("seq").alias("id"), "source", c("error").alias("message")
-    )
-    swept = t.obs.select(c("book_id").alias("interest_id"), "source").filter("interest_id is not null").distinct()
-    return jobs.run(
-        current, earlier, t.book, state.ratings(t.rating_log), t.contains, none, seeded, swept,
-        attention, failures, PROFILE, now(), None, with_bundles,
+    wanted = state.interests(t.interest_log)
+    places = t.obs.select("profile_slug", "source").distinct().join(sources, "source", "left_semi")
+    return jobs.Run(
+        observations=current, log=earlier, books=t.book, ratings=state.ratings(t.rating_log),
+        edges=t.contains,
+        origin=collect.origins(current, search_hits(t), wanted).select(*ITEM, "interest_id"),
+        seeded_before=state.seeded(t.seed_log),
+        swept=collect.swept(wanted.filter("active"), places),
+        attention=attention_of(t), failures=failures_of(t), failed=failed,
+        profile=PROFILE, run_time=now(), rate=_rate, keep=keep,
     )
 
 
+def _commit_last_run(t, base: str) -> None:
+    writer = sinks.RunWriter(t.spark, base, t.obs.agg(F.max("run_id")).first()[0])
+    _last_run(t, writer.keep).write()
+    writer.commit()
+
+
+@query("q_10_run_deltas", f"SELECT id, kind, decision FROM ({_RUN_GATE})")
+def _(t):
+    return _last_run(t).decided.select("id", "kind", "decision")
+
+
+@query("q_10_run_digest", _RUN_DIGEST)
+def _(t):
+    return _last_run(t).digest.select("section_rank", "id", "title", "detail", "flag")
+
+
 @query(
-    "q_10_run_deltas",
-    f"""SELECT id, kind FROM (
-  SELECT id, 'first_seen' AS kind FROM ({_RUN_DELTA}) o WHERE before_id IS NULL AND {S.announce()}
-  UNION ALL SELECT id, 'became_available' FROM ({_RUN_DELTA}) WHERE availability <> before_av AND availability = 'available'
-  UNION ALL SELECT id, 'price_drop' FROM ({_RUN_DELTA}) o WHERE price_cents < before_price AND {S.announce()})""",
+    "q_10_run_seeding",
+    """SELECT DISTINCT i.interest_id, s.source FROM interest i JOIN (SELECT DISTINCT profile_slug, source FROM obs) s USING (profile_slug)
+WHERE i.active AND s.source NOT IN (SELECT source FROM failed_source)
+  AND s.source NOT IN (SELECT source FROM switch_log GROUP BY 1 HAVING NOT arg_max(enabled, seq))""",
 )
 def _(t):
-    return _last_run(t, False).decided.select("id", "kind")
+    return _last_run(t).seeded.select("interest_id", "source")
 
 
-@query("q_10_run_digest")
+@query(
+    "q_10_run_learned",
+    """SELECT book_id, isbn FROM (
+  SELECT * FROM (SELECT o.id, o.book_id, o.isbn FROM run_obs o JOIN book b ON b.book_id = o.book_id
+    WHERE b.isbn IS NULL AND o.isbn IS NOT NULL AND NOT EXISTS (SELECT 1 FROM book x WHERE x.isbn = o.isbn)
+    QUALIFY row_number() OVER (PARTITION BY o.book_id ORDER BY id) = 1)
+  QUALIFY row_number() OVER (PARTITION BY isbn ORDER BY id) = 1)""",
+)
 def _(t):
-    return _last_run(t, True).digest
+    return _last_run(t).learned
 
 
 @query(
-    "q_10_run_seeding",
-    "SELECT DISTINCT book_id AS interest_id, source FROM obs WHERE book_id IS NOT NULL AND source <> 'error'",
+    "q_10_run_foreign",
+    f"""SELECT subject, CAST(rating AS DOUBLE) AS stars, 'Durchschnitt der Leser:innen aus ' || rating_votes || ' Stimmen' AS reason
+FROM (SELECT *, {S.SUBJECT} AS subject FROM run_obs WHERE rating IS NOT NULL AND rating_votes > 0
+  QUALIFY row_number() OVER (PARTITION BY {S.SUBJECT} ORDER BY id DESC) = 1)""",
 )
 def _(t):
-    return _last_run(t, False).seeded.select("interest_id", "source")
+    return _last_run(t).foreign.select("subject", "stars", "reason")
+
+
+@query(
+    "q_10_run_report",
+    f"""SELECT profile_slug, run_id, count(*) AS deltas, count(*) FILTER (decision <> 'held_back') AS shown,
+  count(*) FILTER (decision = 'held_back') AS held_back, count(*) FILTER (fresh) AS rated,
+  count(*) FILTER (rated IS NOT NULL AND match_reason <> 'watchlist') AS reused,
+  count(*) FILTER (decision = 'unrated') AS unrated, count(*) FILTER (decision = 'over_budget') AS over_budget,
+  count(*) FILTER (decision = 'shown_unsure') AS shown_unsure FROM ({_RUN_GATE}) GROUP BY 1, 2""",
+)
+def _(t):
+    return _last_run(t).report
+
+
+@query(
+    "q_10_run_journal",
+    f"""SELECT r.profile_slug, r.run_id, {SQL_NOW} AS finished_at, CASE WHEN e.error IS NULL THEN 'ok' ELSE 'error' END AS status,
+  coalesce(n.n, 0) AS delta_count, e.error FROM (SELECT DISTINCT profile_slug, run_id FROM run_obs) r
+LEFT JOIN (SELECT profile_slug, count(*) AS n FROM ({_RUN_GATE}) WHERE decision <> 'held_back' GROUP BY 1) n USING (profile_slug)
+CROSS JOIN (SELECT string_agg(concat_ws(': ', source, message), '; ' ORDER BY source) AS error FROM failed_source) e""",
+)
+def _(t):
+    return _last_run(t).journal
+
+
+_RUN_ROWS = """SELECT id, run_id, CASE WHEN book_id IS NULL THEN blurb END AS blurb, observed_at FROM run_obs"""
+
+
+@query("q_10_committed_rows", _RUN_ROWS)
+def _(t):
+    """The run committed twice: what is read back is the second whole run."""
+    base = shared_folder(t.spark, "runs")
+    _commit_last_run(t, base)
+    _commit_last_run(t, base)
+    return sinks.committed(t.spark, base, "rows").select("id", "run_id", "blurb", "observed_at")
+
+
+@query("q_10_committed_digest", _RUN_DIGEST)
+def _(t):
+    base = shared_folder(t.spark, "runs")
+    _commit_last_run(t, base)
+    return sinks.committed(t.spark, base, "digest").select("section_rank", "id", "title", "detail", "flag")
 
 
 @query(
@@ -318,22 +388,113 @@ def _(t):
     return jobs.one_entry(t.obs, c("title") == "Kaltes Eis").select("id")
 
 
+_REQUEST = """SELECT o_orderkey AS request_id, 'p' || o_custkey % 3 AS profile_slug, o_custkey AS book_id FROM orders"""
+_GOOD = """(SELECT source FROM (SELECT DISTINCT source FROM obs) WHERE source NOT IN (SELECT source FROM failed_source)
+  AND source NOT IN (SELECT source FROM switch_log GROUP BY 1 HAVING NOT arg_max(enabled, seq)))"""
+_COLLECTED = f"""SELECT q.request_id, o.id FROM ({_REQUEST}) q JOIN entry e ON e.profile_slug = q.profile_slug AND e.book_id = q.book_id
+JOIN link l ON l.book_id = q.book_id JOIN obs_latest o ON o.profile_slug = q.profile_slug AND o.source = l.source
+  AND o.source_item_id = l.source_item_id
+WHERE e.active AND l.source IN {_GOOD}
+  AND coalesce(e.restriction = CASE WHEN l.source IN ('view', 'signup') THEN 'library' ELSE 'shop' END, TRUE)"""
+
+
+def _entry_runs(t) -> tuple[DataFrame, DataFrame]:
+    requests = t.orders.select(
+        c("o_orderkey").alias("request_id"), F.concat(F.lit("p"), c("o_custkey") % 3).alias("profile_slug"),
+        c("o_custkey").alias("book_id"),
+    )
+    sources, failed = jobs.collecting_sources(t.obs, t.switch_log, t.probe_log)
+    latest = ordered.latest(t.obs.select(*ITEM, "id", "price_cents", "availability"), ITEM)
+    return jobs.entry_runs(
+        requests, _entries(t), latest, state.links(t.link_log), sources, failed, PROFILE, now()
+    )
+
+
+@query("q_11_entry_rows", _COLLECTED)
+def _(t):
+    return _entry_runs(t)[0].select("request_id", "id")
+
+
+@query(
+    "q_11_entry_journal",
+    f"""SELECT q.request_id, CASE WHEN NOT coalesce(e.active, FALSE) OR f.well + f.bad = 0 THEN 'refused'
+    WHEN f.bad > 0 THEN 'failed' ELSE 'ok' END AS status, coalesce(n.n, 0) AS delta_count,
+  CASE WHEN e.active IS NULL THEN 'no entry' WHEN NOT e.active THEN 'paused' WHEN f.well + f.bad = 0 THEN 'no source'
+    ELSE f.said END AS trouble FROM ({_REQUEST}) q
+LEFT JOIN entry e ON e.profile_slug = q.profile_slug AND e.book_id = q.book_id
+LEFT JOIN (SELECT request_id, count(*) AS n FROM ({_COLLECTED}) GROUP BY 1) n USING (request_id)
+CROSS JOIN (SELECT string_agg(source, '; ' ORDER BY source) AS said, count(*) AS bad,
+  (SELECT count(*) FROM {_GOOD}) AS well FROM failed_source) f""",
+)
+def _(t):
+    return _entry_runs(t)[1].select("request_id", "status", "delta_count", "trouble")
+
+
+_WANTED = """SELECT profile_slug, isbn, max(id) AS last_seen,
+  row_number() OVER (PARTITION BY profile_slug ORDER BY max(id) DESC) AS rank FROM obs
+WHERE isbn <> '' AND isbn NOT IN (SELECT isbn FROM record_log) GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY profile_slug ORDER BY max(id) DESC) <= 50"""
+_ASKED = f"""SELECT w.*, a.title, a.series, CASE WHEN a.throttled THEN 'throttled' WHEN a.found IS NULL THEN 'failed'
+    WHEN a.found THEN 'found' ELSE 'nothing' END AS outcome
+FROM ({_WANTED}) w LEFT JOIN record_answer a ON a.isbn = w.isbn
+WHERE NOT EXISTS (SELECT 1 FROM ({_WANTED}) x JOIN record_answer y ON y.isbn = x.isbn
+  WHERE y.throttled AND x.profile_slug = w.profile_slug AND x.rank < w.rank)"""
+_ALL_RECORDS = f"""SELECT isbn, seq, found, title, series FROM record_log
+UNION ALL SELECT isbn, (SELECT max(seq) FROM record_log) + max(last_seen) + 1, any_value(outcome) = 'found',
+  any_value(title), any_value(series) FROM ({_ASKED}) WHERE outcome IN ('found', 'nothing') GROUP BY isbn"""
+
+
+def _enrichment(t) -> records.Enrichment:
+    return records.enrich(
+        t.obs, t.record_log, t.record_answer, t.contains, PROFILE.record_budget, now()
+    )
+
+
 @query(
     "q_12_record_enrichment",
-    """SELECT a.isbn, count(e.contained) AS volumes FROM (
-  SELECT profile_slug, isbn, max(id) AS last_seen FROM obs WHERE isbn IS NOT NULL GROUP BY 1, 2
-  QUALIFY row_number() OVER (PARTITION BY profile_slug ORDER BY max(id) DESC) <= 50) a
+    f"""SELECT a.isbn, count(e.contained) AS volumes FROM (SELECT DISTINCT isbn FROM ({_ASKED}) WHERE outcome = 'found') a
 LEFT JOIN contains e ON e.isbn = a.isbn GROUP BY 1""",
 )
 def _(t):
-    asked = t.spark.createDataFrame([], "isbn string")
-    wanted = records.isbns_to_ask(t.obs, asked, PROFILE.record_budget)
-    edges = records.record_edges(t.contains)
-    return wanted.select("isbn").join(edges, "isbn", "left").groupBy("isbn").agg(
+    found = _enrichment(t)
+    answered = found.records.filter("found").select("isbn")
+    return answered.join(found.edges, "isbn", "left").groupBy("isbn").agg(
         F.count("contained").alias("volumes")
     )
 
 
+@query("q_12_asked_isbns", f"SELECT profile_slug, isbn, rank, outcome FROM ({_ASKED})")
+def _(t):
+    return _enrichment(t).asked
+
+
+@query(
+    "q_12_enrichment_report",
+    f"""SELECT profile_slug, count(*) AS asked, count(*) FILTER (outcome = 'found') AS answered,
+  bool_or(outcome = 'throttled') AS halted FROM ({_ASKED}) GROUP BY 1""",
+)
+def _(t):
+    return _enrichment(t).report
+
+
+@query(
+    "q_12_enriched_cache",
+    f"""SELECT isbn, arg_max(found, seq) AS found, arg_max(title, seq) FILTER (found) AS title,
+  (SELECT list(r.series ORDER BY r.seq DESC)[1] FROM ({_ALL_RECORDS}) r WHERE r.isbn = x.isbn AND r.found) AS series
+FROM ({_ALL_RECORDS}) x GROUP BY 1""",
+)
+def _(t):
+    return _enrichment(t).cache.select("isbn", "found", "title", "series")
+
+
+@query(
+    "q_12_enriched_edges",
+    f"""SELECT isbn, contained FROM contains WHERE isbn IN (SELECT isbn FROM ({_ASKED}) WHERE outcome = 'found')""",
+)
+def _(t):
+    return _enrichment(t).edges
+
+
 @query(
     "q_13_repaired_blurbs",
     f"""SELECT id, nullif(trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(cut,

@@ -1,5 +1,7 @@
 """SQL-side forms of the text rules, written for DuckDB's engine (RE2 patterns)."""
 
+import re
+
 FOLDS = [("ß", "ss"), ("ẞ", "ss"), ("ø", "o"), ("Ø", "o"), ("æ", "ae"), ("œ", "oe")]
 
 
@@ -206,3 +208,59 @@ WHERE r.kind = 'watching' AND NOT EXISTS (SELECT 1 FROM relation x WHERE x.activ
   UNION ALL SELECT *, 'became_available' FROM obs_prev WHERE availability <> prev_av AND availability = 'available'
   UNION ALL SELECT *, 'price_drop' FROM obs_prev o WHERE price_cents < prev_price AND {announce()})""",
 }
+
+
+def _of_run(name: str, **sources: str) -> str:
+    """A view over other rows: each name in it is replaced."""
+    text = SQL_VIEWS[name]
+    for old, new in sources.items():
+        text = re.sub(rf"\b(FROM|JOIN) {old}\b", rf"\1 {new}", text)
+    return text
+
+
+LAST_RUN = "(SELECT max(run_id) FROM obs)"
+_CLAIMS = """SELECT h.profile_slug, h.source, h.source_item_id, h.seq AS id, i.interest_id,
+    CASE i.interest_key WHEN 'author' THEN 'profile_author' ELSE 'genre_category' END AS claimed_as,
+    CASE i.interest_key WHEN 'author' THEN 2 ELSE 3 END AS channel
+  FROM search_hit h JOIN interest_log l ON l.seq = h.search
+  JOIN interest i ON i.profile_slug = h.profile_slug AND i.interest_key = l.interest_key AND i.value = l.value
+  WHERE i.active
+  UNION ALL SELECT profile_slug, source, source_item_id, id, NULL, 'watchlist', 1 FROM obs WHERE match_reason = 'watchlist'"""
+SQL_VIEWS["interest"] = """SELECT profile_slug, interest_key, value, min(seq) AS interest_id,
+  arg_max(active, seq) AS active FROM interest_log GROUP BY 1, 2, 3"""
+SQL_VIEWS["origin"] = f"""SELECT {ITEM}, interest_id, claimed_as, found_by FROM (
+  SELECT *, (SELECT count(DISTINCT interest_id) FROM claim d WHERE d.profile_slug = c.profile_slug
+      AND d.source = c.source AND d.source_item_id = c.source_item_id) AS found_by FROM claim c)
+QUALIFY row_number() OVER (PARTITION BY {ITEM} ORDER BY channel, id) = 1"""
+SQL_VIEWS["claim"] = _CLAIMS
+# The newest run against what was stored before it.
+SQL_VIEWS["failed_source"] = """SELECT source, arg_max(error, seq) AS message FROM probe_log
+LEFT JOIN (SELECT source, arg_max(enabled, seq) AS enabled FROM switch_log GROUP BY 1) w USING (source)
+WHERE coalesce(enabled, TRUE) GROUP BY 1 HAVING NOT arg_max(ok, seq)"""
+SQL_VIEWS["run_obs"] = f"""SELECT * FROM obs WHERE run_id = {LAST_RUN}
+  AND source NOT IN (SELECT source FROM failed_source)
+  AND source NOT IN (SELECT source FROM switch_log GROUP BY 1 HAVING NOT arg_max(enabled, seq))"""
+SQL_VIEWS["stored_obs"] = f"SELECT * FROM obs WHERE run_id < {LAST_RUN}"
+SQL_VIEWS["run_claim"] = _CLAIMS.replace("FROM obs", "FROM run_obs")
+SQL_VIEWS["run_origin"] = _of_run("origin", claim="run_claim")
+SQL_VIEWS["stored_title_price"] = _of_run("title_price", obs="stored_obs")
+SQL_VIEWS["stored_isbn_price"] = _of_run("isbn_price", obs="stored_obs")
+SQL_VIEWS["run_bundle"] = _of_run("bundle_find", obs="run_obs")
+SQL_VIEWS["run_members"] = _of_run("bundle_members", bundle_find="run_bundle")
+SQL_VIEWS["run_sizes"] = _of_run("bundle_sizes", bundle_members="run_members")
+SQL_VIEWS["run_advantages"] = _of_run(
+    "advantages", bundle_members="run_members", bundle_sizes="run_sizes",
+    isbn_price="stored_isbn_price", title_price="stored_title_price",
+)
+SQL_VIEWS["run_prev"] = f"""SELECT o.*, b.id AS prev_id, b.price_cents AS prev_price,
+  b.availability AS prev_av, b.reservation_count AS prev_res FROM run_obs o
+LEFT JOIN (SELECT * FROM stored_obs QUALIFY row_number() OVER (PARTITION BY {ITEM} ORDER BY id DESC) = 1) b
+  ON b.profile_slug = o.profile_slug AND b.source = o.source AND b.source_item_id = o.source_item_id"""
+_TOLD = announce("EXISTS (SELECT 1 FROM run_advantages a WHERE a.id = o.id)")
+SQL_VIEWS["run_delta"] = f"""SELECT d.* FROM (
+  SELECT *, 'first_seen' AS kind FROM run_prev o WHERE prev_id IS NULL AND {_TOLD}
+  UNION ALL SELECT *, 'became_available' FROM run_prev WHERE availability <> prev_av AND availability = 'available'
+  UNION ALL SELECT *, 'price_drop' FROM run_prev o WHERE price_cents < prev_price AND {_TOLD}) d
+LEFT JOIN run_origin g ON g.profile_slug = d.profile_slug AND g.source = d.source AND g.source_item_id = d.source_item_id
+WHERE d.kind <> 'first_seen' OR d.match_reason = 'watchlist' OR g.interest_id IS NULL OR EXISTS (
+  SELECT 1 FROM seed_log s WHERE s.interest_id = g.interest_id AND s.source = d.source)"""

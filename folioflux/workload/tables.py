@@ -183,6 +183,25 @@ FROM part""",
 SELECT id AS seq, source, availability IS DISTINCT FROM 'unknown' AS ok,
   CASE WHEN availability = 'unknown' THEN concat('Fehler ', reservation_count) END AS error, observed_at AS probed_at
 FROM obs""",
+        # Answers of a library to an ISBN: some are throttled, some never come.
+        "record_answer": f"""
+SELECT concat('978', lpad(cast(c_custkey as {text}), 10, '0')) AS isbn, c_custkey % 29 = 3 AS throttled,
+  CASE WHEN c_custkey % 29 <> 3 THEN c_custkey % 3 <> 0 END AS found,
+  CASE WHEN c_custkey % 29 <> 3 AND c_custkey % 3 <> 0 THEN concat('Titel ', c_name) END AS title,
+  CASE WHEN c_custkey % 29 <> 3 AND c_custkey % 3 <> 0 THEN c_mktsegment END AS series
+FROM customer WHERE c_custkey % 11 <> 5""",
+        "record_log": f"""
+SELECT o_orderkey AS seq, concat('978', lpad(cast(o_custkey as {text}), 10, '0')) AS isbn,
+  o_orderkey % 3 <> 0 AS found, CASE WHEN o_orderkey % 3 <> 0 THEN concat('Alt ', o_orderkey) END AS title,
+  CASE WHEN o_orderkey % 6 = 1 THEN 'Die Reihe' END AS series, o_orderdate AS checked_at
+FROM orders WHERE o_custkey % 8 = 1""",
+        # Which searches a sweep made, and what each brought.
+        "search_hit": f"""
+SELECT o_orderkey AS seq, o_custkey AS search, concat('p', o_custkey % 3) AS profile_slug, {source} AS source,
+  cast((o_orderkey % 130) * 3 + o_custkey % 3 as {text}) AS source_item_id
+FROM orders""",
+        "seed_log": f"""
+SELECT o_custkey AS interest_id, {source} AS source, o_orderdate AS seeded_at FROM orders WHERE o_orderstatus = 'P'""",
         "switch_log": """
 SELECT s_suppkey AS seq, CASE s_nationkey % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'view'
   WHEN 2 THEN 'signup' ELSE 'unbekannt' END AS source, s_acctbal > 0 AS enabled
