@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflux.operators import changes, lookups, ordered, state
 from folioflux.operators.changes import ITEM
-from folioflux.sources import catalogue_json, collect, marc, pages, records, sinks, validation
+from folioflux.sources import answers, catalogue_json, collect, marc, pages, records, sinks, validation
 from folioflux.workload import sqltext as S
 from folioflux.workload.registry import query
 from folioflux.workload.tables import PROFILE
@@ -468,6 +468,39 @@ def _(t):
     return both.groupBy("source").agg(F.count("*").alias("n"), F.count("error").alias("failures"))
 
 
+def _answers(t) -> tuple[DataFrame, DataFrame]:
+    """Two catalogues that answer and one that is gone."""
+    return answers.collect(t.spark, {
+        "kunden": (f"{t.sf_dir}/customer.parquet", {
+            "source_item_id": "c_custkey", "title": "c_name", "blurb": "c_mktsegment"}),
+        "katalog": (f"{t.sf_dir}/part.parquet", {
+            "source_item_id": "p_partkey", "title": "p_name", "author": "p_brand", "blurb": "p_type"}),
+        "weg": (f"{t.sf_dir}/gone.parquet", {"title": "title"}),
+    })
+
+
+@query(
+    "src_14_collected_items",
+    """SELECT 'kunden' AS source, CAST(c_custkey AS varchar) AS source_item_id, c_name AS title, NULL AS author, c_mktsegment AS blurb FROM customer
+UNION ALL SELECT 'katalog', CAST(p_partkey AS varchar), p_name, p_brand, p_type FROM part""",
+)
+def _(t):
+    return _answers(t)[0].select("source", "source_item_id", "title", "author", "blurb")
+
+
+@query(
+    "src_14_collected_report",
+    """SELECT source, count(*) FILTER (NOT bad) AS items, count(*) FILTER (bad) AS failures FROM (
+  SELECT 'kunden' AS source, FALSE AS bad FROM customer UNION ALL SELECT 'katalog', FALSE FROM part
+  UNION ALL SELECT 'weg', TRUE) GROUP BY 1""",
+)
+def _(t):
+    items, failures = _answers(t)
+    return items.select("source", F.lit(None).alias("message")).unionByName(failures).groupBy("source").agg(
+        F.count_if(F.col("message").isNull()).alias("items"), F.count("message").alias("failures")
+    )
+
+
 @query(
     "src_16_item_lookup",
     """SELECT n.source, n.source_item_id, i.title FROM (SELECT DISTINCT source, CAST(book_id % 300 AS varchar) AS source_item_id FROM link_log) n

@@ -15,7 +15,7 @@ QUICK = (
     "agg_01_change_feed", "agg_03", "agg_04", "agg_07", "agg_12", "agg_15", "er_01", "er_02", "er_03", "top_05", "fn_07", "st_06", "flt_04", "flt_06",
     "flt_12", "fn_01_fold", "fn_02", "fn_06", "fn_16", "fn_27", "fn_38", "join_02", "join_07",
     "join_09", "join_20", "q_02", "q_09_seed_rows", "q_10_run_digest", "q_10_committed_rows", "q_11_entry", "q_12", "q_13", "snk_02", "src_04", "src_06_listing_errors",
-    "src_10", "st_01", "st_11", "st_12", "str_01", "top_01", "win_01", "win_02", "win_09", "win_10",
+    "src_10", "src_14", "st_01", "st_11", "st_12", "str_01", "top_01", "win_01", "win_02", "win_09", "win_10",
 )
 
 #: The smallest tables have no row for these.
