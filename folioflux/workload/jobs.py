@@ -617,7 +617,7 @@ def _(t):
     return good.select("id", "kind")
 
 
-def _decided(t) -> decide.Decided:
+def _decided_finds(t) -> decide.Decided:
     """What the decisions of ``st_05_decided_finds`` add to books, relations and links."""
     keys = t.orders.selectExpr(
         "concat('p', o_custkey % 3) as profile_slug",
@@ -633,17 +633,17 @@ def _decided(t) -> decide.Decided:
 
 @query("st_05_decided_books")
 def _(t):
-    return _decided(t).books
+    return _decided_finds(t).books
 
 
 @query("st_05_decided_relations")
 def _(t):
-    return _decided(t).relations
+    return _decided_finds(t).relations
 
 
 @query("st_05_decided_links")
 def _(t):
-    return _decided(t).links
+    return _decided_finds(t).links
 
 
 @query("st_07_added_to_watchlist")
