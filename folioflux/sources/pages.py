@@ -7,12 +7,14 @@ expressions afterwards.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.functions import catalogue
@@ -41,30 +43,87 @@ class Rule:
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 
+_ATTRS = r'((?:[\t\n\r\f ]+[a-zA-Z][a-zA-Z0-9_:-]*="[^"<>&]*")*)'
+#: Markup that means the same to every reader: quoted values, no references, no oddities.
+_PLAIN = re.compile(
+    rf"<(script|style){_ATTRS}>(?:(?!</|<!--).)*</(?:script|style)>"
+    rf"|<([a-zA-Z][a-zA-Z0-9]*){_ATTRS}>|</([a-zA-Z][a-zA-Z0-9]*)>|([^<&]+)",
+    re.DOTALL,
+)
+_ATTR = re.compile(r'([a-zA-Z][a-zA-Z0-9_:-]*)="([^"]*)"')
+#: Elements whose content is no markup to some reader.
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"}
+
 
 class _Walker(HTMLParser):
-    def __init__(self, rules: Sequence[Rule]):
+    def __init__(self, rules: Sequence[Rule], fitting: dict | None = None):
         super().__init__(convert_charrefs=True)
         self.rules = rules
-        self.open: list[tuple[str, list[dict], bool]] = []
-        self.rows: list[dict] = []
+        self.seen = sorted({r.attr for r in rules if r.attr and r.value is not None})
+        self.there = sorted({r.attr for r in rules if r.attr and r.value is None})
+        #: Rules by what they look at, shared by the pages of a task.
+        self.fitting = {} if fitting is None else fitting
+        self.start()
+
+    def start(self) -> None:
+        self.open: list[tuple[str, list[tuple], bool]] = []
+        self.rows: list[tuple] = []
         self.text: list[str] = []
         self.scopes: list[int] = []
         self.count = 0
         self.muted = 0
 
+    def read(self, html: str) -> None:
+        """Walk a whole page: plain markup directly, any other by the parser."""
+        self.start()
+        if not self._plain(html):
+            self.start()
+            self.reset()
+            self.feed(html)
+            self.close()
+
+    def _plain(self, html: str) -> bool:
+        at = 0
+        for token in _PLAIN.finditer(html):
+            if token.start() != at:
+                return False
+            at = token.end()
+            raw, of_raw, tag, of_tag, end, data = token.groups()
+            if data is not None:
+                self.handle_data(data)
+            elif end is not None:
+                self.handle_endtag(end.lower())
+            elif tag is not None:
+                tag = tag.lower()
+                if tag in _RAW:
+                    return False
+                self.handle_starttag(tag, _ATTR.findall(of_tag) if of_tag else ())
+            else:
+                if not token.group().endswith(f"</{raw}>"):
+                    return False
+                self.handle_starttag(raw, _ATTR.findall(of_raw))
+                self.handle_endtag(raw)
+        return at == len(html)
+
+    def _hits(self, tag: str, named: dict[str, str]) -> tuple[list[str], bool]:
+        key = (tag, named.get("class"), *[named.get(a) for a in self.seen], *[a in named for a in self.there])
+        found = self.fitting.get(key)
+        if found is None:
+            hits = [r for r in self.rules if r.fits(tag, named)]
+            found = [r.field for r in hits], any(r.container for r in hits) and tag not in VOID
+            if len(self.fitting) >= 1 << 12:
+                self.fitting.clear()
+            self.fitting[key] = found
+        return found
+
     def handle_starttag(self, tag, attrs):
-        named = {k: v or "" for k, v in attrs}
+        named = {k.lower(): v or "" for k, v in attrs}
         self.count += 1
-        hits = [r for r in self.rules if r.fits(tag, named)]
-        opens = any(r.container for r in hits) and tag not in VOID
+        fields, opens = self._hits(tag, named)
         if opens:
             self.scopes.append(self.count)
-        rows = [
-            {"scope": self.scopes[-1] if self.scopes else 0, "field": r.field, "pos": self.count,
-             "attrs": named, "text": []}
-            for r in hits
-        ]
+        scope = self.scopes[-1] if self.scopes else 0
+        rows = [(scope, field, self.count, named, []) for field in fields]
         self.rows.extend(rows)
         if tag not in VOID:
             self.muted += tag in ("script", "style")
@@ -72,7 +131,7 @@ class _Walker(HTMLParser):
 
     def handle_endtag(self, tag):
         # An end tag closes everything inside it; one without a start is ignored.
-        if tag not in (name for name, _, _ in self.open):
+        if not any(name == tag for name, _, _ in reversed(self.open)):
             return
         while self.open:
             name, _, opens = self.open.pop()
@@ -88,47 +147,107 @@ class _Walker(HTMLParser):
             self.text.append(text)
             for _, rows, _ in self.open:
                 for row in rows:
-                    row["text"].append(text)
+                    row[4].append(text)
 
 
-SCHEMA = "scope int, field string, pos int, attrs map<string,string>, text string"
+ELEMENT = "struct<scope: int, field: string, pos: int, attrs: map<string,string>, text: string>"
+_ELEMENT = pa.struct(
+    [("scope", pa.int32()), ("field", pa.string()), ("pos", pa.int32()),
+     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]
+)
 
 
-def elements(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id") -> DataFrame:
-    """One row per element a rule names, plus one ``page`` row with the page's text."""
+def _column(rows: list[list[tuple]]) -> pa.Array:
+    """The elements of each page as an array of lists."""
+    flat = [r for page in rows for r in page]
+    ends = [0, *itertools.accumulate(map(len, rows))]
+    named = [r[3] for r in flat]
+    attrs = pa.MapArray.from_arrays(
+        pa.array([0, *itertools.accumulate(map(len, named))], pa.int32()),
+        pa.array([k for n in named for k in n], pa.string()),
+        pa.array([v for n in named for v in n.values()], pa.string()),
+    )
+    columns = [
+        pa.array([r[0] for r in flat], pa.int32()), pa.array([r[1] for r in flat], pa.string()),
+        pa.array([r[2] for r in flat], pa.int32()), attrs, pa.array([" ".join(r[4]) for r in flat], pa.string()),
+    ]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_ELEMENT)))
+
+
+#: Pages that are held as Python objects at once.
+_AT_ONCE = 256
+
+
+def walked(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id") -> DataFrame:
+    """``(key, whole, found)``: the text of each page, and its elements that a rule names, in order.
+
+    One row a page, so what a page says is worked out without a shuffle.
+    """
     wanted = list(rules)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walker = _Walker(wanted)
         for batch in batches:
-            keys, rows = [], []
-            for page, html in zip(batch[key], batch["html"]):
-                walker = _Walker(wanted)
-                walker.feed(html or "")
-                walker.close()
-                found = [{**r, "text": " ".join(r["text"])} for r in walker.rows]
-                found.append({"scope": 0, "field": "page", "pos": 0, "attrs": {},
-                              "text": " ".join(walker.text)})
-                keys.extend([page] * len(found))
-                rows.extend(found)
-            yield pd.DataFrame(
-                {key: keys, **{c: [r[c] for r in rows] for c in ("scope", "field", "pos", "attrs", "text")}}
-            )
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(at, _AT_ONCE)
+                rows, texts = [], []
+                for html in part["html"].to_pylist():
+                    walker.read(html or "")
+                    rows.append(walker.rows)
+                    texts.append(" ".join(walker.text))
+                yield pa.RecordBatch.from_arrays(
+                    [part[key], pa.array(texts, pa.string()), _column(rows)], names=[key, "whole", "found"]
+                )
 
     key_type = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "html").mapInPandas(walk, f"{key} {key_type}, {SCHEMA}")
+    return pages.select(key, F.col("html").cast("string").alias("html")).mapInArrow(
+        walk, f"{key} {key_type}, whole string, found array<{ELEMENT}>"
+    )
 
 
-def _first(field: str, value: Column) -> Column:
-    """Aggregate: the value of the first element of a field."""
-    return F.min_by(value, F.when(F.col("field") == field, F.col("pos")))
+def elements(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id") -> DataFrame:
+    """One row per element a rule names, plus one ``page`` row with the page's text."""
+    page = F.struct(
+        F.lit(0).alias("scope"), F.lit("page").alias("field"), F.lit(0).alias("pos"),
+        F.create_map().cast("map<string,string>").alias("attrs"), F.col("whole").alias("text"),
+    )
+    return walked(pages, rules, key).select(key, F.inline(F.concat("found", F.array(page))))
+
 
+def _first(of: Column, field: str) -> Column:
+    """The first element of a field among some."""
+    return F.try_element_at(F.filter(of, lambda x: x["field"] == field), F.lit(1))
 
-def _text(field: str) -> Column:
-    return catalogue.empty_to_null(_first(field, F.col("text")))
 
+def _text(of: Column, field: str) -> Column:
+    return catalogue.empty_to_null(_first(of, field)["text"])
 
-def _attr(field: str, name: str) -> Column:
-    return catalogue.empty_to_null(_first(field, F.trim(F.col("attrs")[name])))
+
+def _attr(of: Column, field: str, name: str) -> Column:
+    return catalogue.empty_to_null(F.trim(F.try_element_at(_first(of, field)["attrs"], F.lit(name))))
+
+
+def _number(of: Column, field: str) -> Column:
+    return F.regexp_extract(_first(of, field)["text"], "[0-9]+", 0).try_cast("int")
+
+
+def _count(of: Column, field: str) -> Column:
+    return F.size(F.filter(of, lambda x: x["field"] == field))
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is worked out once a row: a generator is not merged into what is made from it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _scoped(found: DataFrame) -> DataFrame:
+    """``scopes``: the elements of each container of a page, with its number."""
+    numbers = F.array_distinct(F.transform(F.filter("found", lambda x: x["scope"] > 0), lambda x: x["scope"]))
+    of = F.transform(
+        numbers,
+        lambda n: F.struct(n.alias("scope"), F.filter("found", lambda x: x["scope"] == n).alias("of")),
+    )
+    return _once(found, "scopes", of)
 
 
 # ---------------------------------------------------------------- fixed values
@@ -193,125 +312,125 @@ def listing_tiles(
     A page with a broken tile is an error and yields none of its tiles. Relative links
     are joined with the base address, if there is one.
     """
-    found = elements(pages, rules)
-    tiles = found.filter("scope > 0").groupBy("page_id", "scope").agg(
-        _attr("tile", "data-ordernumber").alias("order_number"),
-        F.coalesce(_attr("title", "title"), _text("title")).alias("title"),
-        _text("subtitle").alias("subtitle"),
-        _text("author").alias("_author"),
-        catalogue.parse_price(_text("price")).alias("price_cents"),
-        catalogue.canonical_url(_attr("title", "href"), base).alias("url"),
-        _attr("note", "data-note-article").alias("_note"),
-        _text("description").alias("blurb"),
-        F.coalesce(_attr("image", "data-srcset"), _attr("image", "srcset"), _attr("image", "src"))
-        .alias("_image"),
-        F.array_sort(
-            F.collect_set(F.when(F.col("field") == "badge", F.col("text")))
-        ).alias("badges"),
-    )
-    number = F.regexp_extract("url", r"/(\d+)/[^/]*$", 1)
-    image = F.split(F.trim(F.split("_image", ",")[0]), " ")[0]
-    typed = tiles.select(
-        "page_id", "scope", "order_number", "title", "subtitle", "price_cents", "url", "blurb",
-        "badges",
-        catalogue.empty_to_null(F.regexp_replace("_author", f"^{AUTHOR_PREFIX}", "")).alias("author"),
-        F.coalesce("_note", catalogue.empty_to_null(number)).alias("product_id"),
-        catalogue.isbn_of_order_number(F.col("order_number")).alias("isbn"),
-        F.when(image.startswith("http"), image).alias("cover_url"),
-    )
-    broken = (
-        F.col("title").isNull() | F.col("url").isNull() | F.col("product_id").isNull()
-    )
-    # A page has few tiles, so the group is small.
-    of_page = Window.partitionBy("page_id")
-    good = (
-        typed.withColumn("_void", F.bool_or(broken).over(of_page))
-        .filter("not _void")
-        .drop("_void")
-        .groupBy("page_id", "order_number")
-        .agg(F.min_by(F.struct(*[c for c in typed.columns if c not in ("page_id", "order_number")]), "scope").alias("_t"))
-        .select("page_id", "order_number", "_t.*")
-    )
-    whole = found.groupBy("page_id").agg(
-        F.count_if(F.col("field") == "tile").alias("_tiles"),
-        F.bool_or((F.col("field") == "page") & F.col("text").contains(NOTHING_FOUND)).alias("_none"),
-    )
-    errors = (
-        whole.filter((F.col("_tiles") == 0) & ~F.col("_none"))
-        .select("page_id", F.lit("no tiles and no empty answer").alias("error"))
-        .unionByName(
-            typed.filter(broken).select("page_id", F.lit("tile without title, link or id").alias("error"))
+    def tile(s: Column) -> Column:
+        of = s["of"]
+        url = catalogue.canonical_url(_attr(of, "title", "href"), base)
+        return F.struct(
+            s["scope"].alias("scope"),
+            _attr(of, "tile", "data-ordernumber").alias("order_number"),
+            F.coalesce(_attr(of, "title", "title"), _text(of, "title")).alias("title"),
+            _text(of, "subtitle").alias("subtitle"),
+            _text(of, "author").alias("_author"),
+            catalogue.parse_price(_text(of, "price")).alias("price_cents"),
+            url.alias("url"),
+            _attr(of, "note", "data-note-article").alias("_note"),
+            _text(of, "description").alias("blurb"),
+            F.coalesce(_attr(of, "image", "data-srcset"), _attr(of, "image", "srcset"), _attr(of, "image", "src"))
+            .alias("_image"),
+            F.array_sort(
+                F.array_distinct(F.transform(F.filter(of, lambda x: x["field"] == "badge"), lambda x: x["text"]))
+            ).alias("badges"),
         )
+
+    def typed(t: Column) -> Column:
+        number = F.regexp_extract(t["url"], r"/(\d+)/[^/]*$", 1)
+        image = F.split(F.trim(F.get(F.split(t["_image"], ","), F.lit(0))), " ")[0]
+        kept = ["scope", "order_number", "title", "subtitle", "price_cents", "url", "blurb", "badges"]
+        return F.struct(
+            *[t[n].alias(n) for n in kept],
+            catalogue.empty_to_null(F.regexp_replace(t["_author"], f"^{AUTHOR_PREFIX}", "")).alias("author"),
+            F.coalesce(t["_note"], catalogue.empty_to_null(number)).alias("product_id"),
+            catalogue.isbn_of_order_number(t["order_number"]).alias("isbn"),
+            F.when(image.startswith("http"), image).alias("cover_url"),
+        )
+
+    def broken(t: Column) -> Column:
+        return t["title"].isNull() | t["url"].isNull() | t["product_id"].isNull()
+
+    read = _once(_scoped(walked(pages, rules)), "_read", F.transform("scopes", tile))
+    tiles = _once(read, "tiles", F.transform("_read", typed))
+
+    # A page has few tiles: the first one of each order number.
+    numbers = F.transform("tiles", lambda t: F.coalesce(t["order_number"], F.lit("")))
+    first = F.filter(
+        "tiles",
+        lambda t, i: F.array_position(numbers, F.coalesce(t["order_number"], F.lit(""))) == i + 1,
+    )
+    names = ["scope", "title", "subtitle", "price_cents", "url", "blurb", "badges", "author", "product_id", "isbn", "cover_url"]
+    good = tiles.filter(~F.exists("tiles", broken)).select("page_id", F.inline(first)).select(
+        "page_id", "order_number", *names
     )
-    return good, errors
+    none = F.when(
+        (_count(F.col("found"), "tile") == 0) & ~F.col("whole").contains(NOTHING_FOUND),
+        F.array(F.lit("no tiles and no empty answer")),
+    ).otherwise(F.array().cast("array<string>"))
+    bad = F.transform(F.filter("tiles", broken), lambda t: F.lit("tile without title, link or id"))
+    return good, tiles.select("page_id", F.explode(F.concat(none, bad)).alias("error"))
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
     """Number of pages a listing announces."""
-    return elements(pages, [r for r in LISTING if r.field == "listing"]).groupBy("page_id").agg(
-        F.expr("try_cast(min_by(attrs['data-pages'], case when field = 'listing' then pos end) as int)")
-        .alias("total_pages")
+    first = _first(F.col("found"), "listing")["attrs"]
+    return walked(pages, [r for r in LISTING if r.field == "listing"]).select(
+        "page_id", F.try_element_at(first, F.lit("data-pages")).try_cast("int").alias("total_pages")
     )
 
 
 def product_details(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Price, identifiers and full description of product pages; pages without a price."""
-    found = elements(pages, PRODUCT).groupBy("page_id").agg(
-        F.bool_or(F.col("field") == "scope").alias("_scope"),
-        _text("title").alias("title"),
-        _attr("price", "content").alias("_price"),
-        catalogue.isbn_of_order_number(_attr("order", "value")).alias("isbn"),
-        _text("author").alias("author"),
-        catalogue.canonical_url(_attr("canonical", "href")).alias("url"),
+    of = F.col("found")
+    price = _attr(of, "price", "content").try_cast("double") * 100
+    found = walked(pages, PRODUCT).select(
+        "page_id",
+        (_count(of, "scope") > 0).alias("_scope"),
+        _text(of, "title").alias("title"),
+        catalogue.isbn_of_order_number(_attr(of, "order", "value")).alias("isbn"),
+        _text(of, "author").alias("author"),
+        catalogue.canonical_url(_attr(of, "canonical", "href")).alias("url"),
         catalogue.without_teaser(
-            F.coalesce(_text("full"), _text("preview"), _text("description"))
+            F.coalesce(_text(of, "full"), _text(of, "preview"), _text(of, "description"))
         ).alias("blurb"),
-    ).withColumn("price_cents", F.expr("cast(bround(try_cast(_price as double) * 100, 0) as int)"))
+        F.bround(price, 0).cast("int").alias("price_cents"),
+    )
     good = F.col("_scope") & F.col("price_cents").isNotNull()
     return (
-        found.filter(good).drop("_scope", "_price"),
+        found.filter(good).drop("_scope"),
         found.filter(~good).select("page_id", F.lit("no readable price").alias("error")),
     )
 
 
 def library_details(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Copies, reservations, labelled values, stars and abstract of library pages."""
-    found = elements(pages, LIBRARY)
+    of = F.col("found")
 
     def labelled(label: str) -> Column:
-        mine = (F.col("field") == "row") & F.col("text").startswith(label)
-        value = F.trim(F.substr(F.col("text"), F.lit(len(label) + 1)))
-        return catalogue.empty_to_null(
-            F.trim(F.regexp_replace(F.min_by(value, F.when(mine, F.col("pos"))), r";+$", ""))
-        )
+        mine = F.filter(of, lambda x: (x["field"] == "row") & x["text"].startswith(label))
+        value = F.trim(F.substr(F.try_element_at(mine, F.lit(1))["text"], F.lit(len(label) + 1)))
+        return catalogue.empty_to_null(F.trim(F.regexp_replace(value, r";+$", "")))
 
     def after(field: str) -> Column:
         """Text of the first ``dd`` behind the first element of the field."""
-        starts = F.min(F.when(F.col("field") == field, F.col("pos")))
-        texts = F.array_sort(
-            F.collect_list(F.when(F.col("field") == "dd", F.struct("pos", "text")))
-        )
-        return F.try_element_at(F.filter(texts, lambda d: d["pos"] > starts), F.lit(1))["text"]
+        # The elements are in the order of the page.
+        later = F.filter(of, lambda d: (d["field"] == "dd") & (d["pos"] > _first(of, field)["pos"]))
+        return F.try_element_at(later, F.lit(1))["text"]
 
-    def number(field: str) -> Column:
-        return F.expr(f"try_cast(regexp_extract(min_by(text, case when field = '{field}' then pos end), '[0-9]+', 0) as int)")
-
-    stars = F.count_if(F.col("field") == "star")
-    rows = found.groupBy("page_id").agg(
-        number("copies").alias("copies"),
-        number("available").alias("available_copies"),
-        F.coalesce(number("reservations"), F.lit(0)).alias("reservations"),
-        _text("title").alias("title"),
+    stars = _count(of, "star")
+    rows = walked(pages, LIBRARY).select(
+        "page_id",
+        _number(of, "copies").alias("copies"),
+        _number(of, "available").alias("available_copies"),
+        F.coalesce(_number(of, "reservations"), F.lit(0)).alias("reservations"),
+        _text(of, "title").alias("title"),
         labelled(LABEL_AUTHOR).alias("author"),
         labelled(LABEL_SERIES).alias("series"),
         catalogue.isbn_in_text(labelled(LABEL_ISBN)).alias("isbn"),
         catalogue.empty_to_null(
             F.regexp_extract(labelled(LABEL_FROM), r"\b(\d{2}\.\d{2}\.\d{4})\b", 1)
         ).alias("available_from"),
-        F.when(stars > 0, F.count_if(F.col("field") == "filled").cast("int")).alias("rating"),
-        after("votes").alias("_votes"),
+        F.when(stars > 0, _count(of, "filled")).alias("rating"),
         catalogue.empty_to_null(after("abstract")).alias("blurb"),
-    ).withColumn("votes", F.expr("try_cast(regexp_replace(_votes, '[^0-9]', '') as int)")).drop("_votes")
+        F.regexp_replace(after("votes"), "[^0-9]", "").try_cast("int").alias("votes"),
+    )
     good = F.col("copies").isNotNull() & F.col("available_copies").isNotNull()
     typed = rows.withColumn(
         "availability", catalogue.library_availability(F.col("available_copies"))
@@ -321,52 +440,53 @@ def library_details(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _result_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, total_hits, cards, errors) of result pages, each read once."""
+    def card(s: Column) -> Column:
+        of = s["of"]
+        return F.struct(
+            s["scope"].alias("scope"),
+            _text(of, "title").alias("title"), _text(of, "subtitle").alias("subtitle"),
+            _text(of, "author").alias("author"), _text(of, "abstract").alias("blurb"),
+            _attr(of, "medium", "test-id").alias("medium"), _attr(of, "link", "href").alias("url"),
+        )
+
+    def complete(x: Column) -> Column:
+        return x["title"].isNotNull() & x["url"].isNotNull()
+
+    whole = F.col("whole")
+    none, expired = whole.contains(NO_HITS), whole.contains(EXPIRED)
+    read = _once(_scoped(walked(pages, CARDS)), "_read", F.transform("scopes", card))
+    # A page of an expired session yields no candidates, whatever it shows.
+    cards = F.when(expired, F.slice("_read", 1, 0)).otherwise(F.col("_read"))
+    trouble = F.when(expired, "session expired").when(
+        (_count(F.col("found"), "card") == 0) & ~none, "no cards and no empty answer"
+    )
+    bad = F.transform(F.filter(cards, lambda x: ~complete(x)), lambda x: F.lit("card without title or link"))
+    return read.select(
+        "page_id",
+        F.when(none, 0).otherwise(F.regexp_extract(whole, rf"([0-9]+)\s+{HITS}", 1).try_cast("int")).alias("total_hits"),
+        F.filter(cards, complete).alias("cards"),
+        F.concat(F.array_compact(F.array(trouble)), bad).alias("errors"),
+    )
+
+
 def result_cards(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates, announced hits per page, and pages that are no answer.
 
     A page of an expired session yields no candidates, whatever it shows.
     """
-    every = elements(pages, CARDS)
-    of_whole = F.col("field") == "page"
-    # What is asked of a page's text is asked before anything is shuffled.
-    found = every.select(
-        "page_id", "scope", "field", "pos", "attrs",
-        F.when(~of_whole, F.col("text")).alias("text"),
-        (of_whole & F.col("text").contains(NO_HITS)).alias("_none"),
-        (of_whole & F.col("text").contains(EXPIRED)).alias("_expired"),
-        F.when(
-            of_whole, F.expr(f"try_cast(regexp_extract(text, '([0-9]+)\\\\s+{HITS}', 1) as int)")
-        ).alias("_hits"),
-    )
-    of_page = Window.partitionBy("page_id")
-    valid = found.withColumn("_void", F.bool_or("_expired").over(of_page)).filter("not _void")
-    cards = valid.filter("scope > 0").groupBy("page_id", "scope").agg(
-        _text("title").alias("title"), _text("subtitle").alias("subtitle"),
-        _text("author").alias("author"), _text("abstract").alias("blurb"),
-        _attr("medium", "test-id").alias("medium"), _attr("link", "href").alias("url"),
-    )
-    complete = F.col("title").isNotNull() & F.col("url").isNotNull()
-    page = found.groupBy("page_id").agg(
-        F.bool_or("_none").alias("_none"),
-        F.bool_or("_expired").alias("_expired"),
-        F.max("_hits").alias("_hits"),
-        F.count_if(F.col("field") == "card").alias("_cards"),
-    )
-    none = F.col("_none")
-    hits = page.select(
-        "page_id",
-        F.when(none, 0).otherwise(F.col("_hits")).alias("total_hits"),
-    )
-    errors = (
-        page.withColumn(
-            "error",
-            F.when(F.col("_expired"), "session expired")
-            .when((F.col("_cards") == 0) & ~none, "no cards and no empty answer"),
-        )
-        .filter("error is not null").select("page_id", "error")
-        .unionByName(cards.filter(~complete).select("page_id", F.lit("card without title or link").alias("error")))
+    read = _result_pages(pages)
+    return (
+        read.select("page_id", F.inline("cards")),
+        read.select("page_id", "total_hits"),
+        read.select("page_id", F.explode("errors").alias("error")),
     )
-    return cards.filter(complete), hits, errors
+
+
+def hits_and_errors(pages: DataFrame) -> DataFrame:
+    """Announced hits of each result page beside what is wrong with it, in one reading."""
+    return _result_pages(pages).select("page_id", "total_hits", F.explode_outer("errors").alias("error"))
 
 
 #: Links of any page, as tiles of its navigation.

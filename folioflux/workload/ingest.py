@@ -153,6 +153,12 @@ def _(t):
     )
 
 
+def _dealt(t) -> DataFrame:
+    """The log dealt out to all cores: it may come as one part, and its pages cost more than its rows."""
+    cores = t.spark.sparkContext.defaultParallelism
+    return t.obs.repartition(max(3 * cores, int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _listing_pages(t) -> DataFrame:
     """One page per find with two boxes of one order number and one other box."""
     def box(order, title_attr, text, number):
@@ -183,7 +189,7 @@ def _listing_pages(t) -> DataFrame:
     empty = F.when(c("id") % 20 == 0, "<p>keine Artikel gefunden</p>").when(
         c("id") % 20 == 1, "<p>umgebaut</p>"
     )
-    return t.obs.select(c("id").alias("page_id"), F.coalesce(empty, html).alias("html"))
+    return _dealt(t).select(c("id").alias("page_id"), F.coalesce(empty, html).alias("html"))
 
 
 @query(
@@ -241,7 +247,7 @@ def _(t):
         F.lit('</a></div><div itemprop="description"><div class="description--preview">Anriss</div>'),
         text, F.lit("</div>"),
     )
-    good, _ = pages.product_details(t.obs.select(c("id").alias("page_id"), html.alias("html")))
+    good, _ = pages.product_details(_dealt(t).select(c("id").alias("page_id"), html.alias("html")))
     return good.select("page_id", "price_cents", "isbn", "author", "url", "blurb")
 
 
@@ -277,7 +283,7 @@ def _(t):
         stars, F.lit('<dl><dt class="user-vote">Stimmen</dt><dd>'), "rating_votes",
         F.lit(' Stimmen</dd><dt class="abstract">Inhalt</dt><dd>'), "title", F.lit("</dd></dl>"),
     )
-    good, _ = pages.library_details(t.obs.select(c("id").alias("page_id"), html.alias("html")))
+    good, _ = pages.library_details(_dealt(t).select(c("id").alias("page_id"), html.alias("html")))
     return good.select(
         "page_id", "copies", "available_copies", "availability", "author", "isbn",
         "available_from", "rating", "votes", "blurb",
@@ -296,7 +302,7 @@ def _cards(t) -> DataFrame:
         .when(c("id") % 10 == 1, F.concat(F.lit("<p>Ihre Sitzung ist abgelaufen</p>"), card))
         .otherwise(F.concat(F.lit("<p>12 Titeltreffer</p>"), card, card))
     )
-    return t.obs.select(c("id").alias("page_id"), html.alias("html"))
+    return _dealt(t).select(c("id").alias("page_id"), html.alias("html"))
 
 
 @query(
@@ -314,8 +320,7 @@ def _(t):
   CASE WHEN id % 10 = 1 THEN 'session expired' END AS error FROM obs""",
 )
 def _(t):
-    _, hits, errors = pages.result_cards(_cards(t))
-    return hits.join(errors, "page_id", "left")
+    return pages.hits_and_errors(_cards(t))
 
 
 def _marc(t) -> DataFrame:
