@@ -91,28 +91,48 @@ def _measured(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _compared(measured: DataFrame) -> DataFrame:
-    """All that follows from the measures and the keys."""
-    q, c = (lambda n: F.col(f"q_{n}")), (lambda n: F.col(f"c_{n}"))
-    tokens_apart = ~F.arrays_overlap(q("name_tokens"), c("name_tokens"))
-    named = (F.size(q("names")) > 0) & (F.size(c("names")) > 0)
-    given_id = (F.length(q("identifier")) > 0) & (F.length(c("identifier")) > 0)
-    return measured.select(
-        "*",
-        F.coalesce(given_id & (q("identifier") == c("identifier")), F.lit(False)).alias("id_match"),
-        F.coalesce(given_id & (q("identifier") != c("identifier")), F.lit(False)).alias("id_conflict"),
-        ((q("norm") != "") & (q("norm") == c("norm"))).alias("title_exact"),
-        text.title_contained(q("tokens"), c("tokens")).alias("title_contained"),
-        text.volumes_conflict(q("volume"), c("volume")).alias("volume_conflict"),
-        (c("bundle") & ~q("bundle")).alias("is_bundle"),
-        (named & F.arrays_overlap(q("names"), c("names"))).alias("author_exact"),
+def _q(name: str) -> Column:
+    return F.col(f"q_{name}")
+
+
+def _c(name: str) -> Column:
+    return F.col(f"c_{name}")
+
+
+def _of_titles() -> list[Column]:
+    """What follows from the two titles alone."""
+    return [
+        ((_q("norm") != "") & (_q("norm") == _c("norm"))).alias("title_exact"),
+        text.title_contained(_q("tokens"), _c("tokens")).alias("title_contained"),
+        text.volumes_conflict(_q("volume"), _c("volume")).alias("volume_conflict"),
+        (_c("bundle") & ~_q("bundle")).alias("is_bundle"),
+    ]
+
+
+def _of_people() -> list[Column]:
+    """What follows from the two credits alone, and their measures."""
+    tokens_apart = ~F.arrays_overlap(_q("name_tokens"), _c("name_tokens"))
+    named = (F.size(_q("names")) > 0) & (F.size(_c("names")) > 0)
+    return [
+        (named & F.arrays_overlap(_q("names"), _c("names"))).alias("author_exact"),
         F.col("_author.fuzzy").alias("author_fuzzy"),
         (
-            q("author").isNotNull() & c("author").isNotNull() & named
+            _q("author").isNotNull() & _c("author").isNotNull() & named
             & (F.col("_author.strict") < STRONG_AUTHOR) & tokens_apart
         ).alias("author_conflict"),
-        (q("author").isNotNull() & c("author").isNull()).alias("author_missing"),
-        F.coalesce(F.abs(q("year") - c("year")), F.lit(UNKNOWN_YEAR_DELTA)).alias("year_delta"),
+        (_q("author").isNotNull() & _c("author").isNull()).alias("author_missing"),
+    ]
+
+
+def _compared(measured: DataFrame) -> DataFrame:
+    """All that follows from the measures and the keys."""
+    given_id = (F.length(_q("identifier")) > 0) & (F.length(_c("identifier")) > 0)
+    return measured.select(
+        "*",
+        F.coalesce(given_id & (_q("identifier") == _c("identifier")), F.lit(False)).alias("id_match"),
+        F.coalesce(given_id & (_q("identifier") != _c("identifier")), F.lit(False)).alias("id_conflict"),
+        *_of_titles(), *_of_people(),
+        F.coalesce(F.abs(_q("year") - _c("year")), F.lit(UNKNOWN_YEAR_DELTA)).alias("year_delta"),
     ).drop("_author")
 
 
@@ -417,8 +437,69 @@ def _pairs(ids: DataFrame, queries: DataFrame, books: DataFrame, all_editions: b
     return joined if all_editions else joined.filter(~(F.col("q_has_isbn") & F.col("c_has_isbn")))
 
 
+TITLE, PEOPLE = ["norm", "volume", "bundle", "tokens"], ["names", "short_names", "name_tokens", "author"]
+
+
+def _numbered(rows: DataFrame, names: list[str], into: str) -> DataFrame:
+    """The different forms of some columns, each with a number."""
+    return materialize(rows.select(*names).distinct().withColumn(into, F.monotonically_increasing_id()), into)
+
+
+def _by_form(rows: DataFrame, forms: DataFrame, names: list[str]) -> DataFrame:
+    renamed = forms.withColumnsRenamed({n: f"_{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    return rows.join(renamed, same).drop(*[f"_{n}" for n in names])
+
+
+def _scored_forms(ids: DataFrame, queries: DataFrame, books: DataFrame) -> DataFrame:
+    """Scores of pairs of signatures, as ``score(_pairs(…))`` gives them.
+
+    Signatures pair a few titles with a few people in every way, so titles are compared
+    once for each pair of different titles and people once for each pair of different
+    credits; a pair of signatures is numbers only.
+    """
+    def side(rows: DataFrame, p: str, id_: str, facts: list[Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        # Of a credit's spelling only counts whether there is one.
+        plain = rows.withColumn("author", F.when(F.col("author").isNotNull(), F.lit("-")))
+        titles, people = _numbered(plain, TITLE, f"{p}_title"), _numbered(plain, PEOPLE, f"{p}_people")
+        placed = _by_form(_by_form(plain, titles, TITLE), people, PEOPLE)
+        return (
+            placed.select(id_, f"{p}_title", f"{p}_people", F.col("has_isbn").alias(f"{p}_has_isbn"), *facts),
+            titles.withColumnsRenamed({n: f"{p}_{n}" for n in TITLE}),
+            people.withColumnsRenamed({n: f"{p}_{n}" for n in PEOPLE}),
+        )
+
+    wanted, wanted_titles, wanted_people = side(queries, "q", "q_id", [])
+    found, found_titles, found_people = side(
+        books, "c", "b_id", [F.col("book_id").alias("c_rank"), F.col("copies").alias("c_copies")]
+    )
+    # A find with an ISBN never becomes a book that has another one.
+    pairs = materialize(
+        ids.join(wanted, "q_id").join(found, "b_id").filter("not (q_has_isbn and c_has_isbn)"), "signature-pairs"
+    )
+    titles = (
+        pairs.select("q_title", "c_title").distinct().join(wanted_titles, "q_title").join(found_titles, "c_title")
+        .withColumn("title_fuzzy", similarity.title_similarity(_q("norm"), _c("norm")))
+        .select("q_title", "c_title", "title_fuzzy", *_of_titles())
+    )
+    people = (
+        pairs.select("q_people", "c_people").distinct().join(wanted_people, "q_people").join(found_people, "c_people")
+        .withColumn("_author", similarity.name_scores(_q("names"), _q("short_names"), _c("names"), _c("short_names")))
+        .select("q_people", "c_people", *_of_people())
+    )
+    return (
+        pairs.join(materialize(titles, "title-pairs"), ["q_title", "c_title"])
+        .join(materialize(people, "people-pairs"), ["q_people", "c_people"])
+        .select(
+            "q_id", "c_copies", F.lit(False).alias("id_match"), F.lit(False).alias("id_conflict"),
+            F.lit(UNKNOWN_YEAR_DELTA).alias("year_delta"),
+            *[n for n in SCORED if n not in ("id_match", "id_conflict", "year_delta")],
+        )
+    )
+
+
 def _signatures(rows: DataFrame, id_: str) -> DataFrame:
-    keyed = with_keys(rows).withColumn(
+    keyed = _keyed(rows).withColumn(
         "has_isbn", F.coalesce(F.length("isbn") > 0, F.lit(False))
     )
     parts = [F.coalesce(F.col(n).cast("string"), F.lit("\u0000")) for n in SIGNATURE]
@@ -442,20 +523,23 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
     )
     open_ = items.join(by_isbn.select("item_id"), "item_id", "left_anti")
     # Keys are costly and used by several joins: written once, and read as columns.
-    keyed = materialize(_signatures(open_, "q_id"), "item-keys")
-    queries = keyed.groupBy("q_id").agg(
-        *[F.first(n).alias(n) for n in (*KEYS, "has_isbn")]
+    needed = ["isbn", "title", "author"]
+    keyed = materialize(_signatures(open_.select("item_id", *needed), "q_sig"), "item-keys")
+    queries = materialize(
+        keyed.groupBy("q_sig").agg(*[F.first(n).alias(n) for n in (*KEYS, "has_isbn")])
+        .withColumn("q_id", F.monotonically_increasing_id()),
+        "queries",
     )
     known = materialize(
-        _signatures(books, "b_id").groupBy("b_id").agg(
+        _signatures(books.select("book_id", *needed), "b_sig").groupBy("b_sig").agg(
             *[F.first(n).alias(n) for n in (*KEYS, "has_isbn")],
             F.min("book_id").alias("book_id"),
             F.count("*").alias("copies"),
-        ),
+        ).withColumn("b_id", F.monotonically_increasing_id()).drop("b_sig"),
         "book-keys",
     )
-    pairs = _pairs(_blocked(queries, known), queries, known)
-    two = best_two(score(pairs), ["q_id"], ["c_copies"])
+    scored = _scored_forms(_blocked(queries, known), queries, known)
+    two = best_two(scored, ["q_id"], ["c_copies"])
     best = F.col("best")
     # Two copies with one signature are a tie of the winner with itself.
     is_tied = tied(best, F.col("second")) | (best["c_copies"] > 1)
@@ -470,7 +554,9 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
     overruled = _containing(queries.join(near, "q_id", "left_semi"), known)
     with_author = accepted.select("q_id", "book_id").join(overruled, "q_id", "left_anti")
     decided = with_author.unionByName(_without_author(queries, known))
-    by_match = keyed.select("item_id", "q_id").join(decided, "q_id").select(
+    by_match = keyed.select("item_id", "q_sig").join(
+        queries.select("q_sig", "q_id").join(decided, "q_id"), "q_sig"
+    ).select(
         "item_id", "book_id", F.lit("match").alias("how")
     )
     return by_isbn.unionByName(by_match)
@@ -478,7 +564,7 @@ def find_books(items: DataFrame, books: DataFrame) -> DataFrame:
 
 def _containing(queries: DataFrame, books: DataFrame) -> DataFrame:
     """Queries for which a longer title holding all wanted words would rank first."""
-    scored = score(_pairs(_container_ids(queries, books), queries, books))
+    scored = _scored_forms(_container_ids(queries, books), queries, books)
     first = ~F.col("author_conflict") & ~F.col("volume_conflict") & ~F.col("is_bundle")
     accepted = (F.col("title_fuzzy") >= STRONG_TITLE) & F.col("author_exact")
     return scored.filter(first & ~accepted).select("q_id").distinct()
@@ -671,7 +757,8 @@ def find_or_create(
     # The scores are costly and used three times, so they are written once.
     found = materialize(find_books(items, books), "found-books")
     open_ = items.join(found.select("item_id"), "item_id", "left_anti")
-    keyed = with_keys(open_).withColumn(
+    # Used four times.
+    keyed = materialize(_keyed(open_.select("item_id", "isbn", "title", "author")), "open-keys").withColumn(
         "_work",
         F.concat_ws("|", "norm", F.coalesce(F.col("volume").cast("string"), F.lit("")),
                     F.array_join(F.array_sort("names"), "&")),
