@@ -21,11 +21,10 @@ every set is compared with one hub under each of its keys: the set that shares m
 with others, which is the most central one of a family of copies. That is one pair a key
 and set at most, however large a key is. Keys whose sets are then of one component are
 done. The sets of the others are put in order of further minimum hashes and cut into
-blocks of ``BLOCK`` sets, in which all are compared with all by one matrix product; only the
-links that join components leave the block. A key of at most ``BLOCK`` sets is one block and
-loses nothing. In a larger one, sets that are similar lie close to each other in the order,
-which is another one under each key; a pair may still be missed there if it is apart in
-all of them and no third set joins the two. A test measures what is found.
+blocks of ``BLOCK`` sets, and every two blocks of a key that are not of one component are
+compared, all with all, by one matrix product; only the links that join components leave it.
+So memory is bounded by two blocks, no pair that shares a key is missed, and a key costs the
+square of its blocks where its sets are of many components.
 
 Defined cases: words are those of the fingerprints (A-Z in lower case, six white space
 characters); a text of fewer than five words is one shingle, null and empty texts are
@@ -51,7 +50,7 @@ SHINGLE, SEED = 5, 42
 #: Similarity of linked sets, as a fraction.
 LEAST, OF = 4, 5
 SEGMENTS = 10
-#: Sets of a key that are compared with one another.
+#: Sets of a key that are held at once, twice.
 BLOCK = 128
 #: Sets with more shingles are compared by a join, not gathered.
 LONG = 1 << 14
@@ -224,20 +223,28 @@ def _mixed(keyed: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _within_blocks(rest: DataFrame, marks: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Links between sets of different components that lie in one block of a key."""
+    """Links between sets of different components that share a key: each block of it against each."""
     names = [f"m{i}" for i in range(ORDER)]
     # The order under a key of one segment is by the marks of the others.
     turned = [F.get("marks", (F.col("segment") + 2 + i) % SEGMENTS).alias(n) for i, n in enumerate(names)]
     dealt = rest.join(marks, "node").select("key", "node", "root", "size", *turned)
     placed = ordered.position(dealt, ["key"], [*names, "node"], "at")
-    blocks = placed.select("key", F.floor((F.col("at") - 1) / block).alias("block"), "node", "root", "size")
-    # Blocks of one component only have nothing left to compare.
-    of_two = blocks.groupBy("key", "block").agg((F.min("root") < F.max("root")).alias("two")).where("two")
-    blocks = written(blocks.join(of_two.select("key", "block"), ["key", "block"], "left_semi"), "copies-blocks")
+    placed = written(
+        placed.select("key", F.floor((F.col("at") - 1) / block).alias("block"), "node", "root", "size"), "copies-placed"
+    )
+    # Two blocks of one component have nothing left to compare.
+    spans = written(placed.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "copies-spans")
+    two = (
+        spans.alias("a").join(spans.alias("b"), "key")
+        .where("a.block <= b.block and least(a.low, b.low) < greatest(a.high, b.high)")
+        .select("key", F.col("a.block").alias("one"), F.col("b.block").alias("other"))
+    )
+    dealt = two.select("key", "one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
+    blocks = written(placed.join(dealt, ["key", "block"]).drop("block"), "copies-blocks")
     short = (
         blocks.where(F.col("size") <= LONG)
         .join(sets, "node")
-        .groupBy("key", "block")
+        .groupBy("key", "one", "other")
         .agg(F.collect_list(F.struct("node", "root", "found")).alias("members"))
         .select("members")
         .mapInArrow(_forest, "u long, v long")
@@ -246,7 +253,7 @@ def _within_blocks(rest: DataFrame, marks: DataFrame, sets: DataFrame, block: in
     long = blocks.where(F.col("size") > at_least)
     pairs = (
         long.alias("a")
-        .join(long.alias("b"), ["key", "block"])
+        .join(long.alias("b"), ["key", "one", "other"])
         .where("a.node < b.node and a.root <> b.root")
         .where(f"greatest(a.size, b.size) > {LONG}")
         .where(_may_be("a.size", "b.size"))
