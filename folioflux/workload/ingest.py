@@ -153,10 +153,14 @@ def _(t):
     )
 
 
+def _parts(t) -> int:
+    cores = t.spark.sparkContext.defaultParallelism
+    return max(3 * cores, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _dealt(t) -> DataFrame:
     """The log dealt out to all cores: it may come as one part, and its pages cost more than its rows."""
-    cores = t.spark.sparkContext.defaultParallelism
-    return t.obs.repartition(max(3 * cores, int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
+    return t.obs.repartition(_parts(t))
 
 
 def _listing_pages(t) -> DataFrame:
@@ -324,7 +328,8 @@ def _(t):
 
 
 def _marc(t) -> DataFrame:
-    volumes = t.contains.groupBy("isbn").agg(
+    # Answers are many times the bytes they are made from: as many parts as cores, however small.
+    volumes = t.contains.repartition(_parts(t), "isbn").groupBy("isbn").agg(
         F.array_sort(F.collect_set("contained")).alias("v")
     )
     sub = lambda code, value: F.concat(F.lit(f'<subfield code="{code}">'), value, F.lit("</subfield>"))

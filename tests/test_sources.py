@@ -45,6 +45,20 @@ def test_marc_records(spark):
     assert [r.contained for r in edges.orderBy("contained").collect()] == ["9783644200418", "9783644200616"]
 
 
+def test_marc_answers_of_odd_form(spark):
+    whole = answer(1, field("245", ("a", "Ein<!-- alt --> Titel"), ("c", "Wer")))
+    # A second piece of record data adds its fields and hides none.
+    two = whole.replace("</recordData>", f"</recordData><recordData><record>{field('490', ('a', 'Reihe'))}</record></recordData>")
+    rows = [("a", whole), ("b", two), ("c", whole[:-40]), ("d", None), ("e", "kein xml"), ("f", whole + " Rest")]
+    found, edges = marc.records(spark.createDataFrame(rows, "isbn string, xml string"))
+    got = {r.isbn: (r.title, r.series, r.found) for r in found.collect()}
+    assert got == {
+        "a": ("Ein Titel", None, True), "b": ("Ein Titel", "Reihe", True), "c": (None, None, False),
+        "d": (None, None, False), "e": (None, None, False), "f": ("Ein Titel", None, True),
+    }
+    assert edges.isEmpty()
+
+
 def test_json_answers(spark):
     rows = [
         (1, '{"id":"7","title":" Dark Matter ","firstCreatorName":"Blake Crouch","ownedCopies":2,'
