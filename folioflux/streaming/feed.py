@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from folioflux.config import Profile
@@ -28,7 +29,7 @@ from folioflux.operators import changes
 from folioflux.operators.changes import ITEM, STATE
 from folioflux.session import ship_package
 from folioflux.sources import sinks
-from folioflux.streaming.history import RunHistory, newest_in_batch
+from folioflux.streaming.history import HISTORY, newest_in_batch, run_history
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -67,11 +68,12 @@ class ChangeFeed:
         told = (
             narrow.mapInArrow(newest_in_batch, narrow.schema)
             .groupBy(*ITEM)
-            .transformWithStateInPandas(
-                statefulProcessor=RunHistory(),
+            .applyInPandasWithState(
+                run_history,
                 outputStructType=f"{keys}, run_id long, previous string, again boolean",
-                outputMode="Update",
-                timeMode="None",
+                stateStructType=HISTORY,
+                outputMode="update",
+                timeoutConf=GroupStateTimeout.NoTimeout,
             )
         )
         row = F.struct(*stream.columns)

@@ -1,7 +1,9 @@
 """The run history of each item in Spark's state store.
 
 Only the newest state of an item in each run is kept, as an opaque text; a micro-batch
-reads and writes the items it holds and no others.
+reads and writes the items it holds and no others. The histories travel to the workers and
+back with the rows, many items at a time: asking the store for each run of each item from
+a worker costs a message each.
 """
 
 from __future__ import annotations
@@ -10,10 +12,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
-#: Newest state per run: what handles and processor agree on.
-RUN_KEY, RUN_STATE = "run_id long", "id long, state string"
+#: Newest state per run, as the store holds it for an item.
+HISTORY = "runs array<long>, ids array<long>, states array<string>"
 
 
 def newest_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,35 +35,32 @@ def previous_states(runs: dict[int, tuple[int, str]]) -> dict[int, str | None]:
     return found
 
 
-class RunHistory(StatefulProcessor):
+def run_history(
+    key: tuple, rows: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
     """Gives each run of the micro-batch, and each later one it changes, its state before.
 
     ``again`` marks runs of earlier micro-batches whose rows need a new comparison.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.runs = handle.getMapState("runs", RUN_KEY, RUN_STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        here: dict[int, tuple[int, str]] = {}
-        for frame in rows:
-            for run, id_, state in zip(frame["run_id"], frame["id"], frame["state"]):
-                if run not in here or id_ > here[run][0]:
-                    here[int(run)] = (int(id_), state)
-        known = {int(k[0]): (int(v[0]), v[1]) for k, v in self.runs.iterator()}
-        merged = dict(known)
-        for run, newest in here.items():
-            if run not in known or newest[0] > known[run][0]:
-                merged[run] = newest
-                self.runs.updateValue((run,), newest)
-        before, after = previous_states(known), previous_states(merged)
-        told = [
-            (*key, run, previous, run in known and previous != before[run])
-            for run, previous in after.items()
-            if run in here or (run in known and previous != before[run])
-        ]
-        names = [*(f"k{i}" for i in range(len(key))), "run_id", "previous", "again"]
-        yield pd.DataFrame(told, columns=names)
-
-    def close(self) -> None:
-        pass
+    here: dict[int, tuple[int, str]] = {}
+    for frame in rows:
+        for run, id_, text in zip(frame["run_id"].tolist(), frame["id"].tolist(), frame["state"].tolist()):
+            if run not in here or id_ > here[run][0]:
+                here[run] = (id_, text)
+    known: dict[int, tuple[int, str]] = {}
+    if state.exists:
+        runs, ids, texts = state.get
+        known = dict(zip(runs, zip(ids, texts)))
+    merged = dict(known)
+    for run, newest in here.items():
+        if run not in known or newest[0] > known[run][0]:
+            merged[run] = newest
+    if merged != known:
+        state.update((list(merged), [n[0] for n in merged.values()], [n[1] for n in merged.values()]))
+    before, after = previous_states(known), previous_states(merged)
+    told = [run for run, previous in after.items() if run in here or previous != before[run]]
+    columns = {f"k{i}": [value] * len(told) for i, value in enumerate(key)}
+    columns["run_id"] = told
+    columns["previous"] = [after[run] for run in told]
+    columns["again"] = [run in known and after[run] != before[run] for run in told]
+    yield pd.DataFrame(columns)

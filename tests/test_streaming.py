@@ -4,12 +4,13 @@ import os
 import random
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioflux.config import Profile
 from folioflux.operators import changes
 from folioflux.streaming.feed import ChangeFeed, observations
-from folioflux.streaming.history import previous_states
+from folioflux.streaming.history import previous_states, run_history
 
 LOG = (
     "id long, profile_slug string, source string, source_item_id string, run_id int, match_reason string, "
@@ -102,3 +103,41 @@ def test_only_runs_that_are_asked_for_are_read_again(spark):
 def test_state_before_each_run():
     assert previous_states({3: (9, "c"), 1: (1, "a"), 2: (5, "b")}) == {1: None, 2: "a", 3: "b"}
     assert previous_states({}) == {}
+
+
+class Store:
+    """What an item's history costs: reads and writes of its state."""
+
+    def __init__(self, held=None):
+        self.held, self.read, self.written = held, 0, 0
+
+    @property
+    def exists(self):
+        return self.held is not None
+
+    @property
+    def get(self):
+        self.read += 1
+        return self.held
+
+    def update(self, value):
+        self.held, self.written = value, self.written + 1
+
+
+def test_history_of_an_item_is_read_and_written_once():
+    """However many runs an item has, its state goes to the worker and back as one value."""
+    store = Store()
+
+    def told(*rows):
+        frame = pd.DataFrame(rows, columns=["run_id", "id", "state"])
+        (found,) = run_history(("p", None), iter([frame[:2], frame[2:]]), store)
+        assert found["k0"].eq("p").all() and found["k1"].isna().all()
+        return [tuple(r) for r in found[["run_id", "previous", "again"]].itertuples(index=False)]
+
+    first = told(*[(run, run, f"s{run}") for run in range(1, 101)])
+    assert first == [(run, f"s{run - 1}" if run > 1 else None, False) for run in range(1, 101)]
+    assert (store.read, store.written) == (0, 1)
+    # A newer row of run 50 mends run 51; an older one of run 60 changes nothing.
+    assert told((50, 500, "new"), (60, 5, "old")) == [(50, "s49", False), (51, "new", True), (60, "s59", False)]
+    assert told((60, 6, "old")) == [(60, "s59", False)]
+    assert (store.read, store.written) == (2, 2)
