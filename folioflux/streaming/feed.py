@@ -29,7 +29,7 @@ from folioflux.operators import changes
 from folioflux.operators.changes import ITEM, STATE
 from folioflux.session import ship_package
 from folioflux.sources import sinks
-from folioflux.streaming.history import HISTORY, newest_in_batch, run_history
+from folioflux.streaming.history import HISTORY, SHARES, newest_in_batch, run_history
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -67,7 +67,8 @@ class ChangeFeed:
         keys = ", ".join(f"k{i} string" for i in range(len(ITEM)))
         told = (
             narrow.mapInArrow(newest_in_batch, narrow.schema)
-            .groupBy(*ITEM)
+            .withColumn("share", F.pmod(F.xxhash64(*ITEM), F.lit(SHARES)))
+            .groupBy("share")
             .applyInPandasWithState(
                 run_history,
                 outputStructType=f"{keys}, run_id long, previous string, again boolean",

@@ -124,20 +124,22 @@ class Store:
         self.held, self.written = value, self.written + 1
 
 
-def test_history_of_an_item_is_read_and_written_once():
-    """However many runs an item has, its state goes to the worker and back as one value."""
+def test_histories_are_read_and_written_once_for_many_items():
+    """However many items and runs meet in a share, its state goes to the worker and back as one value."""
     store = Store()
 
     def told(*rows):
-        frame = pd.DataFrame(rows, columns=["run_id", "id", "state"])
-        (found,) = run_history(("p", None), iter([frame[:2], frame[2:]]), store)
-        assert found["k0"].eq("p").all() and found["k1"].isna().all()
-        return [tuple(r) for r in found[["run_id", "previous", "again"]].itertuples(index=False)]
-
-    first = told(*[(run, run, f"s{run}") for run in range(1, 101)])
-    assert first == [(run, f"s{run - 1}" if run > 1 else None, False) for run in range(1, 101)]
+        frame = pd.DataFrame(rows, columns=["profile_slug", "source_item_id", "run_id", "id", "state"])
+        (found,) = run_history((7,), iter([frame[:2], frame[2:]]), store)
+        assert list(found.columns) == ["k0", "k1", "run_id", "previous", "again"]
+        return {tuple(r) for r in found.itertuples(index=False)}
+
+    items = ["1", "ä", None]
+    first = told(*[("p", item, run, run, f"s{run}") for item in items for run in range(1, 101)])
+    assert first == {("p", item, run, f"s{run - 1}" if run > 1 else None, False) for item in items for run in range(1, 101)}
     assert (store.read, store.written) == (0, 1)
-    # A newer row of run 50 mends run 51; an older one of run 60 changes nothing.
-    assert told((50, 500, "new"), (60, 5, "old")) == [(50, "s49", False), (51, "new", True), (60, "s59", False)]
-    assert told((60, 6, "old")) == [(60, "s59", False)]
+    # A newer row of run 50 mends run 51 of its item only; an older one of run 60 changes nothing.
+    again = told(("p", None, 50, 500, "new"), ("p", "ä", 60, 5, "old"))
+    assert again == {("p", None, 50, "s49", False), ("p", None, 51, "new", True), ("p", "ä", 60, "s59", False)}
+    assert told(("p", "ä", 60, 6, "old")) == {("p", "ä", 60, "s59", False)}
     assert (store.read, store.written) == (2, 2)
