@@ -9,6 +9,7 @@ from folioflux.config import Profile, source_kind
 from folioflux.functions import catalogue, similarity, text
 from folioflux.operators import ordered
 from folioflux.operators.changes import ITEM
+from folioflux.session import materialize
 
 #: Who may claim an item that several channels bring in.
 CHANNEL_ORDER = ["watchlist", "profile_author", "genre_category"]
@@ -79,13 +80,12 @@ def by_author(hub: DataFrame, search: DataFrame, wanted: str = "author") -> Data
 
     Both carry ``(author, source, source_item_id, credited, rank)``.
     """
-    # The match is evaluated once per pair of spellings, not once per hit.
-    # The aggregate keeps the optimizer from copying the score to the other join side.
+    # The match is evaluated once per pair of spellings, not once per hit. The scored pairs are
+    # written: inside a larger plan the optimizer drops the distinct below the score or copies
+    # the score to the other join side.
     pairs = search.select(wanted, "credited").distinct()
-    good = (
-        pairs.withColumn("_same", author_matches(F.col(wanted), F.col("credited")))
-        .groupBy(wanted, "credited").agg(F.bool_or("_same").alias("_same")).filter("_same")
-    )
+    scored = pairs.withColumn("_same", author_matches(F.col(wanted), F.col("credited")))
+    good = materialize(scored, "same-author").filter("_same").drop("_same")
     hits = search.join(hub.select(wanted).distinct(), wanted, "left_anti").join(
         good, [wanted, "credited"], "left_semi"
     )
