@@ -9,6 +9,7 @@ from folioflux.config import Profile
 from folioflux.functions import rules, text
 from folioflux.operators.changes import ITEM
 from folioflux.operators.ordered import spread_nulls
+from folioflux.session import materialize
 
 
 def last_prices(log: DataFrame, by: str) -> DataFrame:
@@ -18,15 +19,41 @@ def last_prices(log: DataFrame, by: str) -> DataFrame:
     counts, and only then do free items drop out.
     """
     priced = log.filter(F.col("price_cents").isNotNull() & F.col(by).isNotNull())
-    last = priced.groupBy(*ITEM).agg(F.max_by(F.struct(by, "price_cents"), "id").alias("_last"))
+    return _cheapest(priced.groupBy(*ITEM).agg(last_priced(by).alias("_last")), "_last", by)
+
+
+def last_priced(by: str) -> Column:
+    """Aggregate of an item: ``by`` and price of its last row that has both."""
+    both = F.col("price_cents").isNotNull() & F.col(by).isNotNull()
+    return F.max_by(F.struct(by, "price_cents"), F.when(both, F.col("id")))
+
+
+def _cheapest(items: DataFrame, last: str, by: str) -> DataFrame:
     return (
-        last.select("profile_slug", "source", "_last.*")
+        items.select("profile_slug", "source", f"{last}.*")
         .filter((F.col("price_cents") > 0) & (F.col(by) != ""))
         .groupBy("profile_slug", "source", by)
         .agg(F.min("price_cents").alias("price_cents"))
     )
 
 
+def price_lists(log: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``last_prices`` by title and by isbn from one pass over the log, written once.
+
+    The third frame has one row an item with ``more`` aggregates of the same pass.
+    """
+    items = materialize(
+        log.groupBy(*ITEM).agg(
+            last_priced("title").alias("_title"), last_priced("isbn").alias("_isbn"), *more
+        ),
+        "item-prices",
+    )
+    return (
+        _cheapest(items, "_title", "title"), _cheapest(items, "_isbn", "isbn"),
+        items.drop("_title", "_isbn"),
+    )
+
+
 def _offers(members: DataFrame, prices: DataFrame, key: str, profile: Profile) -> DataFrame:
     """Per (profile, bundle): number of volumes and, per shop, the sum of all singles.
 
@@ -94,12 +121,16 @@ def with_advantage(
     rest = marked.filter(~F.col("_candidate")).drop("_candidate")
     wanted = marked.filter("_candidate").drop("_candidate")
 
+    # Written: offers read the few bundles and their volumes several times.
     bundles = wanted if keys_from is None else keys_from.filter(is_bundle_candidate())
+    bundles = materialize(bundles.select("profile_slug", "isbn", "title").distinct(), "bundle-keys")
+    records = bundles.filter(F.length("isbn") > 0).select("profile_slug", "isbn").distinct()
+    # Edges of no bundle go before the others are made distinct.
+    listed = edges.join(records.select("isbn").distinct(), "isbn", "left_semi").select(
+        "isbn", F.col("contained").alias("volume")
+    ).distinct()
     by_isbn = _offers(
-        bundles.filter(F.length("isbn") > 0)
-        .select("profile_slug", "isbn")
-        .distinct()
-        .join(edges.select("isbn", F.col("contained").alias("volume")).distinct(), "isbn"),
+        materialize(records.join(listed, "isbn"), "bundle-volumes"),
         isbn_prices.withColumnRenamed("isbn", "volume"),
         "isbn",
         profile,

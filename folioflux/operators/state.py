@@ -159,6 +159,13 @@ def merge_detail(current: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def last_probe(probes: DataFrame) -> DataFrame:
+    """Last probe per source and what it said, in one pass."""
+    return probes.groupBy("source").agg(
+        F.max_by("ok", "seq").alias("last_ok"), F.max_by("error", "seq").alias("last_error")
+    )
+
+
 def probe_state(probes: DataFrame) -> DataFrame:
     """Last probe and number of failures since the last success, per source."""
     last_ok = probes.filter("ok").groupBy("source").agg(F.max("seq").alias("_last_ok"))

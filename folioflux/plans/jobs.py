@@ -14,6 +14,7 @@ from folioflux.functions import catalogue
 from folioflux.operators import bundles, changes, linkage, ordered, state
 from folioflux.operators.changes import ITEM
 from folioflux.plans import gate
+from folioflux.session import materialize
 from folioflux.sources import sinks
 
 
@@ -100,12 +101,15 @@ class Run:
 
     @cached_property
     def deltas(self) -> DataFrame:
-        latest = ordered.latest(self.log.select(*ITEM, *changes.STATE), ITEM)
-        compared = changes.with_stored_previous(self.observations, latest)
         # Single prices come from what is stored, not from this run.
+        title_prices, isbn_prices, stored = bundles.price_lists(
+            self.log, F.max_by(F.struct(*changes.STATE), "id").alias("_state")
+        )
+        latest = stored.select(*ITEM, "_state.*")
+        compared = changes.with_stored_previous(self.observations, latest)
         compared = bundles.with_advantage(
-            compared, bundles.last_prices(self.log, "title"), bundles.last_prices(self.log, "isbn"),
-            self.edges, self.profile,
+            compared, title_prices, isbn_prices, self.edges, self.profile,
+            keys_from=self.observations,
         )
         found = changes.changes(compared, self.profile, F.col("advantage").isNotNull())
         told = changes.suppress_unseeded(changes.notifiable(found), self.origin, self.seeded_before)
@@ -154,8 +158,9 @@ def collecting_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """Sources a run asks (switched on, last probe good), and those that failed theirs."""
     on = state.enabled(observations.select("source").distinct(), switches).filter("enabled")
-    last = state.probe_state(probes).select("source", "last_ok", "last_error")
-    probed = on.select("source").join(last, "source", "left")
+    last = state.last_probe(probes)
+    # A row a source, written: both frames are read many times.
+    probed = materialize(on.select("source").join(last, "source", "left"), "probed-sources")
     failed = F.col("last_ok") == F.lit(False)
     return (
         probed.filter(F.coalesce(~failed, F.lit(True))).select("source"),

@@ -34,9 +34,9 @@ def classified(
         lookups.decided_items(links, relations),
         lookups.decided_isbns(books, relations),
     )
+    title_prices, isbn_prices, _ = bundles.price_lists(log)
     priced = bundles.with_advantage(
-        open_, bundles.last_prices(log, "title"), bundles.last_prices(log, "isbn"), edges, profile,
-        keys_from=log,
+        open_, title_prices, isbn_prices, edges, profile, keys_from=log,
     ).withColumn(
         "subject", catalogue.subject_of(F.col("isbn"), F.col("source"), F.col("source_item_id"))
     )

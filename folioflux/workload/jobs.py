@@ -275,7 +275,10 @@ def _last_run(t, keep=_kept) -> jobs.Run:
     last = t.obs.agg(F.max("run_id").alias("_last"))
     marked = t.obs.join(F.broadcast(last))  # one row: the number of the newest run
     sources, failed = jobs.collecting_sources(t.obs, t.switch_log, t.probe_log)
-    current = marked.filter("run_id = _last").drop("_last").join(sources, "source", "left_semi")
+    # Written: nearly every frame of the run starts from its own rows.
+    current = materialize(
+        marked.filter("run_id = _last").drop("_last").join(sources, "source", "left_semi"), "run-rows"
+    )
     earlier = marked.filter("run_id < _last").drop("_last")
     wanted = state.interests(t.interest_log)
     places = t.obs.select("profile_slug", "source").distinct().join(sources, "source", "left_semi")
