@@ -13,6 +13,7 @@ from folioflux.session import shared_folder, ship_package
 
 #: Rows that are turned into Python objects at once.
 ROWS_AT_ONCE = 512
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: White space between words, fixed by the contracts of the operators.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -63,7 +64,7 @@ def shipped(spark: SparkSession) -> None:
     times over, in each worker and in the executor beside it.
     """
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+    spark.conf.set(ROWS_A_BATCH, ROWS_AT_ONCE)
 
 
 def fan_out(spark: SparkSession) -> int:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.llm.common import fan_out, pick, shipped, slices, text_or_empty, written
+from folioflux.llm.common import ROWS_A_BATCH, ROWS_AT_ONCE, fan_out, pick, shipped, slices, text_or_empty, written
 from folioflux.llm.components import smallest_reachable
 from folioflux.llm.golay import LENGTH, nearby
 from folioflux.operators import ordered
@@ -52,6 +52,8 @@ LEAST, OF = 4, 5
 SEGMENTS = 10
 #: Sets of a key that are held at once, twice.
 BLOCK = 128
+#: Pairs of blocks that are handed to a worker at once.
+PAIRS_AT_ONCE = 8
 #: Sets with more shingles are compared by a join, not gathered.
 LONG = 1 << 14
 #: Shingles whose minimum hashes are taken at once, and columns of a product.
@@ -249,6 +251,13 @@ def _within_blocks(rest: DataFrame, marks: DataFrame, sets: DataFrame, block: in
         .select("members")
         .mapInArrow(_forest, "u long, v long")
     )
+    # A row holds two whole blocks, so a batch of the usual number of rows has no bound.
+    spark = rest.sparkSession
+    spark.conf.set(ROWS_A_BATCH, PAIRS_AT_ONCE)
+    try:
+        short = written(short, "copies-short")
+    finally:
+        spark.conf.set(ROWS_A_BATCH, ROWS_AT_ONCE)
     at_least = LONG * LEAST // OF
     long = blocks.where(F.col("size") > at_least)
     pairs = (
