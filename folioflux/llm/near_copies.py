@@ -20,11 +20,16 @@ Verification is exact, on whole sets, and pairs are never spelt out within a gro
 every set is compared with one hub under each of its keys: the set that shares most keys
 with others, which is the most central one of a family of copies. That is one pair a key
 and set at most, however large a key is. Keys whose sets are then of one component are
-done. The sets of the others are put in order of further minimum hashes and cut into
-blocks of ``BLOCK`` sets, and every two blocks of a key that are not of one component are
-compared, all with all, by one matrix product; only the links that join components leave it.
-So memory is bounded by two blocks, no pair that shares a key is missed, and a key costs the
-square of its blocks where its sets are of many components.
+done. A key of the others is one block of sets, or, where it has more than ``BLOCK`` sets or
+``WEIGHT`` shingles, its sets are put in order of further minimum hashes and cut into such
+blocks. Every two blocks of a key that are not of one component are compared, all with all,
+by one matrix product; only the links that join components leave it. So memory is bounded by
+two blocks and no pair that shares a key is missed. A set is sent once for each key and each
+block it is compared with: in proportion to the sets while a key is one block, and beyond
+that by the square of a key's blocks where its sets are of many components.
+
+Texts. Only sets that share a key are made, a part of all. A bitmap of fixed size says which
+texts may be wanted, so the others are not shuffled; an exact join follows.
 
 Defined cases: words are those of the fingerprints (A-Z in lower case, six white space
 characters); a text of fewer than five words is one shingle, null and empty texts are
@@ -38,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.llm.common import ROWS_A_BATCH, ROWS_AT_ONCE, fan_out, pick, shipped, slices, text_or_empty, written
@@ -50,14 +55,16 @@ SHINGLE, SEED = 5, 42
 #: Similarity of linked sets, as a fraction.
 LEAST, OF = 4, 5
 SEGMENTS = 10
-#: Sets of a key that are held at once, twice.
-BLOCK = 128
+#: Sets of a key that are held at once, twice, and their shingles.
+BLOCK, WEIGHT = 1024, 1 << 17
 #: Pairs of blocks that are handed to a worker at once.
 PAIRS_AT_ONCE = 8
 #: Sets with more shingles are compared by a join, not gathered.
 LONG = 1 << 14
 #: Shingles whose minimum hashes are taken at once, and columns of a product.
-HASHES_AT_ONCE, COLUMNS_AT_ONCE = 1 << 11, 1 << 16
+HASHES_AT_ONCE, CELLS_AT_ONCE = 1 << 11, 1 << 22
+#: Bits of the map of wanted texts, and of one of its words.
+MAP_BITS, WORD_BITS = 1 << 24, 63
 #: Minimum hashes that order the sets of a large key.
 ORDER = 6
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, SEGMENTS * LENGTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -166,6 +173,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _maybe_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose content is wanted, and a few others; the driver sees a bitmap only."""
+    slot = F.pmod("content", F.lit(MAP_BITS))
+    words = (
+        wanted.select(slot.alias("slot"))
+        .groupBy(F.floor(F.col("slot") / WORD_BITS).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % WORD_BITS).cast("int"))).alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(MAP_BITS // WORD_BITS + 1, dtype=np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch["content"].to_numpy() % MAP_BITS
+            yield batch.filter(pa.array((shared.value[slots // WORD_BITS] >> slots % WORD_BITS & 1).astype(bool)))
+
+    return texts.mapInArrow(run, "content long, text string")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose sets are similar."""
     one = sets.select(F.col("node").alias("u"), F.col("found").alias("of_u"))
@@ -198,11 +226,14 @@ def similar_forest(roots: np.ndarray, values: np.ndarray, offsets: np.ndarray) -
     sizes = np.diff(offsets)
     values = values[offsets[0] : offsets[-1]]
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    column = np.unique(values, return_inverse=True)[1]
+    # A shingle of one set alone is in no intersection.
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    owner, column = owner[times[column] > 1], (np.cumsum(times > 1) - 1)[column[times[column] > 1]]
     both = np.zeros((len(sizes), len(sizes)), dtype=np.float32)
-    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS_AT_ONCE):
-        here = (column >= at) & (column < at + COLUMNS_AT_ONCE)
-        one = np.zeros((len(sizes), min(COLUMNS_AT_ONCE, int(column.max()) + 1 - at)), dtype=np.float32)
+    width = max(1, CELLS_AT_ONCE // max(1, len(sizes)))
+    for at in range(0, int(column.max(initial=-1)) + 1, width):
+        here = (column >= at) & (column < at + width)
+        one = np.zeros((len(sizes), min(width, int(column.max()) + 1 - at)), dtype=np.float32)
         one[owner[here], column[here] - at] = 1
         both += one @ one.T
     similar = (LEAST + OF) * both >= LEAST * (sizes[:, None] + sizes)
@@ -227,13 +258,21 @@ def _mixed(keyed: DataFrame, links: DataFrame) -> DataFrame:
 def _within_blocks(rest: DataFrame, marks: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Links between sets of different components that share a key: each block of it against each."""
     names = [f"m{i}" for i in range(ORDER)]
+    fit = F.floor(F.lit(WEIGHT) / F.greatest(F.max(F.least("size", F.lit(LONG))), F.lit(1)))
+    large = (
+        rest.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("sets"), F.least(F.lit(block), fit).alias("most"))
+        .where("sets > most")
+        .select("key", "most")
+    )
+    large = written(large, "copies-large")
     # The order under a key of one segment is by the marks of the others.
     turned = [F.get("marks", (F.col("segment") + 2 + i) % SEGMENTS).alias(n) for i, n in enumerate(names)]
-    dealt = rest.join(marks, "node").select("key", "node", "root", "size", *turned)
-    placed = ordered.position(dealt, ["key"], [*names, "node"], "at")
-    placed = written(
-        placed.select("key", F.floor((F.col("at") - 1) / block).alias("block"), "node", "root", "size"), "copies-placed"
-    )
+    crowded = rest.join(large, "key").join(marks, "node").select("key", "node", "root", "size", "most", *turned)
+    ranked = ordered.position(crowded, ["key"], [*names, "node"], "at")
+    ranked = ranked.select("key", F.floor((F.col("at") - 1) / F.col("most")).alias("block"), "node", "root", "size")
+    alone = rest.join(large, "key", "left_anti").select("key", F.lit(0).cast("long").alias("block"), "node", "root", "size")
+    placed = written(alone.union(ranked), "copies-placed")
     # Two blocks of one component have nothing left to compare.
     spans = written(placed.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "copies-spans")
     two = (
@@ -243,9 +282,13 @@ def _within_blocks(rest: DataFrame, marks: DataFrame, sets: DataFrame, block: in
     )
     dealt = two.select("key", "one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
     blocks = written(placed.join(dealt, ["key", "block"]).drop("block"), "copies-blocks")
+    # A set is fetched once, for all the blocks it is compared in.
     short = (
         blocks.where(F.col("size") <= LONG)
+        .groupBy("node")
+        .agg(F.first("root").alias("root"), F.collect_list(F.struct("key", "one", "other")).alias("places"))
         .join(sets, "node")
+        .select("node", "root", "found", F.inline("places"))
         .groupBy("key", "one", "other")
         .agg(F.collect_list(F.struct("node", "root", "found")).alias("members"))
         .select("members")
@@ -269,7 +312,7 @@ def _within_blocks(rest: DataFrame, marks: DataFrame, sets: DataFrame, block: in
         .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
         .distinct()
     )
-    return short.union(_verified(pairs, sets)).distinct()
+    return short.union(_verified(pairs, sets.where(F.size("found") > at_least))).distinct()
 
 
 def links_of(distinct: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -291,7 +334,7 @@ def links_of(distinct: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
         reach.select("node").join(distinct.select("node", "content", "marks"), "node"), "copies-wanted"
     )
     sets = (
-        texts.join(wanted.select("content"), "content", "left_semi")
+        _maybe_wanted(texts, wanted).join(wanted.select("content"), "content", "left_semi")
         .groupBy("content")
         .agg(F.first("text").alias("text"))
         .join(wanted.select("node", "content"), "content")
@@ -299,8 +342,9 @@ def links_of(distinct: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
         .mapInArrow(_sets, "node long, found array<long>")
     )
     sets = written(sets, "copies-sets")
+    # A set has few keys, so a window over them is small.
     hubs = (
-        keyed.join(reach, "node")
+        keyed.withColumn("reach", F.sum("sets").over(Window.partitionBy("node")))
         .groupBy("key")
         .agg(F.max_by(F.struct("node", "size"), F.struct("reach", "node")).alias("hub"))
     )
